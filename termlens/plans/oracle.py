@@ -110,3 +110,27 @@ dedup AS (
 SELECT search_term AS word_1, word AS word_2, cnt AS count,
        cnt / CAST({int(total_docs) * TOKENS_PER_DOCUMENT} AS DOUBLE) AS prob_w1w2
 FROM dedup WHERE srk = 1"""
+
+
+def subset_terms(i: int, j: int, terms=DEFAULT_TERMS) -> tuple[str, ...]:
+    return tuple(sorted(set(t.lower() for t in terms)))[i:j]
+
+
+def cooc_body(name: str, terms, total_docs: int, n: int = 1000000, lemmatize: bool = True) -> str:
+    """A CTE ``name`` holding the co-occurrence table for ``terms`` (own
+    snippets/vocabulary CTEs, prefixed so several can coexist)."""
+    sql = cooccurrence_sql(terms, total_docs, n, lemmatize)
+    body = sql[len("WITH "):]
+    pre = name + "_"
+    for cte in ("terms", "frags", "fragn", "matched", "snippets", "tokens", "vocab", "lemma_cands",
+                "lemma_best", "lemmas", "counts", "kept", "ranked", "topn", "dedup"):
+        import re
+        body = re.sub(rf"\b{cte}\b", pre + cte, body)
+    head, final = body.rsplit("\nSELECT search_term AS word_1", 1)
+    return f"{head},\n{name} AS (SELECT search_term AS word_1{final})"
+
+
+def term_counts_sql_body(snip: str, total_docs: int) -> str:
+    return (f"SELECT lower(search_term) AS word, count(*) AS count,"
+            f" count(*) / CAST({int(total_docs) * TOKENS_PER_DOCUMENT} AS DOUBLE) AS probability"
+            f" FROM {snip} GROUP BY 1")

@@ -1,5 +1,9 @@
 """Registered queries: name -> Spark job over the driver tables, plus the
-DuckDB SQL that checks it (absent for approximate or iterative jobs)."""
+DuckDB SQL that checks it (absent for the approximate neighbour jobs).
+
+Every query reads the driver tables under ``sf_dir`` whole.  Search terms and
+the other knobs are parameters, fixed here so the Spark job and the SQL agree.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.constants import DEFAULT_TERMS, QUERY_TOTAL_DOCS
+from termlens.constants import DEFAULT_TERMS, QUERY_TOTAL_DOCS, TOKENS_PER_DOCUMENT
+from termlens.functions.biblio import parse_year, split_authors
 from termlens.functions.text import fold_ascii, preprocess_text
+from termlens.operators import bibliography as bib
 from termlens.operators import cooccurrence as co
+from termlens.operators import corpus as cs
+from termlens.operators import information as inf
+from termlens.operators import network as nw
+from termlens.operators import similarity as sim
+from termlens.operators import store as st
 from termlens.operators.snippets import extract_snippets, with_processed_text
+from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
-from termlens.sources.tables import corpus, table
+from termlens.sources.tables import citations, citations_sql, corpus, spread, table
 
 
 @dataclass(frozen=True)
@@ -24,6 +36,15 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+TD = QUERY_TOTAL_DOCS
+DENOM = TD * TOKENS_PER_DOCUMENT
+TERMS = tuple(sorted(set(t.lower() for t in DEFAULT_TERMS)))
+EXISTING_TERMS = TERMS[0:3]          # an earlier run processed these ...
+INCOMING_TERMS = TERMS[2:5]          # ... a later run these (one overlaps)
+LEDGER_TERMS = TERMS[0:2]
+REMOVED_TERM = "thing"
+EDGE_MIN_COUNT = 3
+EDGE_TOP_M = 50
 
 
 def register(name: str, sql: str | None):
@@ -33,41 +54,396 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def snippets(spark: SparkSession, sf_dir: str, terms=DEFAULT_TERMS) -> DataFrame:
+def snippets(spark: SparkSession, sf_dir: str, terms=TERMS) -> DataFrame:
     return with_processed_text(extract_snippets(corpus(spark, sf_dir), terms))
 
 
+def cooc(spark, sf_dir, terms=TERMS, **kw) -> DataFrame:
+    return co.cooccurrence_stats(snippets(spark, sf_dir, terms), TD, **kw)
+
+
+def _snip_sql(prefix: str, terms) -> str:
+    import re
+
+    body = o.snippets_ctes(terms)
+    for cte in ("terms", "frags", "fragn", "matched", "snippets"):
+        body = re.sub(rf"\b{cte}\b", prefix + cte, body)
+    return body
+
+
+SNIP = f"WITH {o.snippets_ctes(TERMS)}"
+
+
 # ---- text functions ---------------------------------------------------------
 
 @register("fold_ascii", "SELECT doc_id, " + o.fold_sql("text") + " AS folded FROM documents")
 def q_fold_ascii(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", fold_ascii("text").alias("folded"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", fold_ascii("text").alias("folded"))
 
 
 @register("preprocess_text", "SELECT doc_id, " + o.preprocess_sql("text") + " AS processed_text FROM documents")
 def q_preprocess_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", preprocess_text("text").alias("processed_text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", preprocess_text("text").alias("processed_text"))
 
 
 # ---- extraction ---------------------------------------------------------------
 
-@register("snippets_by_term", f"WITH {o.snippets_ctes()} SELECT * FROM snippets")
+@register("snippets_by_term", f"{SNIP} SELECT * FROM snippets")
 def q_snippets_by_term(spark, sf_dir):
     return snippets(spark, sf_dir)
 
 
 # ---- co-occurrence --------------------------------------------------------------
 
-@register("cooccurrence_stats", o.cooccurrence_sql(total_docs=QUERY_TOTAL_DOCS))
+@register("cooccurrence_stats", o.cooccurrence_sql(TERMS, TD))
 def q_cooccurrence_stats(spark, sf_dir):
-    return co.cooccurrence_stats(snippets(spark, sf_dir), QUERY_TOTAL_DOCS)
+    return cooc(spark, sf_dir)
 
 
-@register("cooccurrence_top_n", o.cooccurrence_sql(total_docs=QUERY_TOTAL_DOCS, n=200))
+@register("cooccurrence_top_n", o.cooccurrence_sql(TERMS, TD, n=200))
 def q_cooccurrence_top_n(spark, sf_dir):
-    return co.cooccurrence_stats(snippets(spark, sf_dir), QUERY_TOTAL_DOCS, n=200)
+    return cooc(spark, sf_dir, n=200)
 
 
-@register("cooccurrence_surface", o.cooccurrence_sql(total_docs=QUERY_TOTAL_DOCS, lemmatize=False))
+@register("cooccurrence_surface", o.cooccurrence_sql(TERMS, TD, lemmatize=False))
 def q_cooccurrence_surface(spark, sf_dir):
-    return co.cooccurrence_stats(snippets(spark, sf_dir), QUERY_TOTAL_DOCS, lemmatize=False)
+    return cooc(spark, sf_dir, lemmatize=False)
+
+
+@register("cooccurrence_top_pairs",
+          f"WITH {o.cooc_body('c', TERMS, TD)} SELECT * FROM c ORDER BY count DESC, word_1, word_2 LIMIT 10")
+def q_cooccurrence_top_pairs(spark, sf_dir):
+    return co.top_pairs(cooc(spark, sf_dir), 10)
+
+
+@register("stem_groups", f"""{SNIP}, {o.tokens_cte()},
+v AS (SELECT DISTINCT word FROM tokens),
+s AS (SELECT word, {o.porter_sql('word', 'duckdb')} AS stem FROM v)
+SELECT word, stem, count(*) OVER (PARTITION BY stem) AS group_size FROM s""")
+def q_stem_groups(spark, sf_dir):
+    return co.stem_groups(snippets(spark, sf_dir))
+
+
+@register("lemma_fold", f"""{SNIP}, {o.tokens_cte()}, {o.lemma_ctes()}
+SELECT word, lemma FROM lemmas WHERE length(word) > 2""")
+def q_lemma_fold(spark, sf_dir):
+    words = co.token_counts(snippets(spark, sf_dir)).select("word").distinct()
+    return co.lemma_map(words.where(F.length("word") > 2), words)
+
+
+@register("clean_tokens", f"""SELECT item_id, array_to_string(list_transform(list_filter(
+  regexp_extract_all(regexp_replace(regexp_replace(lower(text), 'n''t', ' n''t', 'g'),
+                     '''(s|m|d|ll|re|ve)\\b', ' ''\\1', 'g'), '{o.q("n't|'[a-z]+|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]")[1:-1]}'),
+  lambda w: NOT list_contains(['httpdoc', 'example'], w)), lambda tk: {o.porter_sql('tk', 'duckdb')}), ' ') AS cleaned
+FROM benchmark""")
+def q_clean_tokens(spark, sf_dir):
+    b = spread(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return clean_tokens(b, id_col="item_id")
+
+
+# ---- corpus statistics --------------------------------------------------------------
+
+@register("term_counts", f"{SNIP} {o.term_counts_sql_body('snippets', TD)}")
+def q_term_counts(spark, sf_dir):
+    return cs.term_counts(snippets(spark, sf_dir), TD)
+
+
+@register("corpus_stats", f"""WITH {o.cooc_body('c', TERMS, TD)}, {_snip_sql('s_', TERMS)},
+agg AS (SELECT search_term, count(*) AS total_snippets, count(DISTINCT doc_id) AS total_documents,
+               count(DISTINCT publisher) AS unique_publishers FROM s_snippets GROUP BY 1),
+cagg AS (SELECT word_1 AS search_term, sum(count) AS tok, count(DISTINCT word_2) AS uniq FROM c GROUP BY 1)
+SELECT a.search_term, total_snippets, total_documents,
+       CAST(coalesce(tok, 0) + total_snippets AS BIGINT) AS total_tokens,
+       CAST(coalesce(uniq, 0) + 1 AS BIGINT) AS unique_terms, unique_publishers
+FROM agg a LEFT JOIN cagg USING (search_term)""")
+def q_corpus_stats(spark, sf_dir):
+    s = snippets(spark, sf_dir)
+    return cs.corpus_summary(s, co.cooccurrence_stats(s, TD))
+
+
+@register("extraction_profile", f"""{SNIP}, cit AS ({citations_sql()})
+SELECT s.search_term, count(*) AS num_rows, count(DISTINCT c.journal) AS unique_journals,
+       count(DISTINCT c.authors) AS unique_authors
+FROM snippets s JOIN cit c ON c.snippet_row = s.doc_id GROUP BY 1""")
+def q_extraction_profile(spark, sf_dir):
+    s = snippets(spark, sf_dir).select("search_term", "doc_id")
+    c = citations(spark, sf_dir).select(F.col("snippet_row").alias("doc_id"), "journal", "authors")
+    return cs.extraction_profile(s.join(c, "doc_id"))
+
+
+TFIDF_SQL = f"""per_doc AS (SELECT search_term, doc_id, count(*) AS num_snippets FROM snippets
+                   WHERE doc_id IS NOT NULL GROUP BY 1, 2),
+dfs AS (SELECT search_term, count(*) AS df FROM per_doc GROUP BY 1),
+tfidf AS (SELECT p.search_term, p.doc_id, p.num_snippets, p.num_snippets / {float(TOKENS_PER_DOCUMENT)} AS tf,
+       (p.num_snippets / {float(TOKENS_PER_DOCUMENT)}) * ln({float(TD)} / (d.df + 1)) AS tfidf
+       FROM per_doc p JOIN dfs d USING (search_term))"""
+
+
+@register("tfidf_by_term", f"{SNIP}, {TFIDF_SQL} SELECT * FROM tfidf")
+def q_tfidf_by_term(spark, sf_dir):
+    return cs.tfidf(snippets(spark, sf_dir), TD)
+
+
+@register("doc_snippet_text", f"""{SNIP}
+SELECT search_term, doc_id, string_agg(highlight, ' ' ORDER BY frag_idx) AS text FROM snippets GROUP BY 1, 2""")
+def q_doc_snippet_text(spark, sf_dir):
+    return cs.doc_snippet_text(snippets(spark, sf_dir))
+
+
+@register("doc_vectors", f"""{SNIP}, {TFIDF_SQL}
+SELECT doc_id, list(search_term ORDER BY search_term) AS terms, list(tfidf ORDER BY search_term) AS weights
+FROM tfidf GROUP BY 1""")
+def q_doc_vectors(spark, sf_dir):
+    return cs.doc_vectors(cs.tfidf(snippets(spark, sf_dir), TD))
+
+
+# ---- bibliography ------------------------------------------------------------------
+
+CIT = f"WITH cit AS ({citations_sql()})"
+NANIFY = "CASE WHEN {x} IS NULL OR lower({x}) = 'nan' OR trim({x}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f') = '' THEN NULL ELSE {x} END"
+
+
+def _clean_sql(x: str) -> str:
+    t = f"trim({NANIFY.format(x=x)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')"
+    return f"nullif({t}, '')"
+
+
+def _year_sql(pub_year: str, cover: str) -> str:
+    y = f"trim({NANIFY.format(x=pub_year)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')"
+    cd = f"regexp_extract(trim({NANIFY.format(x=cover)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f'), '^([0-9]{{4}})', 1)"
+    return (f"coalesce(CASE WHEN regexp_matches({y}, '^[0-9]+$') THEN TRY_CAST({y} AS INTEGER) END,"
+            f" CASE WHEN {cd} <> '' THEN CAST({cd} AS INTEGER) END)")
+
+
+KEYS_SQL = f"""{CIT},
+k AS (SELECT *, {_clean_sql('doi')} AS cdoi, {_clean_sql('doc_id')} AS cdoc, {_clean_sql('title')} AS ctitle,
+             {_year_sql('pub_year', 'coverdate')} AS cyear FROM cit),
+keyed AS (SELECT *,
+  CASE WHEN cdoi IS NOT NULL THEN 'doi' WHEN cdoc IS NOT NULL THEN 'doc_id'
+       WHEN ctitle IS NOT NULL AND cyear IS NOT NULL AND cyear <> 0 THEN 'title_year' ELSE 'row' END AS key_kind,
+  CASE WHEN cdoi IS NOT NULL THEN cdoi WHEN cdoc IS NOT NULL THEN cdoc
+       WHEN ctitle IS NOT NULL AND cyear IS NOT NULL AND cyear <> 0 THEN ctitle || '::' || CAST(cyear AS VARCHAR)
+       ELSE 'row-' || CAST(snippet_row AS VARCHAR) END AS bibjson_id FROM k)"""
+
+AUTHORS_SQL = ("list_filter(list_transform(string_split_regex(coalesce({a}, ''), ';|, and | and |\\|'),"
+               " lambda x: trim(x, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')), lambda x: x <> '')")
+AUTHORS_SQL = AUTHORS_SQL.replace("{a}", NANIFY.format(x="authors"))
+
+RECORDS_SQL = f"""{KEYS_SQL},
+firsts AS (SELECT * FROM keyed WHERE key_kind <> 'row'
+           QUALIFY row_number() OVER (PARTITION BY key_kind, bibjson_id ORDER BY snippet_row) = 1),
+recs AS (SELECT bibjson_id AS id, key_kind, 'article' AS type, coalesce(ctitle, '') AS title,
+                {AUTHORS_SQL} AS names, cyear AS year, {_clean_sql('journal')} AS journal,
+                {_clean_sql('publisher')} AS publisher, cdoi AS doi, {_clean_sql('url')} AS url FROM firsts)"""
+
+
+@register("parse_year", f"{CIT} SELECT snippet_row, {_year_sql('pub_year', 'coverdate')} AS year FROM cit")
+def q_parse_year(spark, sf_dir):
+    c = citations(spark, sf_dir)
+    return c.select("snippet_row", parse_year(F.col("pub_year"), F.lit(None).cast("string"),
+                                              F.col("coverdate")).alias("year"))
+
+
+@register("split_authors", f"""{CIT}
+SELECT snippet_row, CAST(pos - 1 AS INTEGER) AS pos, names[pos] AS name FROM (
+  SELECT snippet_row, names, unnest(range(1, len(names) + 1)) AS pos FROM (
+    SELECT snippet_row, {AUTHORS_SQL} AS names FROM cit))""")
+def q_split_authors(spark, sf_dir):
+    c = citations(spark, sf_dir)
+    return c.select("snippet_row", F.posexplode(split_authors("authors")).alias("pos", "name"))
+
+
+@register("bib_map", f"{KEYS_SQL} SELECT snippet_row, bibjson_id FROM keyed")
+def q_bib_map(spark, sf_dir):
+    return bib.bib_map(citations(spark, sf_dir))
+
+
+@register("bib_records", f"""{RECORDS_SQL}
+SELECT id, key_kind, type, title, year, journal, publisher, array_to_string(names, ' | ') AS author_names,
+       CAST(len(names) AS INTEGER) AS n_authors, doi, url FROM recs""")
+def q_bib_records(spark, sf_dir):
+    return bib.bib_records_flat(bib.bib_records(citations(spark, sf_dir)))
+
+
+@register("bib_json", f"""{RECORDS_SQL}
+SELECT id, to_json({{'id': id, 'type': type, 'title': title,
+  'author': list_transform(names, lambda n: {{'name': n}}), 'year': year, 'journal': journal,
+  'publisher': publisher,
+  'identifier': CASE WHEN doi IS NOT NULL THEN [{{'type': 'doi', 'id': doi}}] ELSE [] END,
+  'link': CASE WHEN url IS NOT NULL THEN [{{'url': url, 'content_type': 'text/html'}}] END}})::VARCHAR
+  AS record_json FROM recs""")
+def q_bib_json(spark, sf_dir):
+    return bib.bib_json_lines(bib.bib_records(citations(spark, sf_dir)))
+
+
+# ---- table maintenance ----------------------------------------------------------------
+
+@register("pending_terms", f"""WITH {o.cooc_body('ex', EXISTING_TERMS, TD)}, {_snip_sql('a_', TERMS)}
+SELECT DISTINCT search_term FROM a_snippets WHERE search_term NOT IN (SELECT word_1 FROM ex)""")
+def q_pending_terms(spark, sf_dir):
+    done = cooc(spark, sf_dir, EXISTING_TERMS).select(F.col("word_1").alias("search_term"))
+    cand = snippets(spark, sf_dir).select("search_term").distinct()
+    return st.pending(cand, done, "search_term")
+
+
+@register("stats_cleaned", f"""WITH {o.cooc_body('c', TERMS, TD)}
+SELECT * FROM c WHERE word_2 IS NOT NULL AND trim(word_2) <> ''""")
+def q_stats_cleaned(spark, sf_dir):
+    return st.clean_stats(cooc(spark, sf_dir))
+
+
+@register("cooccurrence_upsert", f"""WITH {o.cooc_body('ex', EXISTING_TERMS, TD)}, {o.cooc_body('inc', INCOMING_TERMS, TD)}
+SELECT * FROM ex WHERE (word_1, word_2) NOT IN (SELECT (word_1, word_2) FROM inc)
+UNION ALL SELECT word_1, word_2, count + 1 AS count, prob_w1w2 FROM inc""")
+def q_cooccurrence_upsert(spark, sf_dir):
+    ex = cooc(spark, sf_dir, EXISTING_TERMS)
+    inc = cooc(spark, sf_dir, INCOMING_TERMS).withColumn("count", F.col("count") + 1)
+    return st.upsert(ex, inc, st.KEYS["term_cooccurrence"])
+
+
+@register("term_counts_upsert", f"""WITH {_snip_sql('e_', EXISTING_TERMS)}, {_snip_sql('i_', INCOMING_TERMS)},
+ex AS ({o.term_counts_sql_body('e_snippets', TD)}),
+inc AS (SELECT word, count + 1 AS count, probability FROM ({o.term_counts_sql_body('i_snippets', TD)}))
+SELECT * FROM ex WHERE word NOT IN (SELECT word FROM inc) UNION ALL SELECT * FROM inc""")
+def q_term_counts_upsert(spark, sf_dir):
+    ex = cs.term_counts(snippets(spark, sf_dir, EXISTING_TERMS), TD)
+    inc = cs.term_counts(snippets(spark, sf_dir, INCOMING_TERMS), TD).withColumn("count", F.col("count") + 1)
+    return st.upsert(ex, inc, st.KEYS["term_counts"])
+
+
+@register("processed_terms_merge", f"""WITH {o.cooc_body('ex', LEDGER_TERMS, TD)}, {_snip_sql('a_', TERMS)}
+SELECT DISTINCT word_1 AS term FROM ex UNION SELECT DISTINCT search_term AS term FROM a_snippets""")
+def q_processed_terms_merge(spark, sf_dir):
+    ledger = cooc(spark, sf_dir, LEDGER_TERMS).select(F.col("word_1").alias("term")).distinct()
+    inc = snippets(spark, sf_dir).select(F.col("search_term").alias("term"))
+    return st.insert_if_absent(ledger, inc, ["term"])
+
+
+@register("remove_term", f"""WITH {o.cooc_body('c', TERMS, TD)}
+SELECT * FROM c WHERE NOT (word_1 = '{REMOVED_TERM}' OR word_2 = '{REMOVED_TERM}')""")
+def q_remove_term(spark, sf_dir):
+    c = cooc(spark, sf_dir)
+    ledger = c.select(F.col("word_1").alias("term")).distinct()
+    counts = c.select(F.col("word_1").alias("word"), "count")
+    return st.remove_term(ledger, c, counts, f"  {REMOVED_TERM.upper()} ")[1]
+
+
+# ---- information measures and networks --------------------------------------------------
+
+DOC_WORDS_SQL = f"""dw AS (SELECT DISTINCT doc_id, word FROM (
+  SELECT doc_id, unnest(list_filter(string_split_regex({o.preprocess_sql('text')}, ' +'),
+         lambda w: length(w) >= 3)) AS word FROM documents)),
+nd AS (SELECT count(*) AS n FROM documents)"""
+LN2 = "ln(2.0)"
+
+
+def _plogp(p: str) -> str:
+    return f"(CASE WHEN ({p}) > 0 THEN ({p}) * ln({p}) / {LN2} ELSE 0.0 END)"
+
+
+def _h(p: str) -> str:
+    return f"(-({_plogp(p)} + {_plogp('1 - (' + p + ')')}))"
+
+
+@register("word_entropy", f"""WITH {DOC_WORDS_SQL}
+SELECT word, count(*) AS df, count(*) / CAST(any_value(n) AS DOUBLE) AS p,
+       round({_h('count(*) / CAST(any_value(n) AS DOUBLE)')}, 12) AS entropy
+FROM dw, nd GROUP BY word""")
+def q_word_entropy(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return inf.word_entropy(inf.doc_words(docs), docs.count())
+
+
+PAIR_SQL = f"""{SNIP}, {DOC_WORDS_SQL},
+td AS (SELECT DISTINCT search_term, doc_id FROM snippets),
+nt AS (SELECT search_term, count(*) AS n_term FROM td GROUP BY 1),
+nw AS (SELECT word, count(*) AS n_word FROM dw GROUP BY 1),
+n11 AS (SELECT search_term, word, count(*) AS n11 FROM td JOIN dw USING (doc_id) GROUP BY 1, 2),
+cells AS (SELECT search_term, word, n11, n_term, n_word, CAST(n AS DOUBLE) AS n FROM n11
+          JOIN nt USING (search_term) JOIN nw USING (word), nd),
+info AS (SELECT search_term, word, n11, n_term, n_word,
+  {_h('n_term / n')} AS ht, {_h('n_word / n')} AS hw,
+  -({_plogp('n11 / n')} + {_plogp('(n_term - n11) / n')} + {_plogp('(n_word - n11) / n')}
+    + {_plogp('(n - n_term - n_word + n11) / n')}) AS htw FROM cells)"""
+
+
+@register("joint_entropy", f"""{PAIR_SQL}
+SELECT search_term, word, n11, round(htw, 12) AS joint_entropy FROM info""")
+def q_joint_entropy(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("search_term", "word", "n11", "joint_entropy")
+
+
+@register("mutual_information", f"""{PAIR_SQL}
+SELECT search_term, word, n11, n_term, n_word, round(ht, 12) AS h_term, round(hw, 12) AS h_word,
+       round(ht + hw - htw, 12) AS mutual_information FROM info""")
+def q_mutual_information(spark, sf_dir):
+    return _pairs(spark, sf_dir).drop("joint_entropy")
+
+
+def _pairs(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    td = snippets(spark, sf_dir).select("search_term", "doc_id")
+    return inf.pair_information(td, inf.doc_words(docs), docs.count())
+
+
+@register("pmi", f"""WITH {o.cooc_body('c', TERMS, TD)}, {_snip_sql('a_', TERMS)},
+tc AS ({o.term_counts_sql_body('a_snippets', TD)})
+SELECT c.word_1, c.word_2, c.prob_w1w2, t1.probability AS p_word_1, t2.probability AS p_word_2,
+       round(ln(c.prob_w1w2 / (t1.probability * t2.probability)) / {LN2}, 12) AS pmi
+FROM c JOIN tc t1 ON t1.word = c.word_1 JOIN tc t2 ON t2.word = c.word_2""")
+def q_pmi(spark, sf_dir):
+    s = snippets(spark, sf_dir)
+    return inf.pmi(co.cooccurrence_stats(s, TD), cs.term_counts(s, TD))
+
+
+EDGES_SQL = f"""WITH {o.cooc_body('c', TERMS, TD)},
+e AS (SELECT word_1 AS source, word_2 AS target, count AS weight, prob_w1w2 AS prob FROM c
+      WHERE prob_w1w2 >= {EDGE_MIN_COUNT} / CAST({DENOM} AS DOUBLE)
+      QUALIFY row_number() OVER (PARTITION BY word_1 ORDER BY count DESC, word_2) <= {EDGE_TOP_M})"""
+
+
+def _edges(spark, sf_dir):
+    return nw.network_edges(cooc(spark, sf_dir), min_prob=EDGE_MIN_COUNT / float(DENOM), top_m=EDGE_TOP_M)
+
+
+@register("network_edges", f"{EDGES_SQL} SELECT * FROM e")
+def q_network_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@register("network_nodes", f"""{EDGES_SQL},
+ends AS (SELECT source AS node, weight, TRUE AS s FROM e UNION ALL SELECT target, weight, FALSE FROM e)
+SELECT node, count(*) AS degree, sum(weight) AS strength,
+       CASE WHEN bool_or(s) THEN 'term' ELSE 'word' END AS type FROM ends GROUP BY node""")
+def q_network_nodes(spark, sf_dir):
+    return nw.network_nodes(_edges(spark, sf_dir))
+
+
+# ---- neighbours (approximate: no SQL oracle) ----------------------------------------------
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+
+
+@register("similarity_forest", None)
+def q_similarity_forest(spark, sf_dir):
+    return sim.nearest_neighbours(_vectors(spark, sf_dir))
+
+
+@register("similarity_pending", None)
+def q_similarity_pending(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    earlier = sim.nearest_neighbours(e.where(F.col("label") == 1)
+                                     .select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")))
+    return st.pending(e.select(F.col("vec_id").alias("doc_id")), earlier, "doc_id")
+
+
+@register("similarity_upsert", None)
+def q_similarity_upsert(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    earlier = sim.nearest_neighbours(v, k=5, trees=4, seed=3)
+    later = sim.nearest_neighbours(v, k=10, trees=10, seed=17)
+    return st.upsert(earlier, later, st.KEYS["similarity_results"])
