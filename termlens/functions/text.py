@@ -73,38 +73,58 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fold_ascii(text: Column | str) -> Column:
-    """ASCII folding of a string column (null stays null)."""
+def sql_lit(s: str) -> str:
+    """Spark SQL string literal (backslash escapes are on by default)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+@functools.lru_cache(maxsize=None)
+def fold_ascii_sql(x: str) -> str:
+    """SQL text of :func:`fold_ascii` over the SQL expression ``x``.
+
+    Built as one SQL string so the JVM parses the 2,500-character table and
+    the 492 expansion pairs in one call, instead of thousands of py4j calls."""
     src, dst, expansions = fold_tables()
-    t = F.translate(_col(text), src, dst)
-    pairs = F.array(*[F.struct(F.lit(a).alias("f"), F.lit(b).alias("t")) for a, b in expansions])
+    pairs = ", ".join(f"named_struct('f', {sql_lit(a)}, 't', {sql_lit(b)})" for a, b in expansions)
+    exp_chars = sql_lit("".join(a for a, _ in expansions))
+    t = f"translate({x}, {sql_lit(src)}, {sql_lit(dst)})"
     # Presence test by deleting the expanding characters: a hash lookup per
     # character (a 492-character regex class is a linear scan per character).
-    guard = F.length(F.translate(t, "".join(a for a, _ in expansions), "")) < F.length(t)
-    t = F.when(guard,
-               F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["f"], p["t"]))
-               ).otherwise(t)
-    t = F.regexp_replace(t, NON_ASCII_RUN, " ")
-    t = F.regexp_replace(t, ILLEGAL_CHAR, "")
-    return F.trim(F.regexp_replace(t, WS_RUN, " "))
+    t = (f"transform(array({t}), ft -> CASE WHEN length(translate(ft, {exp_chars}, '')) < length(ft)"
+         f" THEN aggregate(array({pairs}), ft, (acc, p) -> replace(acc, p.f, p.t)) ELSE ft END)[0]")
+    t = f"regexp_replace({t}, {sql_lit(NON_ASCII_RUN)}, ' ')"
+    t = f"regexp_replace({t}, {sql_lit(ILLEGAL_CHAR)}, '')"
+    return f"trim(regexp_replace({t}, {sql_lit(WS_RUN)}, ' '))"
+
+
+def fold_ascii(text: str) -> Column:
+    """ASCII folding of a string column given by name (null stays null)."""
+    return F.expr(fold_ascii_sql(_ident(text)))
 
 
-def _stop_filter(words: Column, stop_words: Iterable[str] | None) -> Column:
-    stops = tuple(stop_words) if stop_words is not None else DEFAULT_STOP_WORDS
-    if not stops:
-        return F.filter(words, lambda w: F.length(w) > 1)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stops))
+@functools.lru_cache(maxsize=None)
+def preprocess_sql(x: str, stop_words: tuple[str, ...] | None = None) -> str:
+    stops = stop_words if stop_words is not None else DEFAULT_STOP_WORDS
+    t = f"lower({fold_ascii_sql(x)})"
+    t = f"regexp_replace({t}, {sql_lit(PUNCT_CLASS)}, ' ')"
+    t = f"regexp_replace({t}, {sql_lit(DIGIT_RUN)}, ' ')"
+    words = f"split(trim(regexp_replace({t}, {sql_lit(WS_RUN)}, ' ')), ' ')"
+    keep = "length(w) > 1"
+    if stops:
+        keep += " AND NOT w IN (" + ", ".join(sql_lit(w) for w in stops) + ")"
+    return f"array_join(filter({words}, w -> {keep}), ' ')"
 
 
-def preprocess_text(text: Column | str, stop_words: Iterable[str] | None = None) -> Column:
+def preprocess_text(text: str, stop_words: Iterable[str] | None = None) -> Column:
     """Full cleaning: fold, lower, punctuation/digits to space, drop stop words
     and one-character words, single-space join.  ``stop_words=()`` disables the
     stop-word step; ``None`` uses the default list."""
-    t = F.lower(fold_ascii(text))
-    t = F.regexp_replace(t, PUNCT_CLASS, " ")
-    t = F.regexp_replace(t, DIGIT_RUN, " ")
-    words = F.split(F.trim(F.regexp_replace(t, WS_RUN, " ")), " ")
-    return F.array_join(_stop_filter(words, stop_words), " ")
+    stops = tuple(stop_words) if stop_words is not None else None
+    return F.expr(preprocess_sql(_ident(text), stops))
 
 
 def word_tokens(text: Column | str) -> Column:

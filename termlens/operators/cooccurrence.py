@@ -23,6 +23,7 @@ from termlens.constants import DEFAULT_TOP_N, TOKENS_PER_DOCUMENT
 from termlens.functions.lemma import lemma_candidates
 from termlens.functions.porter import porter_stem
 from termlens.functions.text import word_tokens
+from termlens.session import cut_lineage
 
 TERM = "search_term"
 
@@ -75,7 +76,15 @@ def top_n_per_key(counts: DataFrame, n: int, key: str = TERM, item: str = "word"
 
     A histogram (key, score) -> number of items gives, per key, the score
     groups fully inside the top n, at most one boundary group, and the groups
-    outside.  Only the boundary group is ranked by item."""
+    outside.  Only the boundary group is ranked by item.
+
+    ``counts`` is materialised first (it is read by up to three branches), and
+    when no key has more than n items — the usual case for large n — the
+    ranking is skipped after one small aggregation."""
+    counts = cut_lineage(counts)
+    largest = counts.groupBy(key).count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= n:
+        return counts
     hist = counts.groupBy(key, score).agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy(key).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     hist = (hist.withColumn("_upto", F.sum("_k").over(w))
@@ -101,9 +110,11 @@ def dedup_by_stem(counts: DataFrame, key: str = TERM) -> DataFrame:
 def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TOP_N,
                        lemmatize: bool = True, text_col: str = "processed_text") -> DataFrame:
     """word_1 (term), word_2, count, prob_w1w2 for every term in ``snippets``."""
-    # One aggregation feeds both the counts and the vocabulary, so the corpus
-    # is scanned once (the second use reuses the same shuffle).
-    all_counts = token_counts(snippets, text_col)
+    # One aggregation feeds the counts, the vocabulary and the lemma map.  It
+    # is written once (reliable checkpoint: vocabulary-sized, survives
+    # executor loss) so the corpus is scanned exactly once; without it each
+    # branch would re-run the extraction with differently pruned columns.
+    all_counts = cut_lineage(token_counts(snippets, text_col))
     counts = all_counts.where(F.length("word") > 2)
     if lemmatize:
         counts = fold_lemmas(counts, all_counts.select("word").distinct())

@@ -34,8 +34,9 @@ def network_edges(cooccurrence: DataFrame, min_prob: float = 0.0, top_m: int | N
 
 def network_nodes(edges: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """node, degree, strength, type.  ``lexicon``: (word, type)."""
-    ends = edges.select(F.col("source").alias("node"), "weight", F.lit(True).alias("_is_source")) \
-        .unionByName(edges.select(F.col("target").alias("node"), "weight", F.lit(False).alias("_is_source")))
+    both = F.array(F.struct(F.col("source").alias("node"), "weight", F.lit(True).alias("_is_source")),
+                   F.struct(F.col("target").alias("node"), "weight", F.lit(False).alias("_is_source")))
+    ends = edges.select(F.explode(both).alias("_e")).select("_e.*")
     nodes = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
                                      F.sum("weight").alias("strength"),
                                      F.max("_is_source").alias("_term"))

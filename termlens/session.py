@@ -28,6 +28,7 @@ def get_spark(master: str | None = None, app: str = "termlens", shuffle_partitio
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -52,10 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint
+    directory and continue from it (never ``localCheckpoint``).
+
+    One computation (``Dataset.checkpoint`` computes an unpersisted plan
+    twice), survives executor loss, and the re-read table carries real size
+    statistics for AQE's join and partition decisions."""
+    path = scratch_table_path(df.sparkSession, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
