@@ -5,42 +5,40 @@ Angular distance of u, v is sqrt(2 - 2 cos(u, v)) (the Euclidean distance of
 the unit vectors); similarity is ``1 - distance``.  ``k`` neighbours include
 the item itself, which is then dropped, so each item gets up to k - 1 others.
 
-Forest, level by level (all trees at once, ``tree`` is a column):
-
-* every node that still holds more than ``leaf_size`` items is split by a
-  hyperplane whose normal is a pseudo-random direction derived from
-  (seed, tree, node) by hashing — computed inside each row, so no vector is
-  ever joined or broadcast;
-* the split point is the node's median projection (``percentile_approx``,
-  a partial aggregate), and items exactly at the median are sent left/right
-  by a hash of their id, so a node of identical vectors still halves;
-* only the node -> median table is joined back (broadcast when its row count
-  is under a checked bound, else a shuffle join).
-
-Leaves are therefore bounded by ``leaf_size`` whatever the data looks like
-(a third of all items identical included), and candidate pairs are produced
-only inside leaves: at most ``trees * leaf_size`` candidates per item.
-Candidates are de-duplicated across trees, scored exactly, and the best k per
-item are kept with a window over a bounded group.  Lineage is cut with a
-reliable checkpoint every few levels.
+Plan:
+
+1. ``mapInPandas``: scale each vector to unit length and project it on
+   ``levels`` random directions per tree (one small matrix product per Arrow
+   batch; the directions come from a seeded generator, identical on every
+   task).  Rows become (id, tree, projections) — no vector travels further.
+2. Level by level, all trees at once: every node holding more than
+   ``leaf_size`` items is split at its median projection
+   (``percentile_approx``, a partial aggregate); items exactly at the median
+   go left or right by a hash of their id, so even a node of identical
+   vectors halves.  Only the node -> median table is joined back (broadcast
+   behind a row-count check, else a shuffle join).  The table of items is
+   written to the checkpoint directory after each level.
+3. Leaves are bounded by ``leaf_size`` by construction (a final hash split
+   covers the level cap), so ``applyInPandas`` per (tree, leaf) scores a
+   bounded group with one Gram matrix and emits only each item's best k - 1.
+4. Per item, the best k - 1 over all trees (a window over at most
+   trees * (k - 1) rows).
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termlens.constants import DEFAULT_NEIGHBOURS, DEFAULT_TREES
 from termlens.session import cut_lineage
 
 MAX_BROADCAST_NODES = 2_000_000
-CHECKPOINT_EVERY = 4
-
-
-def unit(vec: Column) -> Column:
-    """Vector scaled to unit length (zero vectors stay zero)."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,45 +46,58 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def angular_similarity(a: Column, b: Column) -> Column:
-    """1 - sqrt(2 - 2 cos) for unit vectors a, b."""
+    """1 - sqrt(2 - 2 cos) for unit vectors a, b (column form)."""
     return 1 - F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
 
 
-def _direction(seed: int, dim: Column) -> Column:
-    """Pseudo-random direction for the row's (tree, node): components in
-    [-1, 1) from a 64-bit hash; independent of the data, same on every task."""
-    return F.transform(F.sequence(F.lit(0), dim - 1), lambda i: (
-        F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("node"), i), F.lit(2_000_003)).cast("double")
-        / 1_000_001.5 - 1.0))
+def _directions(seed: int, dim: int, trees: int, levels: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, trees * levels))
+
+
+def _project(seed: int, dim: int, trees: int, levels: int):
+    d = _directions(seed, dim, trees, levels)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["vec"].to_numpy()).astype(float)
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+            p = x @ d
+            for t in range(trees):
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "tree": t,
+                                    "proj": list(p[:, t * levels:(t + 1) * levels])})
+    return run
 
 
 def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int = 32,
-                 seed: int = 17, max_levels: int = 48) -> DataFrame:
-    """(tree, leaf, id) for every item in every tree.  ``items``: id, vec
-    (unit length)."""
-    dim = F.size("vec")
-    cur = items.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
-                       F.lit(1).cast("long").alias("node"))
-    for level in range(max_levels):
-        sizes = cur.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n"))
-        big = sizes.where(F.col("_n") > leaf_size)
-        if big.limit(1).count() == 0:
+                 seed: int = 17, n_items: int | None = None) -> DataFrame:
+    """(tree, leaf, id) for every item in every tree.  ``items``: id, vec."""
+    dim = len(items.select("vec").first()[0])
+    n = n_items if n_items is not None else items.count()
+    levels = max(1, math.ceil(math.log2(max(n, 2) / leaf_size)) + 4)
+    schema = T.StructType([T.StructField("id", items.schema["id"].dataType),
+                           T.StructField("tree", T.IntegerType()),
+                           T.StructField("proj", T.ArrayType(T.DoubleType()))])
+    cur = items.mapInPandas(_project(seed, dim, trees, levels), schema)
+    cur = cut_lineage(cur.withColumn("node", F.lit(1).cast("long")))
+    for level in range(levels):
+        stats = cur.groupBy("tree", "node").agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("proj")[level], 0.5, 10000).alias("_m"))
+        stats = cut_lineage(stats.where(F.col("_n") > leaf_size).select("tree", "node", "_m"))
+        big = stats.count()
+        if big == 0:
             break
-        proj = cur.withColumn("_p", dot(F.col("vec"), _direction(seed + level, dim)))
-        med = (proj.join(big.select("tree", "node"), ["tree", "node"], "left_semi")
-               .groupBy("tree", "node").agg(F.percentile_approx("_p", 0.5, 10000).alias("_m")))
-        if med.count() <= MAX_BROADCAST_NODES:
-            med = F.broadcast(med)
-        j = proj.join(med, ["tree", "node"], "left")
+        if big <= MAX_BROADCAST_NODES:
+            stats = F.broadcast(stats)
+        p = F.col("proj")[level]
         tie = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("id"), F.lit(level)), F.lit(2)) == 0
-        left = (F.col("_p") < F.col("_m")) | ((F.col("_p") == F.col("_m")) & tie)
-        child = F.when(F.col("_m").isNull(), F.col("node")) \
-            .otherwise(F.col("node") * 2 + F.when(left, 0).otherwise(1))
-        cur = j.select("id", "vec", "tree", child.alias("node"))
-        if (level + 1) % CHECKPOINT_EVERY == 0:
-            cur = cut_lineage(cur)
-    # Safety net after max_levels: chunk any node still over the bound by
-    # hash, so candidate groups stay bounded in every case.
+        left = (p < F.col("_m")) | ((p == F.col("_m")) & tie)
+        child = F.when(F.col("_m").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(left, 0).otherwise(1))
+        cur = cut_lineage(cur.join(stats, ["tree", "node"], "left").select("id", "tree", "proj", child.alias("node")))
+    # Safety net at the level cap: split any node still over the bound by
+    # hash, so every candidate group stays bounded.
     sizes = cur.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n"))
     cur = cur.join(sizes, ["tree", "node"])
     chunk = F.when(F.col("_n") > leaf_size,
@@ -95,31 +106,80 @@ def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int =
                       "id")
 
 
+def _leaf_topk(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        x = np.stack(pdf["vec"].to_numpy()).astype(float)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        cos = np.clip(x @ x.T, -1.0, 1.0)
+        sim = 1.0 - np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
+        np.fill_diagonal(sim, -np.inf)
+        m = min(k - 1, len(ids) - 1)
+        if m <= 0:
+            return pd.DataFrame({"id": ids[:0], "other": ids[:0], "similarity": np.zeros(0)})
+        # best m per row: by similarity desc, then other id asc
+        order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :m]
+        rows = np.repeat(np.arange(len(ids)), m)
+        cols = order.reshape(-1)
+        return pd.DataFrame({"id": ids[rows], "other": ids[cols], "similarity": sim[rows, cols]})
+    return run
+
+
+@F.pandas_udf(T.DoubleType())
+def _angular_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - angular distance, row by row, on Arrow batches."""
+    x = np.stack(a.to_numpy()).astype(float)
+    y = np.stack(b.to_numpy()).astype(float)
+    nx = np.linalg.norm(x, axis=1)
+    ny = np.linalg.norm(y, axis=1)
+    cos = np.einsum("ij,ij->i", x, y) / np.where(nx * ny > 0, nx * ny, 1.0)
+    return pd.Series(1.0 - np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.clip(cos, -1.0, 1.0))))
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("other"))
+    return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k - 1).drop("_r")
+
+
+def refine(base: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """One round of neighbours-of-neighbours: candidates of an item are its
+    neighbours and their neighbours (at most (k-1)^2 + k - 1), scored exactly.
+    The join key is the middle item, whose own list is bounded by k - 1."""
+    nn = top.select("id", "other")
+    two = (nn.alias("a").join(nn.alias("b"), F.col("a.other") == F.col("b.id"))
+           .select(F.col("a.id").alias("id"), F.col("b.other").alias("other"))
+           .where(F.col("id") != F.col("other")))
+    cand = two.unionByName(nn).distinct()
+    va = base.select("id", F.col("vec").alias("va"))
+    vb = base.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
+    scored = cand.join(va, "id").join(vb, "other").select("id", "other", _angular_udf("va", "vb").alias("similarity"))
+    return _top(scored, k)
+
+
 def nearest_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, trees: int = DEFAULT_TREES,
-                       leaf_size: int = 32, seed: int = 17, id_col: str = "doc_id",
-                       vec_col: str = "vec") -> DataFrame:
+                       leaf_size: int = 128, seed: int = 17, id_col: str = "doc_id",
+                       vec_col: str = "vec", refine_rounds: int = 1) -> DataFrame:
     """doc_id, similar_doc_id, similarity: the k - 1 most similar other items
-    found by the forest."""
-    base = items.select(F.col(id_col).alias("id"), unit(F.col(vec_col).cast("array<double>")).alias("vec"))
-    base = cut_lineage(base)
+    found by the forest (plus ``refine_rounds`` neighbour-of-neighbour
+    rounds)."""
+    base = cut_lineage(items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+                       .where(F.col("vec").isNotNull()))
     leaves = build_forest(base, trees, leaf_size, seed)
-    a, b = leaves.alias("a"), leaves.alias("b")
-    pairs = (a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.leaf") == F.col("b.leaf"))
-                    & (F.col("a.id") != F.col("b.id")))
-             .select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct())
-    va = base.select(F.col("id"), F.col("vec").alias("va"))
-    vb = base.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
-    scored = (pairs.join(va, "id").join(vb, "other")
-              .select("id", "other", angular_similarity(F.col("va"), F.col("vb")).alias("similarity")))
-    w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("other"))
-    top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k - 1)
+    grouped = leaves.join(base, "id")
+    id_type = base.schema["id"].dataType
+    out = T.StructType([T.StructField("id", id_type), T.StructField("other", id_type),
+                        T.StructField("similarity", T.DoubleType())])
+    cand = grouped.groupBy("tree", "leaf").applyInPandas(_leaf_topk(k), out)
+    best = cand.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    top = _top(best, k)
+    for _ in range(refine_rounds):
+        top = refine(base, cut_lineage(top), k)
     return top.select(F.col("id").alias("doc_id"), F.col("other").alias("similar_doc_id"), "similarity")
 
 
 def exact_neighbours_local(ids, vecs, k: int = DEFAULT_NEIGHBOURS):
     """Brute force on a small in-memory fixture (tests only)."""
-    import numpy as np
-
     x = np.asarray(vecs, dtype=float)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = np.clip(x @ x.T, -1.0, 1.0)
