@@ -122,6 +122,15 @@ class TableStore:
         else:
             self.write(name, upsert(self.read(name), incoming, keys))
 
+    def replace_groups(self, name: str, incoming: DataFrame, column: str, values: list[str]) -> None:
+        """Replace every row whose ``column`` is in ``values`` by ``incoming``
+        (a term's statistics recomputed from scratch)."""
+        if not self.exists(name):
+            self.write(name, incoming)
+            return
+        kept = self.read(name).where(~F.col(column).isin(values))
+        self.write(name, kept.unionByName(incoming.select(*kept.columns)))
+
     def add_terms(self, terms: Iterable[str]) -> None:
         inc = self.spark.createDataFrame([(t.strip().lower(),) for t in terms], "term string")
         if not self.exists("processed_terms"):
