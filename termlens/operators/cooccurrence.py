@@ -44,22 +44,29 @@ def vocabulary(snippets: DataFrame, text_col: str = "processed_text") -> DataFra
     return snippets.select(F.explode(word_tokens(text_col)).alias("word")).distinct()
 
 
-def lemma_map(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, lemma): shortest detachment candidate found in ``vocab`` (ties
-    alphabetical), else the word itself.  Runs on distinct words only."""
-    words = words.select("word").distinct()
+def lemma_of(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, lemma) for the words that have a detachment candidate in
+    ``vocab``: the shortest one, ties alphabetical.  Neither input needs to be
+    distinct (a semi join and an aggregate absorb repeats), which saves two
+    shuffles."""
     cand = words.select("word", F.explode(lemma_candidates(F.col("word"))).alias("cand"))
     known = cand.join(vocab.select(F.col("word").alias("cand")), "cand", "left_semi")
-    best = known.groupBy("word").agg(F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
-    return words.join(best, "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
+    return known.groupBy("word").agg(F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
+
+
+def lemma_map(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, lemma) for every distinct word (the word itself when no
+    candidate is known)."""
+    w = words.select("word").distinct()
+    return w.join(lemma_of(w, vocab), "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
 
 
 def fold_lemmas(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Re-count (search_term, word, count) by lemma: surface forms are counted
     first, then folded, which is the same as lemmatising every token."""
-    lm = lemma_map(counts, vocab)
-    return (counts.join(lm, "word")
-            .groupBy(TERM, F.col("lemma").alias("word"))
+    best = lemma_of(counts, vocab)
+    return (counts.join(best, "word", "left")
+            .groupBy(TERM, F.coalesce("lemma", "word").alias("word"))
             .agg(F.sum("count").alias("count")))
 
 
@@ -117,7 +124,7 @@ def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TO
     all_counts = cut_lineage(token_counts(snippets, text_col))
     counts = all_counts.where(F.length("word") > 2)
     if lemmatize:
-        counts = fold_lemmas(counts, all_counts.select("word").distinct())
+        counts = fold_lemmas(counts, all_counts.select("word"))
     counts = top_n_per_key(drop_self(counts), n)
     counts = dedup_by_stem(counts)
     denom = float(total_docs) * TOKENS_PER_DOCUMENT

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens.constants import DEFAULT_FRAGMENT_LIMIT, FRAGMENT_SPLIT
-from termlens.functions.text import match_normal_form, preprocess_text
+from termlens.functions.text import preprocess_text
 
 # Broadcast the term table up to this many rows (a term row is < 200 bytes).
 MAX_BROADCAST_TERMS = 1_000_000
@@ -62,10 +62,11 @@ def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame) -> DataFr
     ).where((F.col("join_key") != "") & (~F.col("wildcard") | (F.length(norm) >= WILDCARD_KEY_LEN)))
 
 
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint only behind a size check; a LocalRelation is counted on
-    the driver for free, anything else costs one small job."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _maybe_broadcast(df: DataFrame, limit: int, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a size check (a Python term list is counted
+    for free; a term DataFrame costs one small job)."""
+    rows = known_rows if known_rows is not None else df.count()
+    return F.broadcast(df) if rows <= limit else df
 
 
 def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
@@ -76,21 +77,30 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
     columns, highlight (the raw fragment)."""
     spark = docs.sparkSession
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in (doc_col, text_col)]
-    t = _maybe_broadcast(terms_frame(spark, terms), MAX_BROADCAST_TERMS)
-
-    frags = docs.select(doc_col, *carry, F.split(F.col(text_col), FRAGMENT_SPLIT).alias("frags"))
-    frags = frags.withColumn("norms", F.transform("frags", match_normal_form))
-    # Candidate keys of a document: its distinct words, plus 3-letter prefixes
-    # of its words for wildcard terms.
-    words = F.flatten(F.transform("norms", lambda n: F.split(F.trim(n), " ")))
-    if t.where("wildcard").limit(1).count() > 0:
+    if isinstance(terms, DataFrame):
+        t = _maybe_broadcast(terms_frame(spark, terms), MAX_BROADCAST_TERMS)
+        wild = t.where("wildcard").limit(1).count() > 0
+    else:
+        terms = [x for x in terms]
+        t = _maybe_broadcast(terms_frame(spark, terms), MAX_BROADCAST_TERMS, len(terms))
+        wild = any(x.strip().endswith("*") for x in terms)
+
+    # The match form of the whole document is computed once: every run of
+    # characters that are neither letters/digits nor fragment marks becomes a
+    # space, so splitting it on the fragment marks yields fragments aligned
+    # one-to-one with the raw ones.
+    norm_text = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}.!?\n]+", " ")
+    frags = docs.select(doc_col, *carry, F.split(F.col(text_col), FRAGMENT_SPLIT).alias("frags"),
+                        norm_text.alias("_norm"))
+    words = F.split(F.trim(F.regexp_replace("_norm", r"[.!?\n ]+", " ")), " ")
+    if wild:
         words = F.concat(words, F.transform(words, lambda w: F.substring(w, 1, WILDCARD_KEY_LEN)))
-    keys = F.array_distinct(words)
-    cand = frags.select("*", F.explode(keys).alias("join_key"))
+    cand = frags.select("*", F.explode(F.array_distinct(words)).alias("join_key"))
     cand = cand.join(t, "join_key").drop("join_key")
 
+    norms = F.transform(F.split("_norm", FRAGMENT_SPLIT), lambda n: F.concat(F.lit(" "), F.trim(n), F.lit(" ")))
     tagged = F.transform("frags", lambda f, i: F.struct(i.alias("frag_idx"), f.alias("highlight")))
-    hit = F.filter(F.arrays_zip(tagged.alias("s"), F.col("norms").alias("n")),
+    hit = F.filter(F.arrays_zip(tagged.alias("s"), norms.alias("n")),
                    lambda z: F.contains(z["n"], F.col("pattern")))
     if fragment_limit is not None:
         hit = F.slice(hit, 1, int(fragment_limit))

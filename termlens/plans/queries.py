@@ -26,6 +26,7 @@ from termlens.operators import store as st
 from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
+from termlens.session import cut_lineage
 from termlens.sources.tables import citations, citations_sql, corpus, spread, table
 
 
@@ -62,6 +63,17 @@ def cooc(spark, sf_dir, terms=TERMS, **kw) -> DataFrame:
     return co.cooccurrence_stats(snippets(spark, sf_dir, terms), TD, **kw)
 
 
+def snippet_table(spark: SparkSession, sf_dir: str, terms=TERMS) -> DataFrame:
+    """Snippets extracted once and written to the checkpoint directory, for
+    queries that read them in several branches (per-term extraction is
+    independent, so a term subset is a filter of this table)."""
+    return cut_lineage(snippets(spark, sf_dir, terms))
+
+
+def of_terms(snips: DataFrame, terms) -> DataFrame:
+    return snips.where(F.col("search_term").isin(list(terms)))
+
+
 def _snip_sql(prefix: str, terms) -> str:
     import re
 
@@ -78,13 +90,13 @@ SNIP = f"WITH {o.snippets_ctes(TERMS)}"
 
 @register("fold_ascii", "SELECT doc_id, " + o.fold_sql("text") + " AS folded FROM documents")
 def q_fold_ascii(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", fold_ascii("text").alias("folded"))
 
 
 @register("preprocess_text", "SELECT doc_id, " + o.preprocess_sql("text") + " AS processed_text FROM documents")
 def q_preprocess_text(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", preprocess_text("text").alias("processed_text"))
 
 
@@ -139,7 +151,7 @@ def q_lemma_fold(spark, sf_dir):
   lambda w: NOT list_contains(['httpdoc', 'example'], w)), lambda tk: {o.porter_sql('tk', 'duckdb')}), ' ') AS cleaned
 FROM benchmark""")
 def q_clean_tokens(spark, sf_dir):
-    b = spread(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    b = spread(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
     return clean_tokens(b, id_col="item_id")
 
 
@@ -159,7 +171,7 @@ SELECT a.search_term, total_snippets, total_documents,
        CAST(coalesce(uniq, 0) + 1 AS BIGINT) AS unique_terms, unique_publishers
 FROM agg a LEFT JOIN cagg USING (search_term)""")
 def q_corpus_stats(spark, sf_dir):
-    s = snippets(spark, sf_dir)
+    s = snippet_table(spark, sf_dir)
     return cs.corpus_summary(s, co.cooccurrence_stats(s, TD))
 
 
@@ -283,8 +295,9 @@ def q_bib_json(spark, sf_dir):
 @register("pending_terms", f"""WITH {o.cooc_body('ex', EXISTING_TERMS, TD)}, {_snip_sql('a_', TERMS)}
 SELECT DISTINCT search_term FROM a_snippets WHERE search_term NOT IN (SELECT word_1 FROM ex)""")
 def q_pending_terms(spark, sf_dir):
-    done = cooc(spark, sf_dir, EXISTING_TERMS).select(F.col("word_1").alias("search_term"))
-    cand = snippets(spark, sf_dir).select("search_term").distinct()
+    s = snippet_table(spark, sf_dir)
+    done = co.cooccurrence_stats(of_terms(s, EXISTING_TERMS), TD).select(F.col("word_1").alias("search_term"))
+    cand = s.select("search_term").distinct()
     return st.pending(cand, done, "search_term")
 
 
@@ -298,8 +311,9 @@ def q_stats_cleaned(spark, sf_dir):
 SELECT * FROM ex WHERE (word_1, word_2) NOT IN (SELECT (word_1, word_2) FROM inc)
 UNION ALL SELECT word_1, word_2, count + 1 AS count, prob_w1w2 FROM inc""")
 def q_cooccurrence_upsert(spark, sf_dir):
-    ex = cooc(spark, sf_dir, EXISTING_TERMS)
-    inc = cooc(spark, sf_dir, INCOMING_TERMS).withColumn("count", F.col("count") + 1)
+    s = snippet_table(spark, sf_dir, sorted(set(EXISTING_TERMS) | set(INCOMING_TERMS)))
+    ex = co.cooccurrence_stats(of_terms(s, EXISTING_TERMS), TD)
+    inc = co.cooccurrence_stats(of_terms(s, INCOMING_TERMS), TD).withColumn("count", F.col("count") + 1)
     return st.upsert(ex, inc, st.KEYS["term_cooccurrence"])
 
 
@@ -308,23 +322,25 @@ ex AS ({o.term_counts_sql_body('e_snippets', TD)}),
 inc AS (SELECT word, count + 1 AS count, probability FROM ({o.term_counts_sql_body('i_snippets', TD)}))
 SELECT * FROM ex WHERE word NOT IN (SELECT word FROM inc) UNION ALL SELECT * FROM inc""")
 def q_term_counts_upsert(spark, sf_dir):
-    ex = cs.term_counts(snippets(spark, sf_dir, EXISTING_TERMS), TD)
-    inc = cs.term_counts(snippets(spark, sf_dir, INCOMING_TERMS), TD).withColumn("count", F.col("count") + 1)
+    s = snippet_table(spark, sf_dir, sorted(set(EXISTING_TERMS) | set(INCOMING_TERMS)))
+    ex = cs.term_counts(of_terms(s, EXISTING_TERMS), TD)
+    inc = cs.term_counts(of_terms(s, INCOMING_TERMS), TD).withColumn("count", F.col("count") + 1)
     return st.upsert(ex, inc, st.KEYS["term_counts"])
 
 
 @register("processed_terms_merge", f"""WITH {o.cooc_body('ex', LEDGER_TERMS, TD)}, {_snip_sql('a_', TERMS)}
 SELECT DISTINCT word_1 AS term FROM ex UNION SELECT DISTINCT search_term AS term FROM a_snippets""")
 def q_processed_terms_merge(spark, sf_dir):
-    ledger = cooc(spark, sf_dir, LEDGER_TERMS).select(F.col("word_1").alias("term")).distinct()
-    inc = snippets(spark, sf_dir).select(F.col("search_term").alias("term"))
+    s = snippet_table(spark, sf_dir)
+    ledger = co.cooccurrence_stats(of_terms(s, LEDGER_TERMS), TD).select(F.col("word_1").alias("term")).distinct()
+    inc = s.select(F.col("search_term").alias("term"))
     return st.insert_if_absent(ledger, inc, ["term"])
 
 
 @register("remove_term", f"""WITH {o.cooc_body('c', TERMS, TD)}
 SELECT * FROM c WHERE NOT (word_1 = '{REMOVED_TERM}' OR word_2 = '{REMOVED_TERM}')""")
 def q_remove_term(spark, sf_dir):
-    c = cooc(spark, sf_dir)
+    c = cut_lineage(cooc(spark, sf_dir))
     ledger = c.select(F.col("word_1").alias("term")).distinct()
     counts = c.select(F.col("word_1").alias("word"), "count")
     return st.remove_term(ledger, c, counts, f"  {REMOVED_TERM.upper()} ")[1]
@@ -352,7 +368,7 @@ SELECT word, count(*) AS df, count(*) / CAST(any_value(n) AS DOUBLE) AS p,
        round({_h('count(*) / CAST(any_value(n) AS DOUBLE)')}, 12) AS entropy
 FROM dw, nd GROUP BY word""")
 def q_word_entropy(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return inf.word_entropy(inf.doc_words(docs), docs.count())
 
 
@@ -383,7 +399,7 @@ def q_mutual_information(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     td = snippets(spark, sf_dir).select("search_term", "doc_id")
     return inf.pair_information(td, inf.doc_words(docs), docs.count())
 
@@ -394,7 +410,7 @@ SELECT c.word_1, c.word_2, c.prob_w1w2, t1.probability AS p_word_1, t2.probabili
        round(ln(c.prob_w1w2 / (t1.probability * t2.probability)) / {LN2}, 12) AS pmi
 FROM c JOIN tc t1 ON t1.word = c.word_1 JOIN tc t2 ON t2.word = c.word_2""")
 def q_pmi(spark, sf_dir):
-    s = snippets(spark, sf_dir)
+    s = snippet_table(spark, sf_dir)
     return inf.pmi(co.cooccurrence_stats(s, TD), cs.term_counts(s, TD))
 
 

@@ -16,21 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the scan has fewer splits than
-    the cluster has cores (a small file with one row group is read by one
-    task).  Decided on the driver from file metadata; a large input has many
-    splits and is left alone, so this never adds a shuffle at scale."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread the rows over all cores when the scan has fewer splits than the
+    cluster has cores (a small file with one row group is read by one task).
+    Decided on the driver from file metadata; a large input has many splits
+    and is left alone, so this never adds a shuffle at scale.  With a key the
+    rows are hash-partitioned on it (no sort needed; round-robin sorts first
+    to stay deterministic on retry)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the canonical corpus columns: doc_id, text, publisher, lang."""
-    d = spread(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "text", F.col("source").alias("publisher"), "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("publisher"), "lang")
+    return spread(d, "doc_id")
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:

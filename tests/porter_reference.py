@@ -11,8 +11,7 @@ def _cons(w, i):
 
 
 def _m(s):
-    forms = "".join("c" if _cons(s, i) else "v" for i in range(len(s)))
-    return forms.replace("cv", "c|v").count("v|c") if False else _count_vc(forms)
+    return _count_vc("".join("c" if _cons(s, i) else "v" for i in range(len(s))))
 
 
 def _count_vc(forms):
@@ -29,7 +28,8 @@ def _vowel(s):
 
 
 def _double(s):
-    return len(s) >= 2 and s[-1] == s[-2] and _cons(s, len(s) - 1)
+    # a double consonant: the same letter twice, both consonants
+    return len(s) >= 2 and s[-1] == s[-2] and _cons(s, len(s) - 1) and _cons(s, len(s) - 2)
 
 
 def _cvc(s):

@@ -18,7 +18,7 @@ WORDS = ["caresses", "ponies", "ties", "caress", "cats", "feed", "agreed", "plas
          "inference", "airliner", "gyroscopic", "adjustable", "defensible", "irritant", "replacement",
          "adjustment", "dependent", "adoption", "homologou", "communism", "activate", "angulariti",
          "homologous", "effective", "bowdlerize", "probate", "rate", "cease", "controll", "roll",
-         "generalizations", "oscillators", "yield", "syzygy", "sayyid", "toy", "boyish", "ab", "a"]
+         "generalizations", "oscillators", "pfsnyyed", "yield", "syzygy", "sayyid", "toy", "boyish", "ab", "a"]
 
 
 def spark_stems(spark, words):
