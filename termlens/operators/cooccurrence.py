@@ -135,9 +135,12 @@ def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TO
 
 def stem_groups(snippets: DataFrame, text_col: str = "processed_text") -> DataFrame:
     """Stem key of every distinct word: (word, stem, group_size) where
-    group_size is the number of distinct words sharing the stem."""
+    group_size is the number of distinct words sharing the stem (an aggregate
+    joined back, not a window, so a large stem group is not one task's sort)."""
     v = vocabulary(snippets, text_col).withColumn("stem", porter_stem("word"))
-    return v.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy("stem")))
+    v = cut_lineage(v)
+    sizes = v.groupBy("stem").agg(F.count(F.lit(1)).alias("group_size"))
+    return v.join(sizes, "stem").select("word", "stem", "group_size")
 
 
 def top_pairs(stats: DataFrame, k: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.constants import TOKENS_PER_DOCUMENT
+from termlens.session import cut_lineage
 
 TERM = "search_term"
 
@@ -60,10 +61,12 @@ def tfidf(snippets: DataFrame, total_docs: int, doc_col: str = "doc_id") -> Data
     ln(total_docs / (1 + documents of the term)).  The document frequency is a
     second, tiny aggregation joined back on the term (no window over a term,
     which would put a whole term into one task)."""
-    per_doc = (snippets.where(F.col(doc_col).isNotNull())
-               .groupBy(TERM, doc_col).agg(F.count(F.lit(1)).alias("num_snippets")))
+    per_doc = cut_lineage(snippets.where(F.col(doc_col).isNotNull())
+                          .groupBy(TERM, doc_col).agg(F.count(F.lit(1)).alias("num_snippets")))
     df_ = per_doc.groupBy(TERM).agg(F.count(F.lit(1)).alias("_df"))
-    j = per_doc.join(df_, TERM)
+    # one row per search term: bounded by the term list, whose size the
+    # extraction checked; broadcasting it keeps a hot term off one reducer
+    j = per_doc.join(F.broadcast(df_), TERM)
     idf = F.log(F.lit(float(total_docs)) / (F.col("_df") + 1))
     tf = F.col("num_snippets") / F.lit(float(TOKENS_PER_DOCUMENT))
     return j.select(TERM, doc_col, "num_snippets", tf.alias("tf"), (tf * idf).alias("tfidf"))

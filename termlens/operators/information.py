@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions.text import preprocess_text, word_tokens
+from termlens.session import cut_lineage
 
 TERM = "search_term"
 LN2 = math.log(2.0)
@@ -56,11 +57,14 @@ def pair_information(term_docs: DataFrame, presence: DataFrame, n_docs: int,
                      doc_col: str = "doc_id") -> DataFrame:
     """search_term, word, n11, n_term, n_word, h_term, h_word, joint_entropy,
     mutual_information for every (term, word) found together in a document."""
-    td = term_docs.select(TERM, doc_col).distinct()
+    # both inputs feed two branches each: written once, read twice
+    td = cut_lineage(term_docs.select(TERM, doc_col).distinct())
+    presence = cut_lineage(presence)
     n_term = td.groupBy(TERM).agg(F.count(F.lit(1)).alias("n_term"))
     n_word = presence.groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
     n11 = td.join(presence, doc_col).groupBy(TERM, "word").agg(F.count(F.lit(1)).alias("n11"))
-    j = n11.join(n_term, TERM).join(n_word, "word").withColumn("n", F.lit(int(n_docs)))
+    # n_term has one row per search term (bounded by the checked term list)
+    j = n11.join(F.broadcast(n_term), TERM).join(n_word, "word").withColumn("n", F.lit(int(n_docs)))
     n = F.col("n").cast("double")
     c11 = F.col("n11") / n
     c10 = (F.col("n_term") - F.col("n11")) / n

@@ -27,7 +27,7 @@ from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
 from termlens.session import cut_lineage
-from termlens.sources.tables import citations, citations_sql, corpus, spread, table
+from termlens.sources.tables import CITATION_COLUMNS, citations, citations_sql, corpus, spread, table
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def q_stem_groups(spark, sf_dir):
 @register("lemma_fold", f"""{SNIP}, {o.tokens_cte()}, {o.lemma_ctes()}
 SELECT word, lemma FROM lemmas WHERE length(word) > 2""")
 def q_lemma_fold(spark, sf_dir):
-    words = co.token_counts(snippets(spark, sf_dir)).select("word").distinct()
+    words = cut_lineage(co.token_counts(snippets(spark, sf_dir)).select("word").distinct())
     return co.lemma_map(words.where(F.length("word") > 2), words)
 
 
@@ -180,9 +180,12 @@ SELECT s.search_term, count(*) AS num_rows, count(DISTINCT c.journal) AS unique_
        count(DISTINCT c.authors) AS unique_authors
 FROM snippets s JOIN cit c ON c.snippet_row = s.doc_id GROUP BY 1""")
 def q_extraction_profile(spark, sf_dir):
-    s = snippets(spark, sf_dir).select("search_term", "doc_id")
-    c = citations(spark, sf_dir).select(F.col("snippet_row").alias("doc_id"), "journal", "authors")
-    return cs.extraction_profile(s.join(c, "doc_id"))
+    # the citation fields are computed on the document rows and carried
+    # through the extraction: one scan, no join back
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr("text", *CITATION_COLUMNS)
+    docs = docs.withColumnRenamed("snippet_row", "doc_key").drop("doc_id")
+    s = extract_snippets(docs, TERMS, doc_col="doc_key", carry=["journal", "authors"])
+    return cs.extraction_profile(s)
 
 
 TFIDF_SQL = f"""per_doc AS (SELECT search_term, doc_id, count(*) AS num_snippets FROM snippets
