@@ -27,17 +27,21 @@ ROW = "snippet_row"
 
 
 def with_keys(rows: DataFrame, title_year_fallback: bool = True) -> DataFrame:
-    """Adds key_kind and bibjson_id."""
-    doi, doc = clean(optional(rows, "doi")), clean(optional(rows, "doc_id"))
-    title = clean(optional(rows, "title"))
-    year = parse_year(optional(rows, "pub_year"), optional(rows, "year"), optional(rows, "coverDate"))
+    """Adds key_kind and bibjson_id.  The cleaned key fields are computed once
+    as columns (kept apart from the key expressions so each regex chain runs
+    once per row and the generated code stays small)."""
+    keyed = rows.select(
+        "*", clean(optional(rows, "doi")).alias("_doi"), clean(optional(rows, "doc_id")).alias("_doc"),
+        clean(optional(rows, "title")).alias("_title"),
+        parse_year(optional(rows, "pub_year"), optional(rows, "year"), optional(rows, "coverDate")).alias("_year"))
+    doi, doc, title, year = F.col("_doi"), F.col("_doc"), F.col("_title"), F.col("_year")
     ty_ok = F.lit(bool(title_year_fallback)) & title.isNotNull() & year.isNotNull() & (year != 0)
     kind = (F.when(doi.isNotNull(), "doi").when(doc.isNotNull(), "doc_id")
             .when(ty_ok, "title_year").otherwise("row"))
     bib_id = (F.when(doi.isNotNull(), doi).when(doc.isNotNull(), doc)
               .when(ty_ok, F.concat(title, F.lit("::"), year.cast("string")))
               .otherwise(F.concat(F.lit("row-"), F.col(ROW).cast("string"))))
-    return rows.withColumn("key_kind", kind).withColumn("bibjson_id", bib_id)
+    return keyed.select(*rows.columns, kind.alias("key_kind"), bib_id.alias("bibjson_id"))
 
 
 def bib_map(rows: DataFrame, title_year_fallback: bool = True) -> DataFrame:
