@@ -77,19 +77,24 @@ def drop_self(counts: DataFrame) -> DataFrame:
                         & ~F.array_contains(F.transform(tw, lambda x: F.concat(x, F.lit("s"))), F.col("word")))
 
 
+# Largest tie group one task may rank by word; bigger ones are split first.
+EDGE_SORT_MAX = 200_000
+
+
 def top_n_per_key(counts: DataFrame, n: int, key: str = TERM, item: str = "word",
-                  score: str = "count") -> DataFrame:
+                  score: str = "count", sort_max: int = EDGE_SORT_MAX) -> DataFrame:
     """Rows ranked within ``key`` by (score desc, item asc), rank <= n.
 
     A histogram (key, score) -> number of items gives, per key, the score
     groups fully inside the top n, at most one boundary group, and the groups
-    outside.  Only the boundary group is ranked by item.
+    outside.  Only the boundary group is ranked by item (see
+    :func:`_first_items`, which keeps that bounded too).
 
     ``counts`` is materialised first (it is read by up to three branches), and
     when no key has more than n items — the usual case for large n — the
     ranking is skipped after one small aggregation."""
     counts = cut_lineage(counts)
-    largest = counts.groupBy(key).count().agg(F.max("count")).first()[0]
+    largest = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0]
     if largest is None or largest <= n:
         return counts
     hist = counts.groupBy(key, score).agg(F.count(F.lit(1)).alias("_k"))
@@ -98,11 +103,41 @@ def top_n_per_key(counts: DataFrame, n: int, key: str = TERM, item: str = "word"
             .withColumn("_before", F.col("_upto") - F.col("_k"))
             .where(F.col("_before") < n).drop("_k"))
     tagged = counts.join(hist, [key, score])
-    inside = tagged.where(F.col("_upto") <= n)
-    edge = tagged.where(F.col("_upto") > n)
-    r = F.row_number().over(Window.partitionBy(key, score).orderBy(item))
-    edge = edge.withColumn("_r", r).where(F.col("_before") + F.col("_r") <= n).drop("_r")
-    return inside.unionByName(edge).drop("_upto", "_before")
+    inside = tagged.where(F.col("_upto") <= n).drop("_upto", "_before")
+    edge = (tagged.where(F.col("_upto") > n)
+            .withColumn("_need", F.lit(n) - F.col("_before")).drop("_upto", "_before"))
+    return inside.unionByName(_first_items(edge, [key, score], item, sort_max)).select(*counts.columns)
+
+
+def _first_items(edge: DataFrame, group: list[str], item: str, sort_max: int) -> DataFrame:
+    """Per group, the ``_need`` smallest rows by ``item`` — without sorting a
+    group larger than ``sort_max`` in one task.  Large groups are cut into
+    buckets by the item's prefix (one more character per round); buckets
+    wholly before the cut are kept, those after it dropped, and only the
+    bucket that straddles the cut goes on to the next round."""
+    kept = []
+    cur = cut_lineage(edge)
+    plen = 1
+    while True:
+        biggest = cur.groupBy(*group).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0]
+        if biggest is None or biggest <= sort_max:
+            break
+        pre = F.substring(item, 1, plen)
+        hist = cur.groupBy(*group, pre.alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+        w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_upto", F.sum("_k").over(w)).withColumn("_before", F.col("_upto") - F.col("_k"))
+        tag = cur.withColumn("_p", pre).join(hist, [*group, "_p"])
+        kept.append(tag.where(F.col("_upto") <= F.col("_need")).drop("_p", "_k", "_upto", "_before", "_need"))
+        cur = cut_lineage(tag.where((F.col("_before") < F.col("_need")) & (F.col("_upto") > F.col("_need")))
+                          .withColumn("_need", F.col("_need") - F.col("_before"))
+                          .drop("_p", "_k", "_upto", "_before"))
+        plen += 1
+    r = F.row_number().over(Window.partitionBy(*group).orderBy(item))
+    last = cur.withColumn("_r", r).where(F.col("_r") <= F.col("_need")).drop("_r", "_need")
+    out = last
+    for part in kept:
+        out = out.unionByName(part)
+    return out
 
 
 def dedup_by_stem(counts: DataFrame, key: str = TERM) -> DataFrame:

@@ -67,3 +67,24 @@ def test_wildcard_and_fragment_limit(spark):
     assert sorted(r.frag_idx for r in limited) == [0, 1]
     exact = extract_snippets(docs, ["Basalt"]).collect()
     assert [r.frag_idx for r in exact] == [3]
+
+
+def test_top_n_boundary_split_matches_plain_ranking(spark):
+    """A large tie group at rank n is cut by word prefix; the kept rows must
+    equal a plain (score desc, word asc) ranking."""
+    import random
+
+    from pyspark.sql import Window
+
+    from termlens.operators.cooccurrence import top_n_per_key
+
+    random.seed(7)
+    words = sorted({"".join(random.choice("abcd") for _ in range(random.randint(1, 7))) for _ in range(3000)})
+    rows = [("t", w, 1 if i % 4 else 2) for i, w in enumerate(words)] + [("u", w, 1) for w in words[:50]]
+    df = spark.createDataFrame(rows, "search_term string, word string, count long")
+    n = 900
+    got = sorted(tuple(r) for r in top_n_per_key(df, n, sort_max=40).collect())
+    w = Window.partitionBy("search_term").orderBy(F.col("count").desc(), "word")
+    want = sorted(tuple(r) for r in df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+                  .drop("r").collect())
+    assert got == want
