@@ -138,3 +138,41 @@ def match_normal_form(text: Column | str) -> Column:
     t = F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]+", " ")
     return F.concat(F.lit(" "), F.trim(t), F.lit(" "))
 
+
+
+# ---- fixed values: HTML cleaning ---------------------------------------------
+# Elements whose content is not text, removed with their content.
+HTML_DROP = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->"
+# Block-level tags become a line break (a fragment boundary), other tags vanish.
+HTML_BLOCK = (r"(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|article|section"
+              r"|nav|header|footer|title|head|body|html|blockquote|pre)\b[^>]*>")
+HTML_TAG = r"<[^>]*>"
+# Character references decoded; &amp; last so '&amp;lt;' stays '&lt;'.
+HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# ------------------------------------------------------------------------------
+
+
+def strip_html_sql(x: str, dialect: str = "spark") -> str:
+    """SQL text removing markup from the HTML expression ``x``."""
+    if dialect == "spark":
+        def sub(t, p, r):
+            return f"regexp_replace({t}, {sql_lit(p)}, {sql_lit(r)})"
+        lit = sql_lit
+    else:
+        def sub(t, p, r):
+            return f"regexp_replace({t}, '{p.replace(chr(39), chr(39) * 2)}', '{r}', 'g')"
+
+        def lit(v):
+            return "'" + v.replace("'", "''") + "'"
+    t = sub(x, HTML_DROP, " ")
+    t = sub(t, HTML_BLOCK, "\n")
+    t = sub(t, HTML_TAG, "")
+    for ent, ch in HTML_ENTITIES:
+        t = f"replace({t}, {lit(ent)}, {lit(ch)})"
+    return t
+
+
+def strip_html(html: str) -> Column:
+    """Text of an HTML column given by name (scripts, styles and comments
+    dropped, block tags to line breaks, entities decoded)."""
+    return F.expr(strip_html_sql("`" + html + "`"))

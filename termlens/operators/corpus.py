@@ -85,3 +85,11 @@ def doc_vectors(tfidf_rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     A group holds one entry per search term."""
     g = tfidf_rows.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct(TERM, "tfidf"))).alias("_v"))
     return g.select(doc_col, F.col("_v." + TERM).alias("terms"), F.col("_v.tfidf").alias("weights"))
+
+
+def vector_space_shape(vectors: DataFrame) -> tuple[int, int]:
+    """(documents, features) of a document-vector table: two scalars from
+    one aggregate (the number of distinct terms across all vectors)."""
+    r = vectors.select("doc_id", F.explode("terms").alias("_t")).agg(
+        F.count_distinct("doc_id").alias("rows"), F.count_distinct("_t").alias("features")).first()
+    return int(r["rows"]), int(r["features"])

@@ -72,6 +72,19 @@ snippets AS (
   FROM matched WHERE rk <= {int(limit)})"""
 
 
+def page_snippets_sql(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT) -> str:
+    from termlens.functions.text import strip_html_sql
+    from termlens.sources.tables import HOST_PATTERN
+
+    body = snippets_ctes(terms, limit)
+    pages = (f"(SELECT page_id AS doc_id, {strip_html_sql('html', 'duckdb')} AS text,"
+             f" regexp_extract(url, '{HOST_PATTERN}', 1) AS source, NULL AS lang FROM pages)")
+    body = body.replace("string_split_regex(text, '[.!?\\n]+') AS parts FROM documents)",
+                        f"string_split_regex(text, '[.!?\\n]+') AS parts FROM {pages})")
+    body = body.replace(", f.lang,", ",").replace("publisher, lang, highlight", "publisher, highlight")
+    return f"WITH {body} SELECT * FROM snippets"
+
+
 def tokens_cte(name: str = "tokens") -> str:
     return (f"{name} AS (SELECT search_term, unnest(list_filter(string_split_regex(processed_text, ' +'),"
             f" lambda w: w <> '')) AS word FROM snippets)")

@@ -27,7 +27,7 @@ from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
 from termlens.session import cut_lineage
-from termlens.sources.tables import CITATION_COLUMNS, citations, citations_sql, corpus, spread, table
+from termlens.sources.tables import CITATION_COLUMNS, citations, citations_sql, corpus, page_corpus, spread, table
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,11 @@ def q_snippets_by_term(spark, sf_dir):
     return snippets(spark, sf_dir)
 
 
+@register("page_snippets", o.page_snippets_sql(TERMS))
+def q_page_snippets(spark, sf_dir):
+    return with_processed_text(extract_snippets(page_corpus(spark, sf_dir), TERMS))
+
+
 # ---- co-occurrence --------------------------------------------------------------
 
 @register("cooccurrence_stats", o.cooccurrence_sql(TERMS, TD))

@@ -35,6 +35,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(d, "doc_id")
 
 
+HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+
+
+def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as a corpus: markup removed (the extraction's ``clean``
+    switch), the page id as doc_id, the host as publisher."""
+    from termlens.functions.text import strip_html
+
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = spread(p, "page_id")
+    return p.select(F.col("page_id").alias("doc_id"), strip_html("html").alias("text"),
+                    F.regexp_extract("url", HOST_PATTERN, 1).alias("publisher"))
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliography input built from ``documents`` (one row per document), with
     every field kind the bibliography job handles: DOIs (some 'NaN'), document

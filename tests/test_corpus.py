@@ -36,3 +36,13 @@ def test_term_counts_and_snippet_text(spark):
     assert (tc.word, tc["count"], tc.probability) == ("granite", 3, 3 / 43260)
     texts = {r.doc_id: r.text for r in doc_snippet_text(s).collect()}
     assert texts == {1: "a b", 2: "c"}
+
+
+def test_vector_space_shape(spark):
+    from termlens.operators.corpus import doc_vectors, vector_space_shape
+
+    t = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.2), ("a", 2, 0.1)],
+                              "search_term string, doc_id long, tfidf double")
+    v = doc_vectors(t)
+    assert sorted((r.doc_id, r.terms) for r in v.collect()) == [(1, ["a", "b"]), (2, ["a"])]
+    assert vector_space_shape(v) == (2, 2)

@@ -77,3 +77,12 @@ def test_preprocess_properties(spark, texts):
     # folding is idempotent
     again = run(spark, fold_ascii, run(spark, fold_ascii, texts))
     assert again == run(spark, fold_ascii, texts)
+
+
+def test_strip_html(spark):
+    from termlens.functions.text import strip_html
+
+    html = ('<html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head>'
+            '<body><!-- c --><p>One &amp; <b>two</b>&lt;3</p><div>Three&nbsp;four &amp;lt;</div></body></html>')
+    got = spark.createDataFrame([(html,)], "h string").select(strip_html("h")).first()[0]
+    assert [x.strip() for x in got.split("\n") if x.strip()] == ["T", "One & two<3", "Three four &lt;"]
