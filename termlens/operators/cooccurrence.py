@@ -158,9 +158,16 @@ def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TO
     # branch would re-run the extraction with differently pruned columns.
     all_counts = cut_lineage(token_counts(snippets, text_col))
     counts = all_counts.where(F.length("word") > 2)
+    # Folding only merges words, so the surface vocabulary of a term bounds
+    # its folded vocabulary: when no term has more than n surface words the
+    # top-n cannot drop anything and is skipped (one aggregate over the
+    # written counts decides it).
+    widest = counts.groupBy(TERM).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0]
     if lemmatize:
         counts = fold_lemmas(counts, all_counts.select("word"))
-    counts = top_n_per_key(drop_self(counts), n)
+    counts = drop_self(counts)
+    if widest is not None and widest > n:
+        counts = top_n_per_key(counts, n)
     counts = dedup_by_stem(counts)
     denom = float(total_docs) * TOKENS_PER_DOCUMENT
     return counts.select(F.col(TERM).alias("word_1"), F.col("word").alias("word_2"),
