@@ -85,7 +85,9 @@ def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int =
     for level in range(levels):
         stats = cur.groupBy("tree", "node").agg(
             F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("proj")[level], 0.5, 10000).alias("_m"))
-        stats = cut_lineage(stats.where(F.col("_n") > leaf_size).select("tree", "node", "_m"))
+        # small (one row per node to split) and computed from the written item
+        # table, so it is recomputed rather than written out
+        stats = stats.where(F.col("_n") > leaf_size).select("tree", "node", "_m")
         big = stats.count()
         if big == 0:
             break
