@@ -36,22 +36,25 @@ MAX_BROADCAST_TERMS = 1_000_000
 WILDCARD_KEY_LEN = 3
 
 
-def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame) -> DataFrame:
-    """(search_term, pattern, first_word, prefix) for a list or a one-column
-    DataFrame of terms.  ``search_term`` is the lower-cased term as given."""
+def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """(search_term, wildcard, pattern, join_key) for a list or a one-column
+    DataFrame of terms.  ``search_term`` is the lower-cased term; the pattern
+    keeps the term's case when matching is case-sensitive."""
     if isinstance(terms, DataFrame):
-        base = terms.select(F.lower(F.trim(F.col(terms.columns[0]))).alias("search_term"))
+        base = terms.select(F.trim(F.col(terms.columns[0])).alias("_given"))
     else:
-        uniq = sorted({t.strip().lower() for t in terms if t and t.strip()})
+        uniq = sorted({t.strip() if case_sensitive else t.strip().lower() for t in terms if t and t.strip()})
         if not uniq:
-            base = spark.createDataFrame([], T.StructType([T.StructField("search_term", T.StringType())]))
+            base = spark.createDataFrame([], T.StructType([T.StructField("_given", T.StringType())]))
         else:  # a VALUES list is a LocalRelation: no Python RDD, size known
             vals = ", ".join("('" + t.replace("\\", "\\\\").replace("'", "\\'") + "')" for t in uniq)
-            base = spark.sql(f"SELECT * FROM VALUES {vals} AS t(search_term)")
+            base = spark.sql(f"SELECT * FROM VALUES {vals} AS t(_given)")
+    given = F.col("_given") if case_sensitive else F.lower(F.col("_given"))
+    base = base.select(F.lower(F.col("_given")).alias("search_term"), given.alias("_given"))
     if isinstance(terms, DataFrame):
-        base = base.dropDuplicates(["search_term"])
-    wild = F.col("search_term").endswith("*")
-    stem = F.regexp_replace(F.col("search_term"), r"\*$", "")
+        base = base.dropDuplicates(["_given"])
+    wild = F.col("_given").endswith("*")
+    stem = F.regexp_replace(F.col("_given"), r"\*$", "")
     norm = F.trim(F.regexp_replace(stem, r"[^\p{L}\p{N}]+", " "))
     return base.select(
         "search_term",
@@ -72,24 +75,33 @@ def _maybe_broadcast(df: DataFrame, limit: int, known_rows: int | None = None) -
 def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
                      fragment_limit: int | None = DEFAULT_FRAGMENT_LIMIT,
                      doc_col: str = "doc_id", text_col: str = "text",
-                     carry: Iterable[str] | None = None) -> DataFrame:
+                     carry: Iterable[str] | None = None, case_sensitive: bool = False,
+                     acquired_before: str | None = None, acquired_col: str = "acquired") -> DataFrame:
     """Snippet rows: search_term, <doc_col>, frag_idx (0-based), carried
-    columns, highlight (the raw fragment)."""
+    columns, highlight (the raw fragment).
+
+    ``case_sensitive`` matches the terms' own case; ``acquired_before`` keeps
+    documents whose ``acquired_col`` is earlier than that date (a predicate
+    pushed to the Parquet scan)."""
     spark = docs.sparkSession
-    carry = [c for c in (carry if carry is not None else docs.columns) if c not in (doc_col, text_col)]
+    if acquired_before is not None:
+        docs = docs.where(F.col(acquired_col) < F.to_date(F.lit(acquired_before)))
+    carry = [c for c in (carry if carry is not None else docs.columns)
+             if c not in (doc_col, text_col) and not (acquired_before is not None and c == acquired_col)]
     if isinstance(terms, DataFrame):
-        t = _maybe_broadcast(terms_frame(spark, terms), MAX_BROADCAST_TERMS)
+        t = _maybe_broadcast(terms_frame(spark, terms, case_sensitive), MAX_BROADCAST_TERMS)
         wild = t.where("wildcard").limit(1).count() > 0
     else:
         terms = [x for x in terms]
-        t = _maybe_broadcast(terms_frame(spark, terms), MAX_BROADCAST_TERMS, len(terms))
+        t = _maybe_broadcast(terms_frame(spark, terms, case_sensitive), MAX_BROADCAST_TERMS, len(terms))
         wild = any(x.strip().endswith("*") for x in terms)
 
     # The match form of the whole document is computed once: every run of
     # characters that are neither letters/digits nor fragment marks becomes a
     # space, so splitting it on the fragment marks yields fragments aligned
     # one-to-one with the raw ones.
-    norm_text = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}.!?\n]+", " ")
+    text = F.col(text_col) if case_sensitive else F.lower(F.col(text_col))
+    norm_text = F.regexp_replace(text, r"[^\p{L}\p{N}.!?\n]+", " ")
     frags = docs.select(doc_col, *carry, F.split(F.col(text_col), FRAGMENT_SPLIT).alias("frags"),
                         norm_text.alias("_norm"))
     words = F.split(F.trim(F.regexp_replace("_norm", r"[.!?\n ]+", " ")), " ")

@@ -23,6 +23,7 @@ from termlens.operators import information as inf
 from termlens.operators import network as nw
 from termlens.operators import similarity as sim
 from termlens.operators import store as st
+from termlens.operators.rowindex import dense_index
 from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
@@ -107,6 +108,14 @@ def q_snippets_by_term(spark, sf_dir):
     return snippets(spark, sf_dir)
 
 
+@register("snippet_rows", f"""{SNIP}
+SELECT search_term, doc_id, frag_idx, CAST(row_number() OVER (PARTITION BY search_term ORDER BY doc_id, frag_idx) - 1
+       AS BIGINT) AS snippet_row FROM snippets""")
+def q_snippet_rows(spark, sf_dir):
+    s = snippets(spark, sf_dir).select("search_term", "doc_id", "frag_idx")
+    return dense_index(s, ["search_term"], ["doc_id", "frag_idx"], "snippet_row")
+
+
 @register("page_snippets", o.page_snippets_sql(TERMS))
 def q_page_snippets(spark, sf_dir):
     return with_processed_text(extract_snippets(page_corpus(spark, sf_dir), TERMS))

@@ -88,3 +88,19 @@ def test_top_n_boundary_split_matches_plain_ranking(spark):
     want = sorted(tuple(r) for r in df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
                   .drop("r").collect())
     assert got == want
+
+
+def test_case_sensitive_and_acquired_before(spark):
+    import datetime
+
+    docs = spark.createDataFrame(
+        [(1, "Volcanic Arc rocks. a volcanic arc here", datetime.date(2020, 1, 1)),
+         (2, "Volcanic Arc again", datetime.date(2024, 1, 1))],
+        "doc_id long, text string, acquired date")
+    plain = extract_snippets(docs, ["volcanic arc"]).collect()
+    assert sorted((r.doc_id, r.frag_idx) for r in plain) == [(1, 0), (1, 1), (2, 0)]
+    cs = extract_snippets(docs, ["Volcanic Arc"], case_sensitive=True).collect()
+    assert sorted((r.doc_id, r.frag_idx) for r in cs) == [(1, 0), (2, 0)]
+    assert {r.search_term for r in cs} == {"volcanic arc"}
+    old = extract_snippets(docs, ["volcanic arc"], acquired_before="2023-01-01").collect()
+    assert sorted((r.doc_id, r.frag_idx) for r in old) == [(1, 0), (1, 1)]
