@@ -132,14 +132,6 @@ def word_tokens(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), " +"), lambda w: w != "")
 
 
-def match_normal_form(text: Column | str) -> Column:
-    """Lower case, every run of non letters/digits to one space, padded with a
-    space on both sides: the form terms are matched against."""
-    t = F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]+", " ")
-    return F.concat(F.lit(" "), F.trim(t), F.lit(" "))
-
-
-
 # ---- fixed values: HTML cleaning ---------------------------------------------
 # Elements whose content is not text, removed with their content.
 HTML_DROP = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->"

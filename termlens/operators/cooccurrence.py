@@ -34,11 +34,6 @@ def token_counts(snippets: DataFrame, text_col: str = "processed_text") -> DataF
             .groupBy(TERM, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
-def surface_counts(snippets: DataFrame, text_col: str = "processed_text") -> DataFrame:
-    """(search_term, word, count) for tokens longer than two characters."""
-    return token_counts(snippets, text_col).where(F.length("word") > 2)
-
-
 def vocabulary(snippets: DataFrame, text_col: str = "processed_text") -> DataFrame:
     """Distinct words of the cleaned snippets (all lengths)."""
     return snippets.select(F.explode(word_tokens(text_col)).alias("word")).distinct()

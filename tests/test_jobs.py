@@ -3,7 +3,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from termlens.operators.store import TableStore
 from termlens.plans.jobs import Layout, extract, process_terms

@@ -5,7 +5,6 @@ import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from termlens.functions.stopwords import DEFAULT_STOP_WORDS
 from termlens.functions.text import fold_ascii, preprocess_text
