@@ -61,3 +61,28 @@ def split_authors(authors: Column | str) -> Column:
     """Array of names; null or separators only -> empty array."""
     parts = F.transform(F.split(F.coalesce(nanify(authors), F.lit("")), AUTHOR_SEPARATOR), strip_ws)
     return F.filter(parts, lambda x: x != "")
+
+
+def author_names(df: DataFrame, column: str) -> Column:
+    """Names from an author field of any supported shape: a separated string,
+    an array of strings, or an array of structs with ``name`` or
+    ``given``/``family`` (a missing given name is simply left out)."""
+    from pyspark.sql import types as T
+
+    dtype = df.schema[column].dataType
+    c = F.col(column)
+    if isinstance(dtype, T.StringType):
+        return split_authors(c)
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
+        names = F.transform(F.coalesce(c, F.array().cast(dtype)), lambda x: F.coalesce(norm_str(x), F.lit("")))
+        return F.filter(names, lambda x: x != "")
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+        fields = {f.name.lower(): f.name for f in dtype.elementType.fields}
+
+        def name_of(a):
+            parts = [norm_str(a[fields[k]]) for k in ("given", "family") if k in fields]
+            joined = F.nullif(F.concat_ws(" ", *parts), F.lit("")) if parts else F.lit(None).cast("string")
+            return F.coalesce(norm_str(a[fields["name"]]) if "name" in fields else F.lit(None).cast("string"),
+                              joined, F.lit(""))
+        return F.filter(F.transform(F.coalesce(c, F.array().cast(dtype)), name_of), lambda x: x != "")
+    raise TypeError(f"unsupported author field type: {dtype.simpleString()}")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.constants import BIBJSON_GENERATOR, BIBJSON_VERSION, DEFAULT_COLLECTION
-from termlens.functions.biblio import clean, nanify, optional, parse_year, split_authors
+from termlens.functions.biblio import author_names, clean, nanify, optional, parse_year
 
 ROW = "snippet_row"
 
@@ -61,12 +61,14 @@ def bib_records(rows: DataFrame, title_year_fallback: bool = True) -> DataFrame:
     struct<name>), year, journal, publisher, identifier, link."""
     r = _first_rows(rows, title_year_fallback)
     doi, url = clean(optional(r, "doi")), F.coalesce(clean(optional(r, "url")), clean(optional(r, "landing_page")))
-    authors = optional(r, "authors") if "authors" in [c.lower() for c in r.columns] else optional(r, "author")
+    lower = {c.lower(): c for c in r.columns}
+    author_col = lower.get("authors") or lower.get("author")
+    author = author_names(r, author_col) if author_col else F.array().cast("array<string>")
     return r.select(
         F.col("bibjson_id").alias("id"), "key_kind",
         F.coalesce(nanify(optional(r, "type")), F.lit("article")).alias("type"),
         F.coalesce(clean(optional(r, "title")), F.lit("")).alias("title"),
-        F.transform(split_authors(authors), lambda n: F.struct(n.alias("name"))).alias("author"),
+        F.transform(author, lambda n: F.struct(n.alias("name"))).alias("author"),
         parse_year(optional(r, "pub_year"), optional(r, "year"), optional(r, "coverDate")).alias("year"),
         F.coalesce(clean(optional(r, "journal")), clean(optional(r, "source"))).alias("journal"),
         clean(optional(r, "publisher")).alias("publisher"),

@@ -36,3 +36,33 @@ def test_keys_and_records(spark):
     assert recs[("doc_id", "10.1/x")].identifier == [] and recs[("doc_id", "10.1/x")].link is None
     js = [r.record_json for r in bib_json_lines(bib_records(rows)).collect()]
     assert all(j.startswith('{"id":') and '"link":' in j for j in js)
+
+
+def test_author_shapes(spark):
+    from termlens.functions.biblio import author_names
+
+    df = spark.createDataFrame(
+        [([{"name": None, "given": None, "family": "Roe"}, {"name": "A. B.", "given": "x", "family": "y"},
+           {"name": " ", "given": "Jo", "family": "Doe"}],)],
+        "a array<struct<name:string,given:string,family:string>>")
+    assert df.select(author_names(df, "a")).first()[0] == ["Roe", "A. B.", "Jo Doe"]
+    df2 = spark.createDataFrame([([" X ", "", None, "Y"],)], "a array<string>")
+    assert df2.select(author_names(df2, "a")).first()[0] == ["X", "Y"]
+
+
+def test_write_bibjson(spark):
+    import json
+    import os
+    import tempfile
+
+    from termlens.operators.bibliography import write_bibjson
+
+    rows = spark.createDataFrame([(0, "10.1/x", "T", "2000", "A; B")],
+                                 "snippet_row long, doi string, title string, pub_year string, authors string")
+    out = tempfile.mkdtemp(prefix="termlens-bib-")
+    write_bibjson(bib_records(rows), out, collection="xDD-test", created="2026-01-01T00:00:00Z")
+    header = json.loads(spark.read.text(os.path.join(out, "collection")).first()[0])
+    assert header == {"collection": "xDD-test", "metadata": {
+        "created": "2026-01-01T00:00:00Z", "generator": "termlens (bibliography job)", "version": "0.2"}}
+    rec = json.loads(spark.read.text(os.path.join(out, "records")).first()[0])
+    assert rec["id"] == "10.1/x" and [a["name"] for a in rec["author"]] == ["A", "B"] and rec["year"] == 2000

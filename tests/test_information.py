@@ -29,3 +29,15 @@ def test_pmi(spark):
     co = spark.createDataFrame([("x", "y", 1, 0.5)], "word_1 string, word_2 string, count long, prob_w1w2 double")
     tc = spark.createDataFrame([("x", 2, 0.5), ("y", 2, 0.5)], "word string, count long, probability double")
     assert pmi(co, tc).first().pmi == 1.0
+
+
+def test_network_neighbourhood_and_lexicon(spark):
+    from termlens.operators.network import network_edges, network_nodes
+
+    co = spark.createDataFrame([("t", "a", 5, 0.5), ("t", "b", 1, 0.1), ("u", "a", 2, 0.2)],
+                               "word_1 string, word_2 string, count long, prob_w1w2 double")
+    e = network_edges(co, min_prob=0.15, terms=["T "])
+    assert [tuple(r) for r in e.collect()] == [("t", "a", 5, 0.5)]
+    lex = spark.createDataFrame([("a", "mineral")], "word string, type string")
+    nodes = {r.node: (r.degree, r.strength, r.type) for r in network_nodes(network_edges(co), lex).collect()}
+    assert nodes == {"t": (2, 6, "term"), "u": (1, 2, "term"), "a": (2, 7, "mineral"), "b": (1, 1, "word")}
