@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens.constants import DEFAULT_FRAGMENT_LIMIT, FRAGMENT_SPLIT
+from termlens.functions.porter import porter_sql
 from termlens.functions.text import preprocess_text
 
 # Broadcast the term table up to this many rows (a term row is < 200 bytes).
@@ -65,6 +66,18 @@ def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame, case_sens
     ).where((F.col("join_key") != "") & (~F.col("wildcard") | (F.length(norm) >= WILDCARD_KEY_LEN)))
 
 
+def _stem_terms(t: DataFrame) -> DataFrame:
+    """Term table matched on stems: pattern and join key from the Porter
+    stems of the term's words (wildcard terms keep their prefix)."""
+    words = "split(trim(pattern), ' ')"
+    stem_pat = f"concat(' ', array_join(transform({words}, sw -> {porter_sql('sw')}), ' '), ' ')"
+    return t.select(
+        "search_term", "wildcard",
+        F.when(F.col("wildcard"), F.col("pattern")).otherwise(F.expr(stem_pat)).alias("pattern"),
+        F.when(F.col("wildcard"), F.col("join_key")).otherwise(
+            F.expr(f"transform(array(join_key), sw -> {porter_sql('sw')})[0]")).alias("join_key"))
+
+
 def _maybe_broadcast(df: DataFrame, limit: int, known_rows: int | None = None) -> DataFrame:
     """Broadcast hint only behind a size check (a Python term list is counted
     for free; a term DataFrame costs one small job)."""
@@ -76,24 +89,29 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
                      fragment_limit: int | None = DEFAULT_FRAGMENT_LIMIT,
                      doc_col: str = "doc_id", text_col: str = "text",
                      carry: Iterable[str] | None = None, case_sensitive: bool = False,
-                     acquired_before: str | None = None, acquired_col: str = "acquired") -> DataFrame:
+                     acquired_before: str | None = None, acquired_col: str = "acquired",
+                     stemmed: bool = False) -> DataFrame:
     """Snippet rows: search_term, <doc_col>, frag_idx (0-based), carried
     columns, highlight (the raw fragment).
 
     ``case_sensitive`` matches the terms' own case; ``acquired_before`` keeps
     documents whose ``acquired_col`` is earlier than that date (a predicate
-    pushed to the Parquet scan)."""
+    pushed to the Parquet scan); ``stemmed`` matches Porter stems of the
+    words (``volcanic arcs`` is a snippet of ``volcanic arc``), stemming each
+    document's words inside its row."""
     spark = docs.sparkSession
     if acquired_before is not None:
         docs = docs.where(F.col(acquired_col) < F.to_date(F.lit(acquired_before)))
     carry = [c for c in (carry if carry is not None else docs.columns)
              if c not in (doc_col, text_col) and not (acquired_before is not None and c == acquired_col)]
     if isinstance(terms, DataFrame):
-        t = _maybe_broadcast(terms_frame(spark, terms, case_sensitive), MAX_BROADCAST_TERMS)
+        tf = terms_frame(spark, terms, case_sensitive)
+        t = _maybe_broadcast(_stem_terms(tf) if stemmed else tf, MAX_BROADCAST_TERMS)
         wild = t.where("wildcard").limit(1).count() > 0
     else:
         terms = [x for x in terms]
-        t = _maybe_broadcast(terms_frame(spark, terms, case_sensitive), MAX_BROADCAST_TERMS, len(terms))
+        tf = terms_frame(spark, terms, case_sensitive)
+        t = _maybe_broadcast(_stem_terms(tf) if stemmed else tf, MAX_BROADCAST_TERMS, len(terms))
         wild = any(x.strip().endswith("*") for x in terms)
 
     # The match form of the whole document is computed once: every run of
@@ -105,12 +123,20 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
     frags = docs.select(doc_col, *carry, F.split(F.col(text_col), FRAGMENT_SPLIT).alias("frags"),
                         norm_text.alias("_norm"))
     words = F.split(F.trim(F.regexp_replace("_norm", r"[.!?\n ]+", " ")), " ")
+    if stemmed:
+        words = F.expr(f"transform(array_distinct(split(trim(regexp_replace(_norm, '[.!?\\\\n ]+', ' ')), ' ')),"
+                       f" sw -> {porter_sql('sw')})")
     if wild:
         words = F.concat(words, F.transform(words, lambda w: F.substring(w, 1, WILDCARD_KEY_LEN)))
     cand = frags.select("*", F.explode(F.array_distinct(words)).alias("join_key"))
     cand = cand.join(t, "join_key").drop("join_key")
 
-    norms = F.transform(F.split("_norm", FRAGMENT_SPLIT), lambda n: F.concat(F.lit(" "), F.trim(n), F.lit(" ")))
+    if stemmed:
+        norms = F.expr(f"transform(split(_norm, '[.!?\\\\n]+'), fr -> concat(' ', array_join(transform("
+                       f"split(trim(fr), ' '), sw -> {porter_sql('sw')}), ' '), ' '))")
+    else:
+        norms = F.transform(F.split("_norm", FRAGMENT_SPLIT),
+                            lambda n: F.concat(F.lit(" "), F.trim(n), F.lit(" ")))
     tagged = F.transform("frags", lambda f, i: F.struct(i.alias("frag_idx"), f.alias("highlight")))
     hit = F.filter(F.arrays_zip(tagged.alias("s"), norms.alias("n")),
                    lambda z: F.contains(z["n"], F.col("pattern")))

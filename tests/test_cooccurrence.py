@@ -104,3 +104,15 @@ def test_case_sensitive_and_acquired_before(spark):
     assert {r.search_term for r in cs} == {"volcanic arc"}
     old = extract_snippets(docs, ["volcanic arc"], acquired_before="2023-01-01").collect()
     assert sorted((r.doc_id, r.frag_idx) for r in old) == [(1, 0), (1, 1)]
+
+
+def test_stemmed_matching(spark):
+    docs = spark.createDataFrame(
+        [(1, "Two volcanic arcs meet. A volcanic arc! Volcanism only. arcs volcanic"), (2, "Basalts everywhere")],
+        "doc_id long, text string")
+    got = sorted((r.search_term, r.doc_id, r.frag_idx)
+                 for r in extract_snippets(docs, ["volcanic arc", "basalt"], stemmed=True).collect())
+    assert got == [("basalt", 2, 0), ("volcanic arc", 1, 0), ("volcanic arc", 1, 1)]
+    exact = sorted((r.search_term, r.doc_id, r.frag_idx)
+                   for r in extract_snippets(docs, ["volcanic arc", "basalt"]).collect())
+    assert exact == [("volcanic arc", 1, 1)]
