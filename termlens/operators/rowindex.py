@@ -28,7 +28,7 @@ def dense_index(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     """``df`` plus ``name`` = 0-based position of the row in its group by
     ``order`` (which must be unique within a group)."""
     group, order = list(group), list(order)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     keyed = (df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(LOW_BITS))))

@@ -41,16 +41,28 @@ def get_spark(master: str | None = None, app: str = "termlens", shuffle_partitio
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint directory the cluster names in
-    ``spark.checkpoint.dir``.  Only when it is unset (local tests) a scratch
-    directory is created and registered."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    ``spark.checkpoint.dir``.  Only a local session (tests) without one gets a
+    scratch directory; on a cluster an unset directory is an error, because a
+    machine-local folder would not survive the loss of that machine."""
+    sc = _context(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        master = sc.master if sc else spark.conf.get("spark.master", "")
+        if not str(master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="termlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -23,8 +23,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     and is left alone, so this never adds a shuffle at scale.  With a key the
     rows are hash-partitioned on it (no sort needed; round-robin sorts first
     to stay deterministic on retry)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (Spark Connect): leave the scan as it is
+        return df
+    if splits < cores:
         return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
