@@ -21,7 +21,7 @@ DEFAULT_UNWANTED_WORDS = ("httpdoc", "example")
 AUTHOR_SEPARATOR = r";|, and | and |\|"
 # Bibliography collection defaults.
 BIBJSON_VERSION = "0.2"
-DEFAULT_COLLECTION = "xDD-collection"
+DEFAULT_COLLECTION = "termlens-collection"
 BIBJSON_GENERATOR = "termlens (bibliography job)"
 # Neighbour search defaults: number of trees and neighbours (self included).
 DEFAULT_TREES = 10

@@ -60,9 +60,9 @@ def test_write_bibjson(spark):
     rows = spark.createDataFrame([(0, "10.1/x", "T", "2000", "A; B")],
                                  "snippet_row long, doi string, title string, pub_year string, authors string")
     out = tempfile.mkdtemp(prefix="termlens-bib-")
-    write_bibjson(bib_records(rows), out, collection="xDD-test", created="2026-01-01T00:00:00Z")
+    write_bibjson(bib_records(rows), out, collection="test-collection", created="2026-01-01T00:00:00Z")
     header = json.loads(spark.read.text(os.path.join(out, "collection")).first()[0])
-    assert header == {"collection": "xDD-test", "metadata": {
+    assert header == {"collection": "test-collection", "metadata": {
         "created": "2026-01-01T00:00:00Z", "generator": "termlens (bibliography job)", "version": "0.2"}}
     rec = json.loads(spark.read.text(os.path.join(out, "records")).first()[0])
     assert rec["id"] == "10.1/x" and [a["name"] for a in rec["author"]] == ["A", "B"] and rec["year"] == 2000
