@@ -74,12 +74,20 @@ def drop_self(counts: DataFrame) -> DataFrame:
 
 # Largest tie group one task may rank by word; bigger ones are split first.
 EDGE_SORT_MAX = 200_000
+# Up to this n a plain row_number() filter is planned with a partial
+# WindowGroupLimit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+WINDOW_LIMIT_MAX = 1000
 
 
 def top_n_per_key(counts: DataFrame, n: int, key: str = TERM, item: str = "word",
-                  score: str = "count", sort_max: int = EDGE_SORT_MAX) -> DataFrame:
+                  score: str = "count", sort_max: int = EDGE_SORT_MAX,
+                  window_max: int = WINDOW_LIMIT_MAX) -> DataFrame:
     """Rows ranked within ``key`` by (score desc, item asc), rank <= n.
 
+    Small n (<= ``window_max``): ``row_number() <= n``, which Spark plans as a
+    partial WindowGroupLimit on the map side — every task ships at most n rows
+    per key, so even a key holding a third of all rows shuffles little.
+
     A histogram (key, score) -> number of items gives, per key, the score
     groups fully inside the top n, at most one boundary group, and the groups
     outside.  Only the boundary group is ranked by item (see
@@ -88,6 +96,9 @@ def top_n_per_key(counts: DataFrame, n: int, key: str = TERM, item: str = "word"
     ``counts`` is materialised first (it is read by up to three branches), and
     when no key has more than n items — the usual case for large n — the
     ranking is skipped after one small aggregation."""
+    if n <= window_max:
+        w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(item))
+        return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
     counts = cut_lineage(counts)
     largest = counts.groupBy(key).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0]
     if largest is None or largest <= n:

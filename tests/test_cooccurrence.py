@@ -83,7 +83,7 @@ def test_top_n_boundary_split_matches_plain_ranking(spark):
     rows = [("t", w, 1 if i % 4 else 2) for i, w in enumerate(words)] + [("u", w, 1) for w in words[:50]]
     df = spark.createDataFrame(rows, "search_term string, word string, count long")
     n = 900
-    got = sorted(tuple(r) for r in top_n_per_key(df, n, sort_max=40).collect())
+    got = sorted(tuple(r) for r in top_n_per_key(df, n, sort_max=40, window_max=0).collect())
     w = Window.partitionBy("search_term").orderBy(F.col("count").desc(), "word")
     want = sorted(tuple(r) for r in df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
                   .drop("r").collect())

@@ -36,3 +36,10 @@ def test_forest_similarities_are_exact(spark):
     for r in got[:500]:
         cos = float(np.clip(x[idx[r.doc_id]] @ x[idx[r.similar_doc_id]], -1, 1))
         assert abs(r.similarity - (1 - np.sqrt(max(0.0, 2 - 2 * cos)))) < 1e-9
+
+
+def test_small_top_n_limits_before_shuffle(spark):
+    df = REGISTRY["network_edges"].run(spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
