@@ -127,6 +127,26 @@ def preprocess_text(text: str, stop_words: Iterable[str] | None = None) -> Colum
     return F.expr(preprocess_sql(_ident(text), stops))
 
 
+@functools.lru_cache(maxsize=None)
+def preprocess_tokens_sql(x: str, stop_words: tuple[str, ...] | None = None) -> str:
+    """SQL text of the token array of :func:`preprocess_text` (the same words,
+    in order) without building the cleaned string: after folding and lower
+    case, punctuation, digits and whitespace all separate words, so the words
+    are exactly the runs of ``[a-z]``."""
+    stops = stop_words if stop_words is not None else DEFAULT_STOP_WORDS
+    words = f"regexp_extract_all(lower({fold_ascii_sql(x)}), '[a-z]+', 0)"
+    keep = "length(w) > 1"
+    if stops:
+        keep += " AND NOT w IN (" + ", ".join(sql_lit(w) for w in stops) + ")"
+    return f"filter({words}, w -> {keep})"
+
+
+def preprocess_tokens(text: str, stop_words: Iterable[str] | None = None) -> Column:
+    """Token array of the fully cleaned text of a column given by name."""
+    stops = tuple(stop_words) if stop_words is not None else None
+    return F.expr(preprocess_tokens_sql(_ident(text), stops))
+
+
 def word_tokens(text: Column | str) -> Column:
     """Whitespace tokens of already-cleaned text; empty strings dropped."""
     return F.filter(F.split(_col(text), " +"), lambda w: w != "")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlens.functions.text import preprocess_text, word_tokens
+from termlens.functions.text import preprocess_tokens
 from termlens.session import cut_lineage
 
 TERM = "search_term"
@@ -42,7 +42,7 @@ def binary_entropy(p: Column) -> Column:
 def doc_words(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
               min_len: int = 3) -> DataFrame:
     """Distinct (doc, word) presence from the cleaned document text."""
-    toks = F.filter(word_tokens(preprocess_text(text_col)), lambda w: F.length(w) >= min_len)
+    toks = F.filter(preprocess_tokens(text_col), lambda w: F.length(w) >= min_len)
     return docs.select(doc_col, F.explode(F.array_distinct(toks)).alias("word"))
 
 

@@ -5,6 +5,7 @@ import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from termlens.functions.stopwords import DEFAULT_STOP_WORDS
 from termlens.functions.text import fold_ascii, preprocess_text
@@ -85,3 +86,23 @@ def test_strip_html(spark):
             '<body><!-- c --><p>One &amp; <b>two</b>&lt;3</p><div>Three&nbsp;four &amp;lt;</div></body></html>')
     got = spark.createDataFrame([(html,)], "h string").select(strip_html("h")).first()[0]
     assert [x.strip() for x in got.split("\n") if x.strip()] == ["T", "One & two<3", "Three four &lt;"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=20))
+def test_token_path_equals_cleaned_text(spark, texts):
+    from termlens.functions.text import preprocess_tokens
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.orderBy("i").select(preprocess_text("text").alias("p"), preprocess_tokens("text").alias("t")).collect()
+    for r in rows:
+        assert r.t == [w for w in r.p.split(" ") if w]
+
+
+def test_token_path_on_documents(spark):
+    from termlens.functions.text import preprocess_tokens
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    both = d.select(F.split(preprocess_text("text"), " ").alias("p"), preprocess_tokens("text").alias("t"))
+    bad = both.where(F.filter("p", lambda w: w != "") != F.col("t")).count()
+    assert bad == 0
