@@ -357,7 +357,7 @@ def q_processed_terms_merge(spark, sf_dir):
 @register("remove_term", f"""WITH {o.cooc_body('c', TERMS, TD)}
 SELECT * FROM c WHERE NOT (word_1 = '{REMOVED_TERM}' OR word_2 = '{REMOVED_TERM}')""")
 def q_remove_term(spark, sf_dir):
-    c = cut_lineage(cooc(spark, sf_dir))
+    c = cooc(spark, sf_dir)  # only the co-occurrence branch is returned
     ledger = c.select(F.col("word_1").alias("term")).distinct()
     counts = c.select(F.col("word_1").alias("word"), "count")
     return st.remove_term(ledger, c, counts, f"  {REMOVED_TERM.upper()} ")[1]
