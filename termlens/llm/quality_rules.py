@@ -27,7 +27,7 @@ MIN_GROUP = 200
 FENCE = 3.0
 SKETCH_K = 400                             # rank error about 0.7 %
 # Ratio, and the least spread it is taken to have.
-LEAST = {"symbol_ratio": 0.02, "repeat_ratio": 0.04, "dup_line_ratio": 0.05, "long_word_ratio": 1.0}
+LEAST = {"symbol_ratio": 0.02, "repeat_ratio": 0.1, "dup_line_ratio": 0.2, "long_word_ratio": 1.0}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # White space between words, symbols.
 SPACE, SYMBOLS = r"[\\x20\\x09-\\x0D]+", "[#*$%&|<>]+"
