@@ -6,10 +6,10 @@ Both dictionaries end in the same core, trained by zstandard on ordinary
 windows, so ordinary text compresses alike under both.  In front of it the
 toxic one holds the segments whose byte 5-grams are over-represented in toxic
 documents (contrast instead of plain frequency, for most text of a toxic
-document is ordinary), the other as much further ordinary text.  A window that
-seems toxic is compressed again at a second level and the smaller saving
-counts, which removes most chance matches.  A logistic regression on each
-document's histogram of savings sets the calibrated threshold.
+document is ordinary), the other blanks, which keep the core at the same
+distance.  Every window is compressed at two levels, whose chance matches
+differ.  A logistic regression on each document's histograms of savings sets
+the calibrated threshold.
 
 Fitting uses bounded hash samples of the labelled rows (``docs_per_class``
 expected rows a class for the dictionaries and as many others for the
@@ -43,7 +43,7 @@ TRAIN_BYTES = 4 << 20          # ordinary windows that train the core
 DOCS_PER_CLASS = 2000          # bound of each sample, expected rows a class
 MIN_DOCS, MIN_LIFT = 6, 2.5    # of a contrast 5-gram
 MAX_GRAMS = 20_000
-STEPS = (2, 3, 4, 5, 6, 8)     # histogram of savings
+STEPS = np.arange(1, 9)        # bytes saved by a window: histogram
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -91,16 +91,17 @@ class ToxicityModel:
     fitted: bool = True
 
     def features(self, text: str | None) -> np.ndarray:
-        """1, log windows, and the log of the number and of the share of windows saving each step."""
-        (o1, t1), (o2, t2) = _compressors(self.ordinary, self.toxic)
-        n, hist = 0, np.zeros(len(STEPS))
-        for w in windows_of(text):
-            n += 1
-            saved = len(o1.compress(w)) - len(t1.compress(w))
-            if saved >= STEPS[0]:
-                saved = min(saved, len(o2.compress(w)) - len(t2.compress(w)))
-                hist += [saved >= s for s in STEPS]
-        return np.concatenate(([1.0, np.log1p(n)], np.log1p(hist), np.log1p(1000 * hist / max(n, 1)) / 5))
+        """1 and the log of windows; then per level, of the windows that save
+        each step, the log of their number and of their share, and the
+        windows' mean and normalised total saving."""
+        windows = list(windows_of(text)) or [b""]
+        out = [[1.0, np.log1p(len(windows))]]
+        for ordinary, toxic in _compressors(self.ordinary, self.toxic):
+            saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows])
+            hist = (saved[:, None] >= STEPS).sum(0)
+            out += [np.log1p(hist), np.log1p(1000 * hist / len(windows)) / 5,
+                    [saved.mean(), saved.sum() / np.sqrt(len(windows))]]
+        return np.concatenate(out)
 
     def score(self, texts: list) -> np.ndarray:
         if not self.fitted:
@@ -176,8 +177,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic",
     plain = [bytes(p) for p in got[got.label == 0].sort_values("piece").piece]
     plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))]
     core = train_core(plain)
-    filler = b"".join(plain[-(len(special) // 16 + 1):])[:len(special)].rjust(len(special))
-    model = ToxicityModel(filler + core, special + core, np.zeros(0))
+    model = ToxicityModel(b" " * len(special) + core, special + core, np.zeros(0))
 
     def document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
