@@ -12,9 +12,9 @@ similarity, and a process stops as soon as it is later than every slot.
 Signatures are banded (``BANDS`` x ``ROWS``).  Texts that meet in a band are
 verified exactly on their multisets: every bucket's members against a centre
 (a star, never all pairs), with a new random centre each round for what is
-still apart.  After that only pairs of different classes are left to be
-verified in the buckets that still hold several, so no link is lost to a
-bucket's size.  Verified links give the classes
+still apart.  After that, pairs of different classes that still share a bucket
+are verified, unless an exact bound on their common elements rules them out,
+so no link is lost to a bucket's size.  Verified links give the classes
 (connected components).  Exact copies are one node throughout.
 
 Defined results: null, empty and wordless texts have no shingle and each is a
@@ -38,6 +38,7 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 THRESHOLD = 0.8
 STAR_ROUNDS = 4
+PRUNE_ROUNDS = 2
 BLOCK_DOCS = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,7 +204,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if links.limit(1).count() == 0:
             break
         lab = relabel(lab, links)
-    links = cut_lineage(verified(_apart(member, lab, threshold), elements, threshold))
+    links = cut_lineage(verified(_apart(member, lab, elements, threshold), elements, threshold))
     if links.limit(1).count():
         lab = relabel(lab, links)
     named = nodes.select("node", "k1", "k2", "rep").join(lab, "node", "left").withColumn(
@@ -215,14 +216,29 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "id", "k1", "k2", "n", "class_id", "n_texts").unionByName(alone)
 
 
-def _apart(member: DataFrame, lab: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes that still share a bucket, each once."""
+def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes that share a bucket, each once, without those
+    that cannot be alike: what two texts of different classes have in common
+    lies among the elements that each shares with another class, and a link
+    needs ``threshold / (1 + threshold)`` of both texts' elements in common.
+    So the many texts near a large class that differ too much drop out alone."""
     now = member.join(lab, "node")
-    mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    now = cut_lineage(now.join(mixed, "h", "left_semi"))
-    other = now.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-    return now.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(threshold)).select(
-        F.col("node").alias("a"), "b").distinct()
+    for _ in range(PRUNE_ROUNDS):     # what dropped out is no longer shared with
+        mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+        now = cut_lineage(now.select("h", "node", "n", "label").join(mixed, "h", "left_semi"))
+        el = elements.join(now.select("node", "label").distinct(), "node").select("node", "label", F.explode("el").alias("e"))
+        spread = el.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
+        common = el.join(spread, "e", "left_semi").groupBy("node").agg(F.count("*").alias("sh"))
+        now = cut_lineage(now.join(common, "node").where(F.col("sh") >= threshold * F.col("n") - 1e-9))
+    # a pair is made in the least of its common buckets only
+    buckets = now.groupBy("node").agg(F.collect_set("h").alias("hs"))    # at most BANDS
+    now = now.join(buckets, "node")
+    other = now.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"),
+                       F.col("sh").alias("sb"), F.col("hs").alias("hb"))
+    enough = F.least("sh", "sb") >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    first = F.array_min(F.array_intersect("hs", "hb")) == F.col("h")
+    return now.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(threshold)
+                                      & enough & first).select(F.col("node").alias("a"), "b")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
