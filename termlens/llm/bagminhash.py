@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 THRESHOLD = 0.8
 STAR_ROUNDS = 4
-PRUNE_ROUNDS = 2
+PRUNE_ROUNDS = 3
 BLOCK_DOCS = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -236,7 +236,9 @@ def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: fl
     other = now.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"),
                        F.col("sh").alias("sb"), F.col("hs").alias("hb"))
     enough = F.least("sh", "sb") >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
-    first = F.array_min(F.array_intersect("hs", "hb")) == F.col("h")
+    # at the threshold, two texts meet in fewer than two of the bands with probability 1e-6
+    met = F.array_intersect("hs", "hb")
+    first = (F.size(met) > 1) & (F.array_min(met) == F.col("h"))
     return now.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(threshold)
                                       & enough & first).select(F.col("node").alias("a"), "b")
 
