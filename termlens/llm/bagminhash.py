@@ -11,8 +11,8 @@ similarity, and a process stops as soon as it is later than every slot.
 
 Signatures are banded (``BANDS`` x ``ROWS``).  Texts that meet in a band are
 verified exactly on their multisets: every bucket's members against a centre
-(a star, never all pairs), with a new random centre each round for what is
-still apart.  After that, pairs of different classes that still share a bucket
+(a star, never all pairs), with a new centre each round for what is still
+apart: a random one, then the one with most links so far.  After that, pairs of different classes that still share a bucket
 are verified, unless an exact bound on their common elements rules them out,
 so no link is lost to a bucket's size.  Verified links give the classes
 (connected components).  Exact copies are one node throughout.
@@ -192,18 +192,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("node", "text")
     elements = cut_lineage(source.mapInPandas(_elements, "node long, el array<long>").dropDuplicates(["node"]))
     lab = cut_lineage(met.select("node", F.col("node").alias("label")))
+    degree = lab.select("node", F.lit(0).cast("long").alias("deg")).limit(0)
     for r in range(STAR_ROUNDS):
-        now = member.join(lab, "node")
-        centre = now.groupBy("h").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), "node"), "node", "n", "label")).alias("c"),
-            F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(
-            "h", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("lb"))
+        # by turns a random centre and the one with most links, which is near the middle of its texts
+        now = member.join(lab, "node").join(degree, "node", "left")
+        rank = F.struct((F.coalesce("deg", F.lit(0)) * -(r % 2)).alias("d"), F.xxhash64(F.lit(r), "node"), "node", "n", "label")
+        centre = now.groupBy("h").agg(F.min(rank).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+            "lo < hi").select("h", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("lb"))
         pairs = now.join(centre, "h").where((F.col("label") != F.col("lb")) & _fits(threshold)).select(
             F.col("node").alias("a"), "b").distinct()
         links = cut_lineage(verified(pairs, elements, threshold))
-        if links.limit(1).count() == 0:
+        if r % 2 and links.limit(1).count() == 0:
             break
         lab = relabel(lab, links)
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
     links = cut_lineage(verified(_apart(member, lab, elements, threshold), elements, threshold))
     if links.limit(1).count():
         lab = relabel(lab, links)
