@@ -71,7 +71,7 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), split_remainder("doc_id", 5) == 0
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 5, 0))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(split_remainder("doc_id", 5) != 0))
     out = toxicity.add_toxicity(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlens.llm.common import cut_lineage
+
 GRAM = 5
 WINDOW_WORDS, STRIDE_WORDS = 8, 6
 MAX_WORD_BYTES = 64            # a longer run without white space is cut into overlapping words
@@ -110,21 +112,23 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
         docs_per_class: int = DOCS_PER_CLASS) -> ToxicityModel:
-    """Learn from rows with ``text`` and a 0/1 ``label`` (other labels are ignored)."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(
-        "label IN (0, 1) AND text IS NOT NULL")
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Learn from the texts of ``docs`` that ``labels`` (``key``, 0/1
+    ``label``; other labels are ignored) marks.  The sample is drawn from the
+    labels alone (at most about ``4 * docs_per_class`` rows) and broadcast to
+    the one scan of the texts; its texts are written once."""
+    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
+    sizes = {r.label: r.n for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return ToxicityModel(b"", b"", np.zeros(0), False)
     share = {k: min(1.0, 2 * docs_per_class / n) for k, n in sizes.items()}
-    rows = rows.withColumn("draw", (F.xxhash64("text") / F.lit(float(1 << 63)) + 1) / 2)
     limit = F.when(F.col("label") == 1, share[1]).otherwise(share[0])
-    rows = rows.where(F.col("draw") < limit)
+    marks = marks.withColumn("draw", (F.xxhash64("key") / F.lit(float(1 << 63)) + 1) / 2).where(F.col("draw") < limit)
+    rows = cut_lineage(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(
+        F.broadcast(marks), "key").drop("key"))
     train, check = rows.where(F.col("draw") < limit / 2), rows.where(F.col("draw") >= limit / 2)
-    n_toxic, n_plain = docs_per_class * 1.0, docs_per_class * 1.0
-    n_toxic, n_plain = min(n_toxic, sizes[1] / 2), min(n_plain, sizes[0] / 2)
+    n_toxic, n_plain = (min(float(docs_per_class), sizes[k] / 2) for k in (1, 0))
 
     def document_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (collections.Counter(), collections.Counter())
