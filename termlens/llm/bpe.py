@@ -247,8 +247,9 @@ def reuse_table(docs: DataFrame, path: str, text: str = "text", table_bytes: int
                 for c in chunks_of(t):
                     raw = c.encode("utf-8", "surrogatepass")
                     seen.setdefault(xxhash.xxh3_128_digest(raw), [0, len(raw)])[0] += 1
-            yield pd.DataFrame({"key": list(seen), "n": [v[0] for v in seen.values()],
-                                "size": [v[1] for v in seen.values()]}, columns=["key", "n", "size"])
+            if seen:
+                yield pd.DataFrame({"key": list(seen), "n": [v[0] for v in seen.values()],
+                                    "size": [v[1] for v in seen.values()]})
 
     shared = (texts.mapInPandas(count, "key binary, n long, size int").groupBy("key")
               .agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n > 1"))
@@ -270,7 +271,8 @@ def reuse_table(docs: DataFrame, path: str, text: str = "text", table_bytes: int
                     if k in wanted and k not in met:
                         met.add(k)
                         new[k] = c
-            yield pd.DataFrame({"key": list(new), "chunk": list(new.values())}, columns=["key", "chunk"])
+            if new:
+                yield pd.DataFrame({"key": list(new), "chunk": list(new.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)

@@ -106,9 +106,11 @@ def ngram_counts(texts: list[str], groups: Iterable[tuple[np.ndarray, tuple[int,
     groups = [(t, sorted(set(o)), bits) for t, o, bits in groups]
     width = sum(1 << bits for _, _, bits in groups) + spare
     top = max(o[-1] for _, o, _ in groups)
-    sizes = np.array([len(t) + top for t in texts], np.int64)
+    # a text's last n-grams reach into its own white space; those that start there fall into a spare row
+    sizes = np.array([s for t in texts for s in (len(t) + 1, top - 1)], np.int64)
+    rows = np.array([r for i in range(len(texts)) for r in (i, len(texts))], np.int64)
     cps = code_points("".join(t + " " * top for t in texts))
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * width, sizes)
+    row = np.repeat(rows * width, sizes)
     last, out = len(cps) - top + 1, None
     for lo in range(0, max(last, 1), SEGMENT_CHARS):
         hi, found, base = min(last, lo + SEGMENT_CHARS), [], 0
@@ -122,9 +124,9 @@ def ngram_counts(texts: list[str], groups: Iterable[tuple[np.ndarray, tuple[int,
                     bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(2654435769)) >> np.uint32(32 - bits)
                     found.append((at + bucket)[a[:hi - lo] != 32] if n == 1 else at + bucket)
             base += 1 << bits
-        got = np.bincount(np.concatenate(found), minlength=len(texts) * width)
+        got = np.bincount(np.concatenate(found), minlength=(len(texts) + 1) * width)
         out = got if out is None else out + got
-    return out.reshape(len(texts), width).astype(np.float32)
+    return out[:len(texts) * width].reshape(len(texts), width).astype(np.float32)
 
 
 def word_hashes(texts: list[str], codes_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

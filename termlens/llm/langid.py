@@ -53,12 +53,16 @@ class LanguageModel:
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best = p.argmax(1)
-            for i in np.flatnonzero(tf.any(1)):
+            for i in (i for i, t in enumerate(block) if has_letter(t)):
                 names[first + i] = self.languages[best[i]]
                 scores[first + i] = p[i, best[i]]
         return names, scores
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
+
+
 def unit_tfidf(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log(1 + tf) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -84,7 +88,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang",
                 tf = ngram_counts(block, [(letter_table(), ORDERS, BITS)])
                 df += (tf > 0).sum(0)
                 total += len(block)
-                keep = [i for i in range(len(block)) if draw[first + i] < rate.get(langs[first + i], 0) and tf[i].any()]
+                keep = [i for i in range(len(block)) if draw[first + i] < rate.get(langs[first + i], 0)
+                        and has_letter(block[i])]
                 if keep:
                     nz = [np.flatnonzero(tf[i]) for i in keep]
                     yield pd.DataFrame({
