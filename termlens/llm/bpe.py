@@ -73,7 +73,10 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if self.has_added(text):
             return self.whole(text)
-        pieces = text.replace("\n", " ").split(" ")
+        return b"".join(self.pieces(text.replace("\n", " ").split(" ")))
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each piece."""
         ids = [*map(self.new.get, pieces)]
         if None in ids:
             self._fill({p for p, i in zip(pieces, ids, strict=True) if i is None})
@@ -81,7 +84,7 @@ class PieceEncoder:
                    for p, i in zip(pieces, ids, strict=True)]
             if len(self.new) > CACHE_PIECES:
                 self.old, self.new = self.new, {"": b""}
-        return b"".join(ids)
+        return ids
 
     def _fill(self, pieces: set[str]) -> None:
         """Put the pieces into the cache."""
@@ -178,23 +181,17 @@ def chunk_key(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
 
 
-SEPARATOR = re.compile("[ \n]")
-
-
 def encode_chunk(enc: PieceEncoder, chunk: str) -> tuple[bytes, int, int, int, int, int, int]:
     """Ids of a chunk on its own; the end of its second piece, the bytes of ids
     up to there and of that piece alone; the same from the start of its last
-    but one piece.  A chunk of fewer pieces has -1 for both places."""
-    ids = enc.encode(chunk)
-    i1 = SEPARATOR.search(chunk)
-    i2 = SEPARATOR.search(chunk, i1.end()) if i1 else None
-    j1 = max(chunk.rfind(" "), chunk.rfind("\n"))
-    j2 = max(chunk.rfind(" ", 0, max(j1, 0)), chunk.rfind("\n", 0, max(j1, 0)))
-    if i2 is None or j2 <= i2.start():
-        return ids, -1, 0, 0, -1, 0, 0
-    head, tail = i2.start(), j2 + 1
-    return (ids, head, len(enc.encode(chunk[:head])), len(enc.encode(chunk[i1.end():head])),
-            tail, len(enc.encode(chunk[tail:])), len(enc.encode(chunk[tail:j1])))
+    but one piece.  A chunk of fewer than five pieces has -1 for both places."""
+    pieces = chunk.replace("\n", " ").split(" ")
+    ids = enc.pieces(pieces)
+    if len(pieces) < 5:
+        return b"".join(ids), -1, 0, 0, -1, 0, 0
+    k_head, k_tail = len(ids[1]), len(ids[-2])
+    return (b"".join(ids), len(pieces[0]) + 1 + len(pieces[1]), len(ids[0]) + k_head, k_head,
+            len(chunk) - len(pieces[-1]) - 1 - len(pieces[-2]), len(ids[-1]) + k_tail, k_tail)
 
 
 def encode_by_chunks(enc: PieceEncoder, text: str, table: dict[bytes, tuple]) -> bytes:

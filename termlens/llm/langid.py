@@ -98,7 +98,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang",
                         "grams": [z.astype(np.uint16).tobytes() for z in nz],
                         "tf": [tf[i, z].astype(np.float32).tobytes() for i, z in zip(keep, nz, strict=True)]})
         if total:
-            yield pd.DataFrame({"bucket": np.arange(-1, 1 << BITS)[1:], "df": df, "lang": None, "draw": 0.0,
+            yield pd.DataFrame({"bucket": np.arange(1 << BITS), "df": df, "lang": None, "draw": 0.0,
                                 "grams": None, "tf": None})
             yield pd.DataFrame({"bucket": [1 << BITS], "df": [total], "lang": None, "draw": 0.0,
                                 "grams": None, "tf": None})
