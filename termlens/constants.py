@@ -11,8 +11,8 @@ TOKENS_PER_DOCUMENT = 4326
 DEFAULT_TOTAL_DOCUMENTS = 16023367
 # Default number of top co-occurring words kept per term.
 DEFAULT_TOP_N = 1000000
-# Default maximum number of fragments kept per (term, document).
-DEFAULT_FRAGMENT_LIMIT = 2000
+# Maximum number of fragments kept per (term, document); none unless a caller sets it.
+DEFAULT_FRAGMENT_LIMIT = None
 # Words added to the English stop-word list.
 EXTRA_STOP_WORDS = ("fig", "et", "al", "eg")
 # Words dropped by token cleaning when no list is given.

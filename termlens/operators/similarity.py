@@ -65,7 +65,8 @@ def _project(seed: int, dim: int, trees: int, levels: int):
 def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int = 32,
                  seed: int = 17, n_items: int | None = None) -> DataFrame:
     """(tree, leaf, id) for every item in every tree.  ``items``: id, vec."""
-    dim = len(items.select("vec").first()[0])
+    head = items.select("vec").first()
+    dim = len(head[0]) if head is not None else 1  # no item: an empty forest
     n = n_items if n_items is not None else items.count()
     levels = max(1, math.ceil(math.log2(max(n, 2) / leaf_size)) + 4)
     schema = T.StructType([T.StructField("id", items.schema["id"].dataType),

@@ -22,6 +22,7 @@ has been checked; beyond the limit the join falls back to a shuffle join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,10 @@ def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame, case_sens
     if isinstance(terms, DataFrame):
         base = terms.select(F.trim(F.col(terms.columns[0])).alias("_given"))
     else:
+        terms = list(terms)
+        for t in terms:
+            if re.fullmatch(rf"\W*\w{{0,{WILDCARD_KEY_LEN - 1}}}\*", (t or "").strip()):
+                raise ValueError(f"a wildcard needs {WILDCARD_KEY_LEN} characters before it: {t!r}")
         uniq = sorted({t.strip() if case_sensitive else t.strip().lower() for t in terms if t and t.strip()})
         if not uniq:
             base = spark.createDataFrame([], T.StructType([T.StructField("_given", T.StringType())]))
@@ -61,9 +66,10 @@ def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame, case_sens
         "search_term",
         wild.alias("wildcard"),
         F.concat(F.lit(" "), norm, F.when(wild, F.lit("")).otherwise(F.lit(" "))).alias("pattern"),
-        F.when(wild, F.substring(norm, 1, WILDCARD_KEY_LEN))
+        # the first word of several is complete, so only a single word is joined on its prefix
+        F.when(wild & ~F.contains(norm, F.lit(" ")), F.substring(norm, 1, WILDCARD_KEY_LEN))
         .otherwise(F.split(norm, " ")[0]).alias("join_key"),
-    ).where((F.col("join_key") != "") & (~F.col("wildcard") | (F.length(norm) >= WILDCARD_KEY_LEN)))
+    ).where(F.col("join_key") != "")
 
 
 def _stem_terms(t: DataFrame) -> DataFrame:

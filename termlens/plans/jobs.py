@@ -30,7 +30,7 @@ from termlens.operators.corpus import corpus_summary, term_counts, tfidf
 from termlens.operators.snippets import extract_snippets, terms_frame, with_processed_text
 from termlens.operators.store import TableStore, clean_stats
 from termlens.session import cut_lineage
-from termlens.sources.snippets_io import write_result, write_snippets
+from termlens.sources.snippets_io import path_exists, read_by_term, write_result, write_snippets
 
 
 @dataclass
@@ -49,20 +49,20 @@ class Layout:
         return os.path.join(self.root, "tables")
 
 
-def _existing_terms(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("search_term").distinct()
-    except Exception:  # no snippet table yet
-        return None
+def _pending(spark: SparkSession, terms: Iterable[str], path: str, column: str = "search_term") -> list[str]:
+    """The terms that the term-partitioned table at ``path`` does not hold yet."""
+    wanted = terms_frame(spark, list(terms)).select("search_term")
+    if path_exists(spark, path):
+        done = read_by_term(spark, path, column).select(F.col(column).alias("search_term")).distinct()
+        wanted = wanted.join(done, "search_term", "left_anti")
+    return sorted(r.search_term for r in wanted.collect())  # the term list: user input, small
 
 
 def extract(spark: SparkSession, docs: DataFrame, terms: Iterable[str], layout: Layout,
             fragment_limit: int | None = DEFAULT_FRAGMENT_LIMIT, overwrite: bool = False) -> list[str]:
     """Extract and store snippets of the pending terms; returns those terms."""
-    wanted = terms_frame(spark, list(terms)).select("search_term")
-    done = None if overwrite else _existing_terms(spark, layout.snippets)
-    pending = wanted if done is None else wanted.join(done, "search_term", "left_anti")
-    todo = sorted(r.search_term for r in pending.collect())  # the term list: user input, small
+    todo = (sorted(r.search_term for r in terms_frame(spark, list(terms)).select("search_term").collect()) if overwrite
+            else _pending(spark, terms, layout.snippets))
     if todo:
         snips = with_processed_text(extract_snippets(docs, todo, fragment_limit))
         write_snippets(snips, layout.snippets)
@@ -72,9 +72,9 @@ def extract(spark: SparkSession, docs: DataFrame, terms: Iterable[str], layout:
 def statistics(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
                n: int = DEFAULT_TOP_N, lemmatize: bool = True) -> None:
     """Co-occurrence, corpus summary and TF-IDF for ``terms``."""
-    if not terms:
+    if not terms or not path_exists(spark, layout.snippets):
         return
-    snips = spark.read.parquet(layout.snippets).where(F.col("search_term").isin(terms))
+    snips = read_by_term(spark, layout.snippets).where(F.col("search_term").isin(terms))
     co = cut_lineage(cooccurrence_stats(snips, total_docs, n, lemmatize))
     write_result(co, layout.result("cooccurrence"), partition_by="word_1")
     write_result(corpus_summary(snips, co), layout.result("corpus_stats"), partition_by="search_term")
@@ -90,11 +90,11 @@ def load(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
     if skip_processed and store.exists("processed_terms"):
         done = {r.term for r in store.read("processed_terms").where(F.col("term").isin(todo)).collect()}
         todo = [t for t in todo if t not in done]
-    if not todo:
+    if not todo or not path_exists(spark, layout.snippets):
         return []
-    snips = spark.read.parquet(layout.snippets).where(F.col("search_term").isin(todo))
+    snips = read_by_term(spark, layout.snippets).where(F.col("search_term").isin(todo))
     store.merge("term_counts", term_counts(snips, total_docs))
-    co = spark.read.parquet(layout.result("cooccurrence")).where(F.col("word_1").isin(todo))
+    co = read_by_term(spark, layout.result("cooccurrence"), "word_1").where(F.col("word_1").isin(todo))
     store.merge("term_cooccurrence", clean_stats(co))
     store.add_terms(todo)
     return todo
@@ -103,8 +103,15 @@ def load(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
 def process_terms(spark: SparkSession, docs: DataFrame, terms: Iterable[str], root: str, total_docs: int,
                   n: int = DEFAULT_TOP_N, fragment_limit: int | None = DEFAULT_FRAGMENT_LIMIT,
                   overwrite: bool = False, skip_processed: bool = True, lemmatize: bool = True) -> list[str]:
-    """All three stages for ``terms``; returns the terms newly loaded."""
-    layout = Layout(root)
-    new = extract(spark, docs, terms, layout, fragment_limit, overwrite)
-    statistics(spark, new, layout, total_docs, n, lemmatize)
-    return load(spark, new, layout, total_docs, skip_processed)
+    """All three stages for ``terms``; returns the terms newly loaded.  Each
+    stage asks its own output which terms are left, so a run that broke off is
+    repeated from where it stopped."""
+    layout, terms = Layout(root), list(terms)
+    fresh = extract(spark, docs, terms, layout, fragment_limit, overwrite)
+    # terms without any snippet have no partition and count as done by every stage
+    left = _pending(spark, terms, layout.result("corpus_stats"))
+    statistics(spark, sorted({*left, *fresh}), layout, total_docs, n, lemmatize)
+    wanted = [r.search_term for r in terms_frame(spark, terms).select("search_term").collect()]
+    again = set(fresh) if overwrite else set()
+    done = load(spark, [t for t in wanted if t not in again], layout, total_docs, skip_processed)
+    return sorted([*done, *(load(spark, sorted(again), layout, total_docs, False) if again else [])])

@@ -69,7 +69,7 @@ matched AS (
   FROM fragn f JOIN terms t ON contains(f.norm, t.pattern)),
 snippets AS (
   SELECT search_term, doc_id, CAST(frag_idx AS INTEGER) AS frag_idx, publisher, lang, highlight{proc}
-  FROM matched WHERE rk <= {int(limit)})"""
+  FROM matched{f' WHERE rk <= {int(limit)}' if limit is not None else ''})"""
 
 
 def page_snippets_sql(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT) -> str:

@@ -46,7 +46,7 @@ INCOMING_TERMS = TERMS[2:5]          # ... a later run these (one overlaps)
 LEDGER_TERMS = TERMS[0:2]
 REMOVED_TERM = "thing"
 EDGE_MIN_COUNT = 3
-EDGE_TOP_M = 50
+FRAGMENT_LIMIT = 2                   # of snippets_limited: small enough to bind
 
 
 def register(name: str, sql: str | None):
@@ -108,6 +108,12 @@ def q_snippets_by_term(spark, sf_dir):
     return snippets(spark, sf_dir)
 
 
+@register("snippets_limited", f"WITH {o.snippets_ctes(TERMS, FRAGMENT_LIMIT)} SELECT * FROM snippets")
+def q_snippets_limited(spark, sf_dir):
+    """The fragment limit as a feature: the first fragments of each (term, document)."""
+    return with_processed_text(extract_snippets(corpus(spark, sf_dir), TERMS, FRAGMENT_LIMIT))
+
+
 @register("snippet_rows", f"""{SNIP}
 SELECT search_term, doc_id, frag_idx, CAST(row_number() OVER (PARTITION BY search_term ORDER BY doc_id, frag_idx) - 1
        AS BIGINT) AS snippet_row FROM snippets""")
@@ -433,12 +439,11 @@ def q_pmi(spark, sf_dir):
 
 EDGES_SQL = f"""WITH {o.cooc_body('c', TERMS, TD)},
 e AS (SELECT word_1 AS source, word_2 AS target, count AS weight, prob_w1w2 AS prob FROM c
-      WHERE prob_w1w2 >= {EDGE_MIN_COUNT} / CAST({DENOM} AS DOUBLE)
-      QUALIFY row_number() OVER (PARTITION BY word_1 ORDER BY count DESC, word_2) <= {EDGE_TOP_M})"""
+      WHERE prob_w1w2 >= {EDGE_MIN_COUNT} / CAST({DENOM} AS DOUBLE))"""
 
 
 def _edges(spark, sf_dir):
-    return nw.network_edges(cooc(spark, sf_dir), min_prob=EDGE_MIN_COUNT / float(DENOM), top_m=EDGE_TOP_M)
+    return nw.network_edges(cooc(spark, sf_dir), min_prob=EDGE_MIN_COUNT / float(DENOM))
 
 
 @register("network_edges", f"{EDGES_SQL} SELECT * FROM e")

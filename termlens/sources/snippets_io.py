@@ -77,6 +77,21 @@ def read_snippets_csv(spark: SparkSession, path: str, all_strings: bool = False,
     return spark.read.schema(T.StructType(fields)).options(**opts).csv(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists; any other failure (permissions, network) is raised."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_by_term(spark: SparkSession, path: str, term: str = "search_term") -> DataFrame:
+    """A table partitioned by a term column, whose values stay strings
+    (partition type inference would turn the term ``007`` into 7)."""
+    schema = spark.read.parquet(path).schema
+    fields = [T.StructField(term, S) if f.name == term else f for f in schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_snippets(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Snippet table partitioned by term.  Only the partitions of the terms in
     ``df`` are replaced (dynamic partition overwrite), so re-running a term is

@@ -30,7 +30,6 @@ from termlens.operators.cooccurrence import cooccurrence_stats
 from termlens.operators.corpus import term_counts
 from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.store import TableStore, clean_stats
-from termlens.session import checkpoint_dir
 
 DOCUMENT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -68,7 +67,7 @@ def start(spark: SparkSession, source_dir: str, terms: Iterable[str], root: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", "incremental-" + os.path.basename(os.path.normpath(root)))
+    ckpt = os.path.join(root, "_stream")  # beside the tables it fills: another root is another stream
     w = (stream.writeStream.option("checkpointLocation", ckpt)
          .foreachBatch(lambda df, bid: batch_update(df, bid, terms, root, total_docs, n, fragment_limit)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

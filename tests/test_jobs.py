@@ -69,3 +69,42 @@ def test_snippet_csv_round_trip(spark):
     back = read_snippets_csv(spark, os.path.join(d, "s"), all_strings=True)
     r = back.collect()[0]
     assert (r.search_term, r.doc_id, r.highlight) == ("t", "d1", 'He said "hi",\nthen left')
+
+
+def test_runs_resume_after_any_stage(spark):
+    from termlens.plans.jobs import statistics
+
+    docs = spark.createDataFrame([(1, "agent 007 was here. rock 2024.", "p", "en"), (2, "in 2024 the agent left.", "p", "en")],
+                                 "doc_id long, text string, publisher string, lang string")
+    terms, ends = ["007", "2024", "absent"], []
+    for stop in range(3):
+        root = tempfile.mkdtemp(prefix="termlens-resume-")
+        if stop > 0:
+            fresh = extract(spark, docs, terms, Layout(root))
+            assert fresh == ["007", "2024", "absent"]
+        if stop > 1:
+            statistics(spark, fresh, Layout(root), 1000)
+        process_terms(spark, docs, terms, root, 1000)
+        store = TableStore(spark, os.path.join(root, "tables"))
+        ends.append([rows(store.read(t)) for t in ("processed_terms", "term_counts", "term_cooccurrence")])
+        assert {r[0] for r in ends[-1][1]} == {"007", "2024"}
+    assert ends[0] == ends[1] == ends[2]
+
+
+def test_wildcards(spark):
+    import pytest
+
+    from termlens.operators.snippets import extract_snippets
+
+    docs = spark.createDataFrame([(1, "Rock of the north. volcanic arcs.")], "doc_id long, text string")
+    found = {r.search_term for r in extract_snippets(docs, ["of th*", "volc*", "of x*"]).collect()}
+    assert found == {"of th*", "volc*"}
+    with pytest.raises(ValueError):
+        extract_snippets(docs, ["vo*"])
+
+
+def test_empty_vectors(spark):
+    from termlens.operators.similarity import build_forest
+
+    items = spark.createDataFrame([], "id long, vec array<double>")
+    assert build_forest(items).count() == 0

@@ -39,7 +39,10 @@ def test_forest_similarities_are_exact(spark):
 
 
 def test_small_top_n_limits_before_shuffle(spark):
-    df = REGISTRY["network_edges"].run(spark, SF)
+    from termlens.operators import network as nw
+    from termlens.plans import queries as q
+
+    df = nw.network_edges(q.cooc(spark, SF), top_m=50)
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
