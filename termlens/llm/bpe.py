@@ -61,12 +61,21 @@ class PieceEncoder:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends_word[ends] = True
+        self.decimal = [str(i) for i in range(len(self.ends_word))]
+        # without a decoder the library joins the tokens by spaces
+        self.tokens = ([self.tokenizer.id_to_token(i) or "" for i in range(len(self.ends_word))]
+                       if self.tokenizer.decoder is None else None)
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def decode(self, ids: list[int]) -> str:
+        if self.tokens is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.tokens.__getitem__, ids))
+
     def has_added(self, text: str) -> bool:
         return any(a in text for a in self.added)
 
@@ -306,9 +315,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", table_bytes
                 row = [len(ids) // 4]
                 if digest or decode:
                     listed = np.frombuffer(ids, "<u4").tolist()
-                    decoded = enc.tokenizer.decode(listed, skip_special_tokens=False)
+                    decoded = enc.decode(listed)
                 if digest:
-                    row += [hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest(),
+                    row += [hashlib.sha256(" ".join(map(enc.decimal.__getitem__, listed)).encode()).hexdigest(),
                             hashlib.sha256(decoded.encode()).hexdigest()]
                 else:
                     row += [ids, decoded][:1 + decode]

@@ -31,6 +31,13 @@ def test_pieces_and_chunks_are_exact_on_odd_texts(library):
         assert bpe.encode_by_chunks(enc, text, {}) == want, text
 
 
+def test_decoding_is_the_library_s(library):
+    enc = bpe.PieceEncoder(PATH)
+    for text in ("", "Hello, World! it's 42 <|endoftext|> ñandú 😀 中文", "a  b\n\nc"):
+        ids = library(text)
+        assert enc.decode(ids) == enc.tokenizer.decode(ids, skip_special_tokens=False)
+
+
 def test_long_run_without_separators(library):
     enc, rnd = bpe.PieceEncoder(PATH), random.Random(6)
     text = "".join(rnd.choice("abcdefg") for _ in range(8000))
