@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -30,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm.common import code_points
+from termlens.llm.common import blocks, code_points
 
 WINDOW = 32                           # code points of the rolling hash
 CUT_BITS = 7                          # a cut every 2 ** CUT_BITS code points on average
 MIN_CHUNK, MAX_CHUNK = 48, 2048
 TABLE_BYTES = 16 << 20                # bound of the broadcast table: UTF-8 text of its chunks
 CACHE_PIECES = 500_000                # bound of each of a worker's two generations of cached pieces
+BLOCK_DOCS = 256                      # texts (and about a million characters) whose pieces are learnt together
 MAX_CACHED = 48                       # longer pieces are not cached
 PRIME, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 # The tokenizer always splits at white space, and between a letter and ASCII that is no letter or apostrophe.
@@ -95,39 +97,49 @@ class PieceEncoder:
                 self.old, self.new = self.new, {"": b""}
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Put the pieces of all these texts into the cache, many to a library
+        call, for a call costs as much as a dozen words."""
+        for _, some in blocks(texts, len(texts)):
+            if len(self.new) > CACHE_PIECES:
+                self.old, self.new = self.new, {"": b""}
+            self._fill(set(" ".join(some).replace("\n", " ").split(" ")).difference(self.new))
+
     def _fill(self, pieces: set[str]) -> None:
         """Put the pieces into the cache."""
-        parts, need = {}, set()
+        new, old, word = self.new, self.old, LATIN.fullmatch
+        parts, words, rest = {}, [], set()
         for p in pieces:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
+            if (known := old.get(p)) is not None:
+                new[p] = known
+            elif word(p):
+                if len(p) <= MAX_CACHED:
+                    words.append(p)
             elif len(p) <= MAX_CACHED:
                 core = p.rstrip(".,")
-                if LATIN.fullmatch(core):
-                    if len(core) == len(p):
-                        need.add(p)
-                        continue
+                if word(core):
                     parts[p] = [core, p[len(core):]]
                 else:
                     parts[p] = PARTS.findall(p) if p.isascii() and "'" not in p else [p]
-                need.update(parts[p])
-        need = [p for p in need if p not in self.new]
-        for p in need:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
-        words = [p for p in need if p not in self.new and LATIN.fullmatch(p)]
+        for x in {x for split in parts.values() for x in split}.difference(new, words):
+            if (known := old.get(x)) is not None:
+                new[x] = known
+            elif word(x):
+                words.append(x)
+            else:
+                rest.add(x)
         if words:  # one pre-token each, ended by its only id with a word end
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
             raw, last = ids.tobytes(), 0
-            for p, e in zip(words, ends.tolist(), strict=True):
-                self.new[p] = raw[4 * last:4 * e]
+            for p, e in zip(words, ends, strict=True):
+                new[p] = raw[last:e]
                 last = e
-        rest = [p for p in need if p not in self.new]
         if rest:
-            self.new.update(zip(rest, self._apart(rest), strict=True))
+            rest = sorted(rest)
+            new.update(zip(rest, self._apart(rest), strict=True))
         for p, split in parts.items():
-            self.new[p] = b"".join([self.new[x] for x in split])
+            new[p] = b"".join([new[x] for x in split])
 
     def _apart(self, pieces: list[str]) -> list[bytes]:
         """One library call for many pieces, dealt out by their offsets."""
@@ -203,14 +215,36 @@ def encode_chunk(enc: PieceEncoder, chunk: str) -> tuple[bytes, int, int, int, i
             len(chunk) - len(pieces[-1]) - 1 - len(pieces[-2]), len(ids[-1]) + k_tail, k_tail)
 
 
+def join_piece(left: str, right: str) -> str:
+    """The piece that two neighbouring chunks share (a longer one is not cached)."""
+    return (left[-MAX_CACHED:].replace("\n", " ").rpartition(" ")[2]
+            + right[:MAX_CACHED].replace("\n", " ").partition(" ")[0])
+
+
+def encode_texts(enc: PieceEncoder, texts: list, table: dict[bytes, tuple]) -> Iterator[bytes]:
+    """Ids of each whole text; the pieces of a block's chunks outside the
+    table, and of all joins, are learnt together."""
+    for _, block in blocks(texts, BLOCK_DOCS):
+        cut = [None if enc.has_added(t) else chunks_of(t) for t in block]
+        known = [[table.get(chunk_key(c)) for c in cs] if table and cs else [None] * len(cs or ()) for cs in cut]
+        enc.learn([c for cs, ks in zip(cut, known, strict=True) if cs for c, k in zip(cs, ks, strict=True) if k is None]
+                  + [join_piece(*pair) for cs in cut if cs for pair in itertools.pairwise(cs)])
+        for t, cs, ks in zip(block, cut, known, strict=True):
+            yield enc.whole(t) if cs is None else join_chunks(enc, cs, ks)
+
+
 def encode_by_chunks(enc: PieceEncoder, text: str, table: dict[bytes, tuple]) -> bytes:
-    """Ids of the whole text from its chunks, each join repaired by re-encoding."""
-    if enc.has_added(text):
-        return enc.whole(text)
+    """Ids of one whole text from its chunks."""
+    return next(encode_texts(enc, [text], table))
+
+
+def join_chunks(enc: PieceEncoder, chunks: list[str], known: list[tuple | None]) -> bytes:
+    """Ids of the chunks' whole text, each join repaired by re-encoding;
+    ``known`` holds what the table has of each chunk."""
     out: list[bytes] = []
     left, left_text, waiting = None, "", []   # waiting: texts to be encoded as one with what follows
-    for chunk in chunks_of(text):
-        right = (table.get(chunk_key(chunk)) if table else None) or encode_chunk(enc, chunk)
+    for chunk, right in zip(chunks, known, strict=True):
+        right = right or encode_chunk(enc, chunk)
         if waiting:
             waiting.append(chunk)
             if right[1] >= 0:
@@ -227,7 +261,7 @@ def encode_by_chunks(enc: PieceEncoder, text: str, table: dict[bytes, tuple]) ->
             _, _, _, _, tail, n_tail, k_tail = left
             if head >= 0 and tail >= 0:
                 kept, end = left[0][:len(left[0]) - n_tail], left[0][len(left[0]) - n_tail:]
-                joined = enc.encode(left_text[tail:] + chunk[:head])
+                joined = b"".join(enc.pieces((left_text[tail:] + chunk[:head]).replace("\n", " ").split(" ")))
                 if joined[:k_tail] == end[:k_tail] and joined[len(joined) - k_head:] == ids[n_head - k_head:n_head]:
                     out += [kept, joined]
                     left, left_text = (ids[n_head:], -1, 0, 0, right[4] - head, right[5], right[6]), chunk[head:]
@@ -283,6 +317,7 @@ def reuse_table(docs: DataFrame, path: str, text: str = "text", table_bytes: int
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
+            enc.learn(b["chunk"].tolist())
             rows = [encode_chunk(enc, c) for c in b["chunk"]]
             yield pd.DataFrame([(k, *r) for k, r in zip(b["key"], rows, strict=True)], columns=names)
 
@@ -310,8 +345,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", table_bytes
         enc, shared = encoder(path), table.value
         for b in batches:
             made: dict[str, list] = {c: [] for c in schema.names[len(keep):]}
-            for t in b["__text"]:
-                ids = encode_by_chunks(enc, t or "", shared)
+            for ids in encode_texts(enc, b["__text"].tolist(), shared):
                 row = [len(ids) // 4]
                 if digest or decode:
                     listed = np.frombuffer(ids, "<u4").tolist()
