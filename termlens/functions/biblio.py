@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from termlens.constants import AUTHOR_SEPARATOR
 
-WS = r"[\t-\r\x1c-\x20]"
+# ---- fixed values: white space that is trimmed from fields ------------------
+WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+# -----------------------------------------------------------------------------
 
 
 def _c(c: Column | str) -> Column:
@@ -23,7 +25,7 @@ def _c(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Trim ASCII whitespace (tabs and new lines too, not only spaces)."""
+    """Trim Unicode white space (tabs, new lines, no-break spaces too)."""
     return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
 
 
@@ -45,16 +47,26 @@ def clean(c: Column | str) -> Column:
 def optional(df: DataFrame, name: str) -> Column:
     """A column that may be missing from the input (then null)."""
     lower = {c.lower(): c for c in df.columns}
-    return F.col(lower[name.lower()]) if name.lower() in lower else F.lit(None).cast("string")
+    return F.col(lower[name.lower()]).cast("string") if name.lower() in lower else F.lit(None).cast("string")
 
 
 def parse_year(pub_year: Column, year: Column, cover_date: Column) -> Column:
     y = F.coalesce(nanify(pub_year), nanify(year))
     ys = strip_ws(y)
     direct = F.when(ys.rlike("^[0-9]+$"), ys.try_cast("int"))
-    cd = F.regexp_extract(strip_ws(nanify(cover_date)), "^([0-9]{4})", 1)
-    from_date = F.when(cd != "", cd.cast("int"))
-    return F.coalesce(direct, from_date)
+    return F.coalesce(direct, _date_year(cover_date))
+
+
+def _date_year(cover_date: Column) -> Column:
+    return F.regexp_extract(strip_ws(nanify(cover_date)), "^([0-9]{4})", 1).try_cast("int")
+
+
+def key_year(pub_year: Column, year: Column, cover_date: Column) -> Column:
+    """Year of a ``title::year`` key: the whole part of the first non-empty of
+    pub_year and year if that is a number (``2001.0`` too), else the cover
+    date's."""
+    y = strip_ws(F.coalesce(nanify(pub_year), nanify(year)))
+    return F.coalesce(F.regexp_extract(y, r"^([0-9]+)(\.[0-9]*)?$", 1).try_cast("int"), _date_year(cover_date))
 
 
 def split_authors(authors: Column | str) -> Column:
@@ -65,12 +77,14 @@ def split_authors(authors: Column | str) -> Column:
 
 def author_names(df: DataFrame, column: str) -> Column:
     """Names from an author field of any supported shape: a separated string,
-    an array of strings, or an array of structs with ``name`` or
+    an array of strings, or one struct or an array of structs with ``name`` or
     ``given``/``family`` (a missing given name is simply left out)."""
     from pyspark.sql import types as T
 
     dtype = df.schema[column].dataType
     c = F.col(column)
+    if isinstance(dtype, T.StructType):
+        c, dtype = F.array(c), T.ArrayType(dtype)
     if isinstance(dtype, T.StringType):
         return split_authors(c)
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):

@@ -16,6 +16,8 @@ a per-term histogram of counts, so only the one tie group that straddles rank
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,15 @@ def vocabulary(snippets: DataFrame, text_col: str = "processed_text") -> DataFra
     return snippets.select(F.explode(word_tokens(text_col)).alias("word")).distinct()
 
 
-def lemma_of(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def lemma_of(words: DataFrame, vocab: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """(word, lemma) for the words that have a detachment candidate in
-    ``vocab``: the shortest one, ties alphabetical.  Neither input needs to be
-    distinct (a semi join and an aggregate absorb repeats), which saves two
-    shuffles."""
-    cand = words.select("word", F.explode(lemma_candidates(F.col("word"))).alias("cand"))
-    known = cand.join(vocab.select(F.col("word").alias("cand")), "cand", "left_semi")
-    return known.groupBy("word").agg(F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
+    ``vocab``: the shortest one, ties alphabetical.  With ``key`` every key
+    has its own vocabulary.  Neither input needs to be distinct (a semi join
+    and an aggregate absorb repeats), which saves two shuffles."""
+    cand = words.select(*key, "word", F.explode(lemma_candidates(F.col("word"))).alias("cand"))
+    known = cand.join(vocab.select(*key, F.col("word").alias("cand")), [*key, "cand"], "left_semi")
+    return known.groupBy(*key, "word").agg(
+        F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
 
 
 def lemma_map(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -56,12 +59,17 @@ def lemma_map(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return w.join(lemma_of(w, vocab), "word", "left").select("word", F.coalesce("lemma", "word").alias("lemma"))
 
 
-def fold_lemmas(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def fold_lemmas(counts: DataFrame, vocab: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """Re-count (search_term, word, count) by lemma: surface forms are counted
-    first, then folded, which is the same as lemmatising every token."""
-    best = lemma_of(counts, vocab)
-    return (counts.join(best, "word", "left")
-            .groupBy(TERM, F.coalesce("lemma", "word").alias("word"))
+    first, then folded, which is the same as lemmatising every token.  A
+    candidate must be a word of the same term's snippets (``vocab``:
+    search_term, word), so a term's counts do not depend on the terms it runs
+    with.  ``lemmas`` (word, lemma) is a user's table that goes before the rules."""
+    folded = counts.join(lemma_of(counts, vocab, [TERM]), [TERM, "word"], "left")
+    if lemmas is not None:
+        given = lemmas.where("lemma IS NOT NULL").groupBy("word").agg(F.min("lemma").alias("_given"))
+        folded = folded.join(given, "word", "left").withColumn("lemma", F.coalesce("_given", "lemma"))
+    return (folded.groupBy(TERM, F.coalesce("lemma", "word").alias("word"))
             .agg(F.sum("count").alias("count")))
 
 
@@ -156,8 +164,10 @@ def dedup_by_stem(counts: DataFrame, key: str = TERM) -> DataFrame:
 
 
 def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TOP_N,
-                       lemmatize: bool = True, text_col: str = "processed_text") -> DataFrame:
-    """word_1 (term), word_2, count, prob_w1w2 for every term in ``snippets``."""
+                       lemmatize: bool = True, text_col: str = "processed_text",
+                       lemmas: DataFrame | None = None) -> DataFrame:
+    """word_1 (term), word_2, count, prob_w1w2 for every term in ``snippets``;
+    ``lemmas`` (word, lemma) goes before the lemma rules."""
     # One aggregation feeds the counts, the vocabulary and the lemma map.  It
     # is written once (reliable checkpoint: vocabulary-sized, survives
     # executor loss) so the corpus is scanned exactly once; without it each
@@ -170,7 +180,7 @@ def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TO
     # written counts decides it).
     widest = counts.groupBy(TERM).agg(F.count(F.lit(1)).alias("_g")).agg(F.max("_g")).first()[0]
     if lemmatize:
-        counts = fold_lemmas(counts, all_counts.select("word"))
+        counts = fold_lemmas(counts, all_counts.select(TERM, "word"), lemmas)
     counts = drop_self(counts)
     if widest is not None and widest > n:
         counts = top_n_per_key(counts, n)

@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,11 +146,19 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
     tagged = F.transform("frags", lambda f, i: F.struct(i.alias("frag_idx"), f.alias("highlight")))
     hit = F.filter(F.arrays_zip(tagged.alias("s"), norms.alias("n")),
                    lambda z: F.contains(z["n"], F.col("pattern")))
-    if fragment_limit is not None:
+    # two spellings of a term may match the same fragment
+    spellings = case_sensitive and t.groupBy("search_term").count().where("count > 1").limit(1).count() > 0
+    if fragment_limit is not None and not spellings:
         hit = F.slice(hit, 1, int(fragment_limit))
     out = cand.select("search_term", doc_col, *carry, F.explode(hit).alias("z"))
-    return out.select("search_term", doc_col, F.col("z.s.frag_idx").alias("frag_idx"), *carry,
-                      F.col("z.s.highlight").alias("highlight"))
+    out = out.select("search_term", doc_col, F.col("z.s.frag_idx").alias("frag_idx"), *carry,
+                     F.col("z.s.highlight").alias("highlight"))
+    if spellings:
+        out = out.dropDuplicates(["search_term", doc_col, "frag_idx"])
+        if fragment_limit is not None:
+            nth = F.row_number().over(Window.partitionBy("search_term", doc_col).orderBy("frag_idx"))
+            out = out.withColumn("_nth", nth).where(F.col("_nth") <= int(fragment_limit)).drop("_nth")
+    return out
 
 
 def with_processed_text(snippets: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Four tables: ``term_counts`` (word), ``term_cooccurrence`` (word_1, word_2),
 ``processed_terms`` (term), ``similarity_results`` (doc_id, similar_doc_id).
-The merge logic is plain DataFrame algebra — anti-join + union, incoming rows
-win — and is what a MERGE statement would do.  Tables are Parquet directories;
+The merge logic is one union and one aggregation per key, in which incoming
+rows win, and is what a MERGE statement would do.  Tables are Parquet directories;
 a new version is written next to the old one and becomes current only once it
 is complete, so a failed job leaves the previous version intact and the job
 can be re-run (every operation here is idempotent).
@@ -28,25 +28,25 @@ KEYS = {
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``incoming`` replace rows of ``existing`` with the same key;
-    other rows of both are kept.  Incoming rows that repeat a key keep one row
-    (the largest by all columns, so the choice does not depend on order)."""
-    keys = list(keys)
-    cols = existing.columns
-    inc = incoming.select(*cols)
+    other rows of both are kept.  Rows of one side that repeat a key keep one
+    row (the largest by all columns, so the choice does not depend on order).
+    One aggregation over both sides: each is computed once and shuffled once."""
+    return _merged(existing, incoming, keys, 1)
+
+
+def _merged(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], incoming_rank: int) -> DataFrame:
+    """One row per key, from the side of the higher rank (``existing`` has 0)."""
+    keys, cols = list(keys), existing.columns
     other = [c for c in cols if c not in keys]
-    if other:
-        inc = (inc.groupBy(*keys).agg(F.max(F.struct(*other)).alias("_v")).select(*keys, "_v.*"))
-    else:
-        inc = inc.dropDuplicates(keys)
-    kept = existing.join(inc.select(*keys), keys, "left_anti")
-    return kept.unionByName(inc)
+    both = existing.select(*cols, F.lit(0).alias("_rank")).unionByName(
+        incoming.select(*cols, F.lit(incoming_rank).alias("_rank")))
+    best = both.groupBy(*keys).agg(F.max(F.struct("_rank", *other)).alias("_v"))
+    return best.select(*keys, *[F.col("_v")[c].alias(c) for c in other])
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ledger insert: rows with a new key are added, existing rows untouched."""
-    keys = list(keys)
-    new = incoming.select(*existing.columns).dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(new)
+    return _merged(existing, incoming, keys, -1)
 
 
 def pending(candidates: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:

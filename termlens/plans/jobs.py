@@ -7,9 +7,11 @@ here every stage is one Spark job over all pending terms:
    against the partition values of the snippet table) unless ``overwrite``;
    the rest are extracted from the corpus and written partitioned by term
    (dynamic partition overwrite: re-running a term replaces only its data).
-2. **statistics** — co-occurrence, corpus summary and TF-IDF of the pending
+2. **bibliography** — per term a collection of de-duplicated records, its
+   header and the snippet map.
+3. **statistics** — co-occurrence, corpus summary and TF-IDF of the pending
    terms, read back from the snippet table with partition pruning.
-3. **load** — terms already in the ``processed_terms`` ledger are skipped
+4. **load** — terms already in the ``processed_terms`` ledger are skipped
    unless ``skip_processed`` is off; counts and co-occurrence rows are
    upserted, then the terms are added to the ledger.  Every step is an
    idempotent versioned write, so a failed run can simply be repeated.
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlens.constants import DEFAULT_FRAGMENT_LIMIT, DEFAULT_TOP_N
+from termlens.operators import bibliography as bib
 from termlens.operators.cooccurrence import cooccurrence_stats
 from termlens.operators.corpus import corpus_summary, term_counts, tfidf
+from termlens.operators.rowindex import dense_index
 from termlens.operators.snippets import extract_snippets, terms_frame, with_processed_text
 from termlens.operators.store import TableStore, clean_stats
 from termlens.session import cut_lineage
@@ -69,6 +73,20 @@ def extract(spark: SparkSession, docs: DataFrame, terms: Iterable[str], layout:
     return todo
 
 
+def bibliography(spark: SparkSession, terms: list[str], layout: Layout) -> None:
+    """Snippet map, BibJSON records and collection header of each term."""
+    if not terms or not path_exists(spark, layout.snippets):
+        return
+    by = ["search_term"]
+    snips = read_by_term(spark, layout.snippets).where(F.col("search_term").isin(terms))
+    rows = cut_lineage(dense_index(snips.drop("highlight", "processed_text"), by, ["doc_id", "frag_idx"], bib.ROW))
+    records = bib.bib_json_lines(bib.bib_records(rows, by=by), by)
+    headers = rows.select(*by).distinct().withColumn("header_json", bib.collection_header(F.col("search_term")))
+    write_result(records, layout.result("bibjson"), partition_by="search_term")
+    write_result(headers, layout.result("bib_collections"), partition_by="search_term")
+    write_result(bib.bib_map(rows, by=by), layout.result("bib_map"), partition_by="search_term")
+
+
 def statistics(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
                n: int = DEFAULT_TOP_N, lemmatize: bool = True) -> None:
     """Co-occurrence, corpus summary and TF-IDF for ``terms``."""
@@ -103,12 +121,14 @@ def load(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
 def process_terms(spark: SparkSession, docs: DataFrame, terms: Iterable[str], root: str, total_docs: int,
                   n: int = DEFAULT_TOP_N, fragment_limit: int | None = DEFAULT_FRAGMENT_LIMIT,
                   overwrite: bool = False, skip_processed: bool = True, lemmatize: bool = True) -> list[str]:
-    """All three stages for ``terms``; returns the terms newly loaded.  Each
+    """All stages for ``terms``; returns the terms newly loaded.  Each
     stage asks its own output which terms are left, so a run that broke off is
     repeated from where it stopped."""
     layout, terms = Layout(root), list(terms)
     fresh = extract(spark, docs, terms, layout, fragment_limit, overwrite)
     # terms without any snippet have no partition and count as done by every stage
+    left = _pending(spark, terms, layout.result("bib_map"))
+    bibliography(spark, sorted({*left, *fresh}), layout)
     left = _pending(spark, terms, layout.result("corpus_stats"))
     statistics(spark, sorted({*left, *fresh}), layout, total_docs, n, lemmatize)
     wanted = [r.search_term for r in terms_frame(spark, terms).select("search_term").collect()]

@@ -25,7 +25,7 @@ def q(s: str) -> str:
 def terms_cte(terms=DEFAULT_TERMS) -> str:
     vals = ", ".join(f"({q(t.lower())})" for t in sorted(set(terms)))
     return (f"terms AS (SELECT search_term, ' ' || trim(regexp_replace(search_term, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-            f" || ' ' AS pattern FROM (VALUES {vals}) v(search_term))")
+            f" || CASE WHEN suffix(search_term, '*') THEN '' ELSE ' ' END AS pattern FROM (VALUES {vals}) v(search_term))")
 
 
 def fold_sql(x: str) -> str:
@@ -90,22 +90,24 @@ def tokens_cte(name: str = "tokens") -> str:
             f" lambda w: w <> '')) AS word FROM snippets)")
 
 
-def lemma_ctes() -> str:
-    """``vocab``, ``lemmas`` (word, lemma) over snippet tokens."""
-    return f"""vocab AS (SELECT DISTINCT word FROM tokens),
-lemma_cands AS (SELECT word, unnest({lemma_candidates_sql('word')}) AS cand FROM vocab WHERE length(word) > 2),
+def lemma_ctes(key: str = "") -> str:
+    """``vocab``, ``lemmas`` (word, lemma) over snippet tokens; with the column
+    ``key`` each of its values has a vocabulary of its own."""
+    k, ck, on = (f"{key}, ", f"c.{key}, ", f" AND v.{key} = c.{key}") if key else ("", "", "")
+    return f"""vocab AS (SELECT DISTINCT {k}word FROM tokens),
+lemma_cands AS (SELECT {k}word, unnest({lemma_candidates_sql('word')}) AS cand FROM vocab WHERE length(word) > 2),
 lemma_best AS (
-  SELECT word, first(cand ORDER BY length(cand), cand) AS lemma FROM (
-    SELECT c.word, c.cand FROM lemma_cands c JOIN vocab v ON v.word = c.cand) GROUP BY word),
+  SELECT {k}word, first(cand ORDER BY length(cand), cand) AS lemma FROM (
+    SELECT {ck}c.word, c.cand FROM lemma_cands c JOIN vocab v ON v.word = c.cand{on}) GROUP BY {k}word),
 lemmas AS (
-  SELECT v.word, coalesce(b.lemma, v.word) AS lemma FROM vocab v LEFT JOIN lemma_best b USING (word))"""
+  SELECT {k}v.word, coalesce(b.lemma, v.word) AS lemma FROM vocab v LEFT JOIN lemma_best b USING ({k}word))"""
 
 
 def cooccurrence_sql(terms=DEFAULT_TERMS, total_docs: int = 16023367, n: int = 1000000,
                      lemmatize: bool = True) -> str:
     word = "l.lemma" if lemmatize else "t.word"
-    join = "JOIN lemmas l ON l.word = t.word" if lemmatize else ""
-    lem = ("," + lemma_ctes()) if lemmatize else ""
+    join = "JOIN lemmas l ON l.word = t.word AND l.search_term = t.search_term" if lemmatize else ""
+    lem = ("," + lemma_ctes("search_term")) if lemmatize else ""
     return f"""WITH {snippets_ctes(terms)},
 {tokens_cte()}{lem},
 counts AS (

@@ -47,6 +47,9 @@ LEDGER_TERMS = TERMS[0:2]
 REMOVED_TERM = "thing"
 EDGE_MIN_COUNT = 3
 FRAGMENT_LIMIT = 2                   # of snippets_limited: small enough to bind
+WILDCARD_TERMS = ("nich*", "of th*", "thing")
+SINGLE_TERM = ("of the",)            # run alone
+NETWORK_TERMS = ("nicht", "thing")   # of network_neighbourhood
 
 
 def register(name: str, sql: str | None):
@@ -114,6 +117,11 @@ def q_snippets_limited(spark, sf_dir):
     return with_processed_text(extract_snippets(corpus(spark, sf_dir), TERMS, FRAGMENT_LIMIT))
 
 
+@register("snippets_wildcard", f"WITH {o.snippets_ctes(WILDCARD_TERMS)} SELECT * FROM snippets")
+def q_snippets_wildcard(spark, sf_dir):
+    return snippets(spark, sf_dir, WILDCARD_TERMS)
+
+
 @register("snippet_rows", f"""{SNIP}
 SELECT search_term, doc_id, frag_idx, CAST(row_number() OVER (PARTITION BY search_term ORDER BY doc_id, frag_idx) - 1
        AS BIGINT) AS snippet_row FROM snippets""")
@@ -134,7 +142,14 @@ def q_cooccurrence_stats(spark, sf_dir):
     return cooc(spark, sf_dir)
 
 
-@register("cooccurrence_top_n", o.cooccurrence_sql(TERMS, TD, n=200))
+@register("cooccurrence_single",
+          f"WITH {o.cooc_body('c', TERMS, TD)} SELECT * FROM c WHERE word_1 = {o.q(SINGLE_TERM[0])}")
+def q_cooccurrence_single(spark, sf_dir):
+    """One term run alone has the rows that it has among others."""
+    return cooc(spark, sf_dir, SINGLE_TERM)
+
+
+@register("cooccurrence_top_n",o.cooccurrence_sql(TERMS, TD, n=200))
 def q_cooccurrence_top_n(spark, sf_dir):
     return cooc(spark, sf_dir, n=200)
 
@@ -237,24 +252,29 @@ def q_doc_vectors(spark, sf_dir):
 # ---- bibliography ------------------------------------------------------------------
 
 CIT = f"WITH cit AS ({citations_sql()})"
-NANIFY = "CASE WHEN {x} IS NULL OR lower({x}) = 'nan' OR trim({x}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f') = '' THEN NULL ELSE {x} END"
+BLANKS = "' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f '"
+NANIFY = "CASE WHEN {x} IS NULL OR lower({x}) = 'nan' OR trim({x}, " + BLANKS + ") = '' THEN NULL ELSE {x} END"
 
 
 def _clean_sql(x: str) -> str:
-    t = f"trim({NANIFY.format(x=x)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')"
-    return f"nullif({t}, '')"
+    return f"nullif(trim({NANIFY.format(x=x)}, {BLANKS}), '')"
+
+
+def _year_sql(pub_year: str, cover: str, number: str = "^([0-9]+)$") -> str:
+    y = f"trim({NANIFY.format(x=pub_year)}, {BLANKS})"
+    cd = f"regexp_extract(trim({NANIFY.format(x=cover)}, {BLANKS}), '^([0-9]{{4}})', 1)"
+    return f"coalesce(TRY_CAST(regexp_extract({y}, '{number}', 1) AS INTEGER), TRY_CAST({cd} AS INTEGER))"
 
 
-def _year_sql(pub_year: str, cover: str) -> str:
-    y = f"trim({NANIFY.format(x=pub_year)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')"
-    cd = f"regexp_extract(trim({NANIFY.format(x=cover)}, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f'), '^([0-9]{{4}})', 1)"
-    return (f"coalesce(CASE WHEN regexp_matches({y}, '^[0-9]+$') THEN TRY_CAST({y} AS INTEGER) END,"
-            f" CASE WHEN {cd} <> '' THEN CAST({cd} AS INTEGER) END)")
+def _key_year_sql(pub_year: str, cover: str) -> str:
+    return _year_sql(pub_year, cover, r"^([0-9]+)(\.[0-9]*)?$")
 
 
-KEYS_SQL = f"""{CIT},
+def _keys_sql(head: str) -> str:
+    """``keyed``: the rows of ``cit`` (made by ``head``) with their bibliography keys."""
+    return f"""{head},
 k AS (SELECT *, {_clean_sql('doi')} AS cdoi, {_clean_sql('doc_id')} AS cdoc, {_clean_sql('title')} AS ctitle,
-             {_year_sql('pub_year', 'coverdate')} AS cyear FROM cit),
+             {_key_year_sql('pub_year', 'coverdate')} AS cyear FROM cit),
 keyed AS (SELECT *,
   CASE WHEN cdoi IS NOT NULL THEN 'doi' WHEN cdoc IS NOT NULL THEN 'doc_id'
        WHEN ctitle IS NOT NULL AND cyear IS NOT NULL AND cyear <> 0 THEN 'title_year' ELSE 'row' END AS key_kind,
@@ -262,18 +282,49 @@ keyed AS (SELECT *,
        WHEN ctitle IS NOT NULL AND cyear IS NOT NULL AND cyear <> 0 THEN ctitle || '::' || CAST(cyear AS VARCHAR)
        ELSE 'row-' || CAST(snippet_row AS VARCHAR) END AS bibjson_id FROM k)"""
 
+
 AUTHORS_SQL = ("list_filter(list_transform(string_split_regex(coalesce({a}, ''), ';|, and | and |\\|'),"
-               " lambda x: trim(x, ' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f')), lambda x: x <> '')")
+               " lambda x: trim(x, " + BLANKS + ")), lambda x: x <> '')")
 AUTHORS_SQL = AUTHORS_SQL.replace("{a}", NANIFY.format(x="authors"))
 
-RECORDS_SQL = f"""{KEYS_SQL},
+
+def _records_sql(head: str, by: str = "") -> str:
+    """``recs``: one record per key, within each value of the columns ``by``."""
+    return f"""{_keys_sql(head)},
 firsts AS (SELECT * FROM keyed WHERE key_kind <> 'row'
-           QUALIFY row_number() OVER (PARTITION BY key_kind, bibjson_id ORDER BY snippet_row) = 1),
-recs AS (SELECT bibjson_id AS id, key_kind, 'article' AS type, coalesce(ctitle, '') AS title,
-                {AUTHORS_SQL} AS names, cyear AS year, {_clean_sql('journal')} AS journal,
+           QUALIFY row_number() OVER (PARTITION BY {by}key_kind, bibjson_id ORDER BY snippet_row) = 1),
+recs AS (SELECT {by}bibjson_id AS id, key_kind, 'article' AS type, coalesce(ctitle, '') AS title,
+                {AUTHORS_SQL} AS names, {_year_sql('pub_year', 'coverdate')} AS year, {_clean_sql('journal')} AS journal,
                 {_clean_sql('publisher')} AS publisher, cdoi AS doi, {_clean_sql('url')} AS url FROM firsts)"""
 
 
+KEYS_SQL, RECORDS_SQL = _keys_sql(CIT), _records_sql(CIT)
+# snippets with the citation fields of their documents, numbered within their term
+TERM_CIT = f"""{SNIP}, docs AS ({citations_sql()}),
+cit AS (SELECT s.search_term, d.* EXCLUDE (snippet_row),
+               row_number() OVER (PARTITION BY s.search_term ORDER BY s.doc_id, s.frag_idx) - 1 AS snippet_row
+        FROM snippets s JOIN docs d ON d.snippet_row = s.doc_id)"""
+
+
+def _term_citations(spark, sf_dir) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr("text", *CITATION_COLUMNS)
+    s = extract_snippets(docs.withColumnRenamed("snippet_row", "doc_key"), TERMS, doc_col="doc_key").drop("highlight")
+    return dense_index(s, ["search_term"], ["doc_key", "frag_idx"], "snippet_row")
+
+
+@register("bib_map_by_term", f"{_keys_sql(TERM_CIT)} SELECT search_term, snippet_row, bibjson_id FROM keyed")
+def q_bib_map_by_term(spark, sf_dir):
+    return bib.bib_map(_term_citations(spark, sf_dir), by=["search_term"])
+
+
+@register("bib_records_by_term", f"""{_records_sql(TERM_CIT, 'search_term, ')}
+SELECT search_term, id, key_kind, type, title, year, journal, publisher, array_to_string(names, ' | ') AS author_names,
+       CAST(len(names) AS INTEGER) AS n_authors, doi, url FROM recs""")
+def q_bib_records_by_term(spark, sf_dir):
+    by = ["search_term"]
+    return bib.bib_records_flat(bib.bib_records(_term_citations(spark, sf_dir), by=by), by)
+
+
 @register("parse_year", f"{CIT} SELECT snippet_row, {_year_sql('pub_year', 'coverdate')} AS year FROM cit")
 def q_parse_year(spark, sf_dir):
     c = citations(spark, sf_dir)
@@ -459,6 +510,20 @@ def q_network_nodes(spark, sf_dir):
     return nw.network_nodes(_edges(spark, sf_dir))
 
 
+@register("network_neighbourhood", f"""{EDGES_SQL},
+near AS (SELECT * FROM e WHERE source IN ({', '.join(map(o.q, NETWORK_TERMS))})),
+lex AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
+ends AS (SELECT source AS node, weight, TRUE AS s FROM near UNION ALL SELECT target, weight, FALSE FROM near)
+SELECT node, count(*) AS degree, sum(weight) AS strength,
+       CASE WHEN node IN (SELECT word FROM lex WHERE word IS NOT NULL) THEN 'benchmark'
+            WHEN bool_or(s) THEN 'term' ELSE 'word' END AS type FROM ends GROUP BY node""")
+def q_network_neighbourhood(spark, sf_dir):
+    """Nodes around some terms, typed by a lexicon (the words of the benchmark)."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    edges = nw.network_edges(cooc(spark, sf_dir), EDGE_MIN_COUNT / float(DENOM), terms=NETWORK_TERMS)
+    return nw.network_nodes(edges, words.distinct().withColumn("type", F.lit("benchmark")))
+
+
 # ---- neighbours (approximate: no SQL oracle) ----------------------------------------------
 
 def _vectors(spark, sf_dir):
@@ -471,7 +536,7 @@ def q_similarity_forest(spark, sf_dir):
     return sim.nearest_neighbours(_vectors(spark, sf_dir))
 
 
-@register("similarity_pending", None)
+@register("similarity_pending", "SELECT vec_id AS doc_id FROM embeddings WHERE label IS DISTINCT FROM 1")
 def q_similarity_pending(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     earlier = sim.nearest_neighbours(e.where(F.col("label") == 1)

@@ -65,12 +65,12 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 CITATION_COLUMNS = (
     "doc_id AS snippet_row",
     "CASE WHEN doc_id % 5 IN (0, 1, 2) THEN concat('10.5555/', CAST(doc_id % 97 AS STRING))"
-    " WHEN doc_id % 5 = 4 AND doc_id % 3 = 0 THEN 'NaN' END AS doi",
+    " WHEN doc_id % 5 = 4 AND doc_id % 3 = 0 THEN 'NaN' WHEN doc_id % 5 = 4 AND doc_id % 3 = 1 THEN ' ' END AS doi",
     "CASE WHEN doc_id % 5 = 3 THEN concat('d', CAST(doc_id % 41 AS STRING)) END AS doc_id",
     "CASE WHEN doc_id % 10 <> 9 THEN concat('Title ', CAST(doc_id % 13 AS STRING)) ELSE '' END AS title",
     "CASE WHEN doc_id % 4 = 0 THEN CAST(1990 + doc_id % 30 AS STRING)"
     " WHEN doc_id % 4 = 1 THEN '2001.0' END AS pub_year",
-    "CASE WHEN doc_id % 4 IN (1, 2) THEN concat(CAST(1980 + doc_id % 25 AS STRING), '-05-01') END AS coverdate",
+    "CASE WHEN doc_id % 4 IN (1, 2) AND doc_id % 8 <> 1 THEN concat(CAST(1980 + doc_id % 25 AS STRING), '-05-01') END AS coverdate",
     "concat('Smith, J.; Doe, A', CAST(doc_id % 7 AS STRING), ' and Roe, B.') AS authors",
     "source AS journal",
     "concat('pub-', lang) AS publisher",

@@ -66,3 +66,22 @@ def test_write_bibjson(spark):
         "created": "2026-01-01T00:00:00Z", "generator": "termlens (bibliography job)", "version": "0.2"}}
     rec = json.loads(spark.read.text(os.path.join(out, "records")).first()[0])
     assert rec["id"] == "10.1/x" and [a["name"] for a in rec["author"]] == ["A", "B"] and rec["year"] == 2000
+def test_unicode_blanks_key_years_and_single_author(spark):
+    rows = spark.createDataFrame(
+        [(0, " ", None, "T", "2001.0", ("Ann", "Lee")), (1, "10.1/x ", None, "T", None, None),
+         (2, None, None, "T", "2001", ("", "Roe"))],
+        "snippet_row long, doi string, doc_id string, title string, pub_year string,"
+        " authors struct<given: string, family: string>")
+    assert {r.snippet_row: r.bibjson_id for r in bib_map(rows).collect()} == {0: "T::2001", 1: "10.1/x", 2: "T::2001"}
+    recs = {r.id: r for r in bib_records(rows).collect()}
+    assert [a.name for a in recs["T::2001"].author] == ["Ann Lee"] and recs["T::2001"].year is None
+    assert recs["10.1/x"].author == []
+
+
+def test_collections_by_term(spark):
+    rows = spark.createDataFrame([("a", 0, "d1"), ("a", 1, "d1"), ("b", 0, "d1")],
+                                 "search_term string, snippet_row long, doc_id string")
+    by = ["search_term"]
+    assert sorted(tuple(r) for r in bib_records(rows, by=by).select("search_term", "id").collect()) == [
+        ("a", "d1"), ("b", "d1")]
+    assert bib_map(rows, by=by).columns == ["search_term", "snippet_row", "bibjson_id"]

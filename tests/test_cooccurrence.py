@@ -116,3 +116,27 @@ def test_stemmed_matching(spark):
     exact = sorted((r.search_term, r.doc_id, r.frag_idx)
                    for r in extract_snippets(docs, ["volcanic arc", "basalt"]).collect())
     assert exact == [("volcanic arc", 1, 1)]
+
+
+def test_term_alone_equals_term_among_others(spark):
+    both = spark.createDataFrame([("a", "rocks rocks pebbles"), ("b", "rock pebble pebbles")],
+                                 "search_term string, processed_text string")
+    together = {(r.word_1, r.word_2, r["count"]) for r in cooccurrence_stats(both, 10).collect()}
+    alone = {(r.word_1, r.word_2, r["count"]) for t in "ab"
+             for r in cooccurrence_stats(both.where(F.col("search_term") == t), 10).collect()}
+    assert together == alone == {("a", "rocks", 2), ("a", "pebbles", 1), ("b", "rock", 1), ("b", "pebble", 2)}
+
+
+def test_user_lemma_table(spark):
+    rows = spark.createDataFrame([("a", "mice mouse rocks rock")], "search_term string, processed_text string")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("rocks", "rocks"), ("rock", None)], "word string, lemma string")
+    got = result(cooccurrence_stats(rows, 10, lemmas=lemmas))
+    assert got == [("mouse", 2), ("rock", 1)]     # rock and rocks stay apart, then share a stem
+
+
+def test_two_spellings_of_a_term(spark):
+    docs = spark.createDataFrame([(1, "Thing and thing. a thing. Thing")], "doc_id long, text string")
+    got = extract_snippets(docs, ["Thing", "thing"], case_sensitive=True).collect()
+    assert sorted(r.frag_idx for r in got) == [0, 1, 2]
+    two = extract_snippets(docs, ["Thing", "thing"], 2, case_sensitive=True).collect()
+    assert sorted(r.frag_idx for r in two) == [0, 1]

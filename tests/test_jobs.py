@@ -6,7 +6,7 @@ import tempfile
 
 from termlens.operators.store import TableStore
 from termlens.plans.jobs import Layout, extract, process_terms
-from termlens.sources.snippets_io import read_api_responses, read_snippets_csv, write_snippets
+from termlens.sources.snippets_io import read_api_responses, read_by_term, read_snippets_csv, write_snippets
 from termlens.sources.tables import corpus
 from termlens.streaming import incremental
 
@@ -88,6 +88,11 @@ def test_runs_resume_after_any_stage(spark):
         store = TableStore(spark, os.path.join(root, "tables"))
         ends.append([rows(store.read(t)) for t in ("processed_terms", "term_counts", "term_cooccurrence")])
         assert {r[0] for r in ends[-1][1]} == {"007", "2024"}
+        maps = read_by_term(spark, Layout(root).result("bib_map"))
+        assert rows(maps.select("search_term", "snippet_row", "bibjson_id")) == [
+            ("007", 0, "1"), ("2024", 0, "1"), ("2024", 1, "2")]
+        heads = read_by_term(spark, Layout(root).result("bib_collections")).collect()
+        assert {json.loads(r.header_json)["collection"] for r in heads} == {"007", "2024"}
     assert ends[0] == ends[1] == ends[2]
 
 
