@@ -126,9 +126,9 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     if not len(sample):
         return NeighbourModel(idf, np.zeros((DIM, 1)), np.zeros((0, 1)), np.zeros(0), k)
     x = np.zeros((len(sample), DIM), np.float32)
-    for i, (t, v) in enumerate(zip(sample.terms, sample.tf, strict=True)):
+    for i, (t, v) in enumerate(zip(sample.terms, sample.tf, strict=True)):  # row by row: one matrix in memory
         x[i, np.frombuffer(t, np.uint16)] = np.frombuffer(v, np.float32)
-    x = unit(weigh(x) * idf).astype(np.float32)
+        x[i] = unit(weigh(x[i:i + 1]) * idf)[0]
     basis = latent_basis(x, RANK)
     return NeighbourModel(idf.astype(np.float32), basis, unit(x @ basis), sample.label.to_numpy().astype(float), k)
 
