@@ -90,6 +90,16 @@ def test_line_dedup(spark, edge, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_every_line_with_a_word(spark):
+    long, short, dots = "This line stands on five sites.", "Le treque.", " ... "
+    rows = [(i, "\n".join([long] * (i < 5) + [short, f"And {i % 9}.", dots, "", f"own {i}"]), f"s{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df, **linededup.ALL_LINES).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 10):
+        assert got[i] == f"And {i % 9}.\n{dots}\n\nown {i}"
+
+
 def brute_counts(text):
     w = re.findall("[^\x20\x09-\x0D]+", text)
     wins = collections.Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
