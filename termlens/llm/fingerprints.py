@@ -8,8 +8,8 @@ paragraph is inserted or deleted by adding or subtracting its vector
 
 * ``EQUAL_LANES`` lanes hashed from the paragraph's SHA-256, which tell
   different multisets apart, and
-* ``LIKE_LANES`` lanes that count one hash bit of each of its clauses (four
-  15-bit lanes to a number), and the number of clauses: their centred values
+* ``LIKE_LANES`` lanes that count one hash bit of each of its clauses (two
+  30-bit lanes to a number, more than a text can have clauses), and the number of clauses: their centred values
   are random projections of the multiset of clauses, whose cosine estimates
   how alike two texts are (:func:`likeness`).
 
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from termlens.llm.common import free_name
 
 EQUAL_LANES = 8
-SEEDS, SHIFTS = 4, 15                      # LIKE_LANES = SEEDS * SHIFTS * 4
+LIKE_BITS, PACKED = 30, 2                  # width of a likeness lane, lanes to a number
+SEEDS, SHIFTS = 4, LIKE_BITS               # LIKE_LANES = SEEDS * SHIFTS * PACKED
 MODULUS = (1 << 60) - 1                    # lanes are summed modulo 2 ** 60
-BIT_MASK = 1 | 1 << 15 | 1 << 30 | 1 << 45
+BIT_MASK = sum(1 << LIKE_BITS * i for i in range(PACKED))
 CLAUSE_END = "[.,;:!?\\n]+"
 LANES = EQUAL_LANES + SEEDS * SHIFTS + 1
 ROWS_PER_RANGE = 500
@@ -63,10 +64,11 @@ def text_sql(lanes: str) -> str:
 
 def likeness_sql(a: str, b: str) -> str:
     """Cosine of the centred clause lanes, 0 to 1."""
-    n = SEEDS * SHIFTS * 4
+    n = SEEDS * SHIFTS * PACKED
 
     def lane(v):
-        return f"2 * (shiftright({v}[{EQUAL_LANES} + k div 4], 15 * cast(k % 4 AS int)) & 32767L) - {v}[{LANES - 1}]"
+        return (f"2 * (shiftright({v}[{EQUAL_LANES} + k div {PACKED}], {LIKE_BITS} * cast(k % {PACKED} AS int))"
+                f" & {(1 << LIKE_BITS) - 1}L) - {v}[{LANES - 1}]")
 
     lanes = f"transform(sequence(0, {n - 1}), k -> struct(cast({lane(a)} AS double) AS x, cast({lane(b)} AS double) AS y))"
     sums = (f"aggregate({lanes}, struct(0D AS xy, 0D AS xx, 0D AS yy), (s, l) -> "

@@ -34,6 +34,17 @@ def test_fingerprints_are_homomorphic(spark):
     assert df.selectExpr(fingerprints.combine_sql("x", "y", "-") + " AS z").first().z == ab
 
 
+def test_likeness_of_very_long_texts(spark):
+    once, many = "ab.", "ab." * 40_000
+    a, b = ("".join(f"{x}{i}." for i in range(70_000)) for x in "xy")
+    half = a[:len(a) // 2] + b[len(b) // 2:]
+    x = dict(zip(("once", "many", "a", "b", "half"), lanes(spark, once, many, a, b, half), strict=True))
+    pairs = [("once", "many"), ("a", "b"), ("a", "half")]
+    got = [r.near for r in spark.createDataFrame([(i, x[p], x[q]) for i, (p, q) in enumerate(pairs)], "i int, x array<long>, y array<long>")
+           .selectExpr("i", fingerprints.likeness_sql("x", "y") + " AS near").orderBy("i").collect()]
+    assert got[0] > 0.999 and got[1] < 0.3 and 0.3 < got[2] < 0.7  # half of the clauses are the same
+
+
 def test_edited_texts_follow_descending_ids(spark, docs):
     rows = docs.select("doc_id", "text").orderBy(F.desc("doc_id")).collect()
     fingerprints.ROWS_PER_RANGE, old = 7, fingerprints.ROWS_PER_RANGE
