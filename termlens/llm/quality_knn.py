@@ -2,14 +2,15 @@
 
 Texts become TF-IDF vectors of hashed character-shape n-grams, letter n-grams
 and repetition markers (document frequencies counted over all documents); a
-truncated SVD of the labelled sample gives ``RANK`` latent directions.  The
-labelled vectors (at most about ``max_labelled`` rows, so ``max_labelled *
+truncated SVD of the labelled sample gives ``RANK`` latent directions.  Copies
+of a labelled text are one vector, whose label is their mean.  The labelled
+vectors (at most ``max_labelled``, those of lowest hash, so ``max_labelled *
 RANK`` floats) are broadcast, and every document's cosine with every one of
 them is computed exactly in blocks; the ``k`` nearest vote with the power
 ``SHARPNESS`` of their similarity.
 
 Defined results: null text counts as empty; an empty text has the zero vector,
-is equally far from all neighbours and gets the mean label.  Without labelled
+is equally far from all neighbours and gets the mean label of the sampled rows.  Without labelled
 rows every score is 0.5.  Equal texts get equal scores.
 """
 
@@ -30,7 +31,7 @@ MARKERS = 6
 MARKER_WEIGHT = 3.0
 DIM = (1 << SHAPE_BITS) + (1 << LETTER_BITS) + MARKERS
 RANK = 64
-MAX_LABELLED = 4000        # bound of the labelled sample (expected rows)
+MAX_LABELLED = 4000        # bound of the labelled sample (different texts)
 K, SHARPNESS = 7, 4
 BLOCK_DOCS = 64
 
@@ -55,8 +56,9 @@ class NeighbourModel:
     idf: np.ndarray        # [DIM]
     basis: np.ndarray      # [DIM, RANK]
     vectors: np.ndarray    # [labelled, RANK], unit length
-    labels: np.ndarray     # [labelled]
+    labels: np.ndarray     # [labelled], mean of the copies
     k: int = K
+    copies: np.ndarray | None = None  # [labelled], rows of each text (None: one each)
 
     def project(self, tf: np.ndarray) -> np.ndarray:
         return unit(unit(weigh(tf) * self.idf) @ self.basis)
@@ -66,7 +68,7 @@ class NeighbourModel:
         if not len(self.labels):
             return out
         k = min(self.k, len(self.labels))
-        mean = float(self.labels.mean())
+        mean = float(np.average(self.labels, weights=self.copies))
         for first, block in blocks(texts, BLOCK_DOCS):
             cos = self.project(counts(block)) @ self.vectors.T
             near = np.argpartition(-cos, k - 1, 1)[:, :k]
@@ -107,30 +109,39 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
 
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(
         "label IN (0, 1) AND text IS NOT NULL")
-    size = rows.count()
-    rows = rows.withColumn("draw", F.xxhash64("text")).where(
-        (F.col("draw") / F.lit(float(1 << 63)) + 1) / 2 < F.lit(min(1.0, max_labelled / max(size, 1))))
+    rows = rows.withColumns({"draw": F.xxhash64("text"), "tie": F.xxhash64(F.lit(1), "text")})
+    # the texts of lowest hash, their copies counted by hash
+    sample = rows.groupBy("draw", "tie").agg(F.count("*").alias("copies"), F.avg("label").alias("label")).orderBy(
+        "draw", "tie").limit(max_labelled).toPandas()
+    if not len(sample):
+        return NeighbourModel(idf, np.zeros((DIM, 1)), np.zeros((0, 1)), np.zeros(0), k)
+    last = sample.iloc[-1]
+    end = int(last["draw"]), int(last["tie"])
+    rows = rows.where((F.col("draw") < end[0]) | ((F.col("draw") == end[0]) & (F.col("tie") <= end[1])))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One vector of each different text of the task."""
+        seen: set = set()
         for b in batches:
-            labels, draws = b["label"].tolist(), b["draw"].tolist()
+            b = b[[key not in seen and not seen.add(key) for key in zip(b["draw"], b["tie"], strict=True)]]
+            draws, ties = b["draw"].tolist(), b["tie"].tolist()
             for first, block in blocks(b["text"].tolist(), BLOCK_DOCS):
                 tf = counts(block)
                 nz = [np.flatnonzero(r) for r in tf]
-                yield pd.DataFrame({"label": labels[first:first + len(block)], "draw": draws[first:first + len(block)],
+                yield pd.DataFrame({"draw": draws[first:first + len(block)], "tie": ties[first:first + len(block)],
                                     "terms": [z.astype(np.uint16).tobytes() for z in nz],
                                     "tf": [r[z].astype(np.float32).tobytes() for r, z in zip(tf, nz, strict=True)]})
 
-    sample = rows.mapInPandas(vectors, "label int, draw long, terms binary, tf binary").toPandas()
-    sample = sample.sort_values(["draw", "label"])
-    if not len(sample):
-        return NeighbourModel(idf, np.zeros((DIM, 1)), np.zeros((0, 1)), np.zeros(0), k)
+    found = rows.select("text", "draw", "tie").mapInPandas(vectors, "draw long, tie long, terms binary, tf binary").groupBy(
+        "draw", "tie").agg(F.first("terms").alias("terms"), F.first("tf").alias("tf")).toPandas()
+    sample = sample.merge(found, on=["draw", "tie"]).sort_values(["draw", "tie"])
     x = np.zeros((len(sample), DIM), np.float32)
     for i, (t, v) in enumerate(zip(sample.terms, sample.tf, strict=True)):  # row by row: one matrix in memory
         x[i, np.frombuffer(t, np.uint16)] = np.frombuffer(v, np.float32)
         x[i] = unit(weigh(x[i:i + 1]) * idf)[0]
     basis = latent_basis(x, RANK)
-    return NeighbourModel(idf.astype(np.float32), basis, unit(x @ basis), sample.label.to_numpy().astype(float), k)
+    return NeighbourModel(idf.astype(np.float32), basis, unit(x @ basis), sample.label.to_numpy().astype(float), k,
+                          sample.copies.to_numpy())
 
 
 def latent_basis(x: np.ndarray, rank: int) -> np.ndarray:

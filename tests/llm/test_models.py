@@ -50,6 +50,19 @@ def test_quality_neighbours_are_exact(spark):
         assert abs(m.score([t])[0] - (w * m.labels[near]).sum() / w.sum()) < 1e-5
 
 
+def test_quality_copies_are_one_neighbour(spark):
+    texts = [f"some words number {i} stand here in a row {i * i}" for i in range(30)]
+    rows = [(t, i % 2) for i, t in enumerate(texts)] + [("### some words ### stand here", 1)] * 500 + [("### some words ### stand here", 0)] * 500
+    both = spark.createDataFrame(rows, "text string, quality int").repartition(4)
+    model = quality_knn.fit(both, both)
+    assert len(model.labels) == 31 and sorted(model.copies) == [1] * 30 + [1000] and 0.5 in model.labels
+    few = quality_knn.fit(both, both, max_labelled=7)
+    assert len(few.labels) == 7 and few.vectors.shape[0] == 7
+    least = {r.text for r in both.select("text").distinct().orderBy(F.xxhash64("text")).limit(7).collect()}
+    want = few.project(quality_knn.counts(sorted(least))) @ few.vectors.T
+    assert (want.max(1) > 0.999).all()
+
+
 def test_quality_edge(spark, edge, empty):
     both = edge.withColumn("quality", F.col("doc_id") % 2)
     model = quality_knn.fit(edge, both)
