@@ -1,6 +1,7 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one trained on
-toxic and one on ordinary text, compress every window of a text; the bytes that
-the toxic dictionary saves are the evidence.
+"""Toxicity by compression distance: zstandard compresses every window of a text
+with two dictionaries, one of them trained on ordinary text, the other that one
+behind a contrast lexicon of toxic text; the bytes that the latter saves are
+the evidence.
 
 Both dictionaries end in the same core, trained by zstandard on ordinary
 windows, so ordinary text compresses alike under both.  In front of it the
@@ -11,9 +12,10 @@ distance.  Every window is compressed at two levels, whose chance matches
 differ.  A logistic regression on each document's histograms of savings sets
 the calibrated threshold.
 
-Fitting uses bounded hash samples of the labelled rows (``docs_per_class``
-expected rows a class for the dictionaries and as many others for the
-calibration).  Scoring is one Arrow UDF column over whole texts.
+Fitting uses bounded hash samples of the labelled rows (``2 * docs_per_class``
+expected rows a class).  Half of the ordinary ones train the core, the others
+calibrate.  All toxic ones feed the lexicon; they calibrate in ``FOLDS`` folds,
+each with a lexicon of the others.  Scoring is one Arrow UDF column over whole texts.
 
 Defined results: null text counts as empty; an empty text has no window and
 gets the model's base rate for no evidence.  If a class has no labelled row,
@@ -42,9 +44,10 @@ LEVELS = (6, 12)
 CORE_BYTES = 32 << 10
 TOXIC_BYTES = 16 << 10
 TRAIN_BYTES = 4 << 20          # ordinary windows that train the core
-DOCS_PER_CLASS = 2000          # bound of each sample, expected rows a class
+DOCS_PER_CLASS = 2000          # half of the bound of the sample, expected rows a class
 MIN_DOCS, MIN_LIFT = 6, 2.5    # of a contrast 5-gram
 MAX_GRAMS = 20_000
+FOLDS = 4                      # of the calibration
 STEPS = np.arange(1, 9)        # bytes saved by a window: histogram
 
 
@@ -71,7 +74,7 @@ def grams_of(word: bytes) -> list[int]:
     return [int.from_bytes(b[i:i + GRAM], "big") for i in range(len(b) - GRAM + 1)]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=5)
 def _compressors(ordinary: bytes, toxic: bytes):
     made = []
     for level in LEVELS:
@@ -123,78 +126,101 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     if set(sizes) != {0, 1}:
         return ToxicityModel(b"", b"", np.zeros(0), False)
     share = {k: min(1.0, 2 * docs_per_class / n) for k, n in sizes.items()}
-    limit = F.when(F.col("label") == 1, share[1]).otherwise(share[0])
-    marks = marks.withColumn("draw", (F.xxhash64("key") / F.lit(float(1 << 63)) + 1) / 2).where(F.col("draw") < limit)
+    u = F.col("draw") / F.when(F.col("label") == 1, share[1]).otherwise(share[0])
+    # toxic rows: all train and all calibrate, by folds; ordinary rows: half train (no fold), half calibrate
+    at = F.when(F.col("label") == 1, u).otherwise(2 * u - 1)
+    marks = marks.withColumn("draw", (F.xxhash64("key") / F.lit(float(1 << 63)) + 1) / 2).where(u < 1).withColumn(
+        "fold", F.when(at < 0, -1).otherwise(F.least(F.floor(at * FOLDS), F.lit(FOLDS - 1))).cast("int"))
     rows = cut_lineage(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(
         F.broadcast(marks), "key").drop("key"))
-    train, check = rows.where(F.col("draw") < limit / 2), rows.where(F.col("draw") >= limit / 2)
-    n_toxic, n_plain = (min(float(docs_per_class), sizes[k] / 2) for k in (1, 0))
+    train, check = rows.where("label = 1 OR fold < 0"), rows.where("fold >= 0")
+    n_plain = min(float(docs_per_class), sizes[0] / 2)
+    n_sample = min(2.0 * docs_per_class, sizes[1])
+    # model m leaves out the toxic rows of fold m, the last one none
+    n_toxic = [n_sample * (1 - 1 / FOLDS)] * FOLDS + [n_sample]
+    need = [min(MIN_DOCS, max(2, n // 20)) for n in n_toxic]
 
     def document_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = (collections.Counter(), collections.Counter())
+        seen: dict = collections.defaultdict(collections.Counter)
         for b in batches:
-            for t, k in zip(b["text"], b["label"], strict=True):
+            for t, k in zip(b["text"], b["fold"], strict=True):
                 seen[k].update({g for w in set(words_of(t)) for g in grams_of(w)})
-        for k in (0, 1):
-            if seen[k]:
-                yield pd.DataFrame({"gram": list(seen[k]), "label": k, "n": list(seen[k].values())})
-
-    g = train.mapInPandas(document_grams, "gram long, label int, n long").groupBy("gram").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("plain"))
-    lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("plain") + 0.5) / (n_plain + 1))
-    need = min(MIN_DOCS, max(2, n_toxic // 20))
-    grams = frozenset(r.gram for r in g.where(F.col("toxic") >= need).where(lift > MIN_LIFT).orderBy(
-        F.desc("toxic"), "gram").limit(MAX_GRAMS).collect())
+        for k, found in seen.items():
+            if found:
+                yield pd.DataFrame({"gram": list(found), "fold": k, "n": list(found.values())})
+
+    g = train.mapInPandas(document_grams, "gram long, fold int, n long").groupBy("gram").agg(
+        F.sum(F.when(F.col("fold") < 0, F.col("n")).otherwise(0)).alias("plain"),
+        F.sum(F.when(F.col("fold") >= 0, F.col("n")).otherwise(0)).alias(f"t{FOLDS}"),
+        *[F.sum(F.when(F.col("fold") >= 0, F.col("n")).otherwise(0) - F.when(F.col("fold") == m, F.col("n")).otherwise(0))
+          .alias(f"t{m}") for m in range(FOLDS)])
+
+    def contrast(m: int) -> Column:
+        lift = F.log((F.col(f"t{m}") + 0.5) / (n_toxic[m] + 1)) - F.log((F.col("plain") + 0.5) / (n_plain + 1))
+        return (F.col(f"t{m}") >= need[m]) & (lift > MIN_LIFT)
+
+    models = range(FOLDS + 1)
+    g = g.select("gram", *[F.when(contrast(m), F.col(f"t{m}")).otherwise(0).alias(f"t{m}") for m in models])
+    g = g.where(" OR ".join(f"t{m} > 0" for m in models)).orderBy(
+        F.desc(F.greatest(*[f"t{m}" for m in models])), "gram").limit(MAX_GRAMS * (FOLDS + 1)).toPandas()
+    grams = [frozenset(g[g[f"t{m}"] > 0].sort_values([f"t{m}", "gram"], ascending=[False, True]).gram.head(MAX_GRAMS).tolist())
+             for m in models]
     # expected windows of the ordinary sample that train the core: about TRAIN_BYTES
     plain_bytes = train.where("label = 0").agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 1
     one_in = max(1, int(plain_bytes // TRAIN_BYTES))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Toxic segments (runs of contrast 5-grams) with their counts, and ordinary windows."""
-        runs: collections.Counter = collections.Counter()
+        """Per model the toxic segments (runs of contrast 5-grams) with their counts, and ordinary windows (model -1)."""
+        runs: list[collections.Counter] = [collections.Counter() for _ in models]
         plain: list[bytes] = []
         for b in batches:
-            for t, k in zip(b["text"], b["label"], strict=True):
-                if k == 0:
+            for t, k in zip(b["text"], b["fold"], strict=True):
+                if k < 0:
                     plain += [w for i, w in enumerate(windows_of(t)) if i % one_in == 0]
                     continue
                 for w in set(words_of(t)):
-                    spaced, codes, i = b" " + w + b" ", grams_of(w), 0
-                    while i < len(codes):
-                        j = i
-                        while j < len(codes) and codes[j] in grams:
-                            j += 1
-                        if j > i:
-                            runs[spaced[i:j + GRAM - 1]] += 1
-                        i = j + 1
-        if runs:
-            yield pd.DataFrame({"label": 1, "piece": list(runs), "n": list(runs.values())})
+                    spaced, codes = b" " + w + b" ", grams_of(w)
+                    for m in models:
+                        i = 0
+                        while m != k and i < len(codes):
+                            j = i
+                            while j < len(codes) and codes[j] in grams[m]:
+                                j += 1
+                            if j > i:
+                                runs[m][spaced[i:j + GRAM - 1]] += 1
+                            i = j + 1
+        for m in models:
+            if runs[m]:
+                yield pd.DataFrame({"model": m, "piece": list(runs[m]), "n": list(runs[m].values())})
         if plain:
-            yield pd.DataFrame({"label": 0, "piece": plain, "n": 1})
-
-    got = train.mapInPandas(pieces, "label int, piece binary, n long").groupBy("label", "piece").agg(
-        F.sum("n").alias("n")).where(F.col("label") == 0 if not grams else F.lit(True)).toPandas()
-    toxic = got[(got.label == 1) & (got.n >= 2)].sort_values(["n", "piece"], ascending=[False, True])
-    size = np.cumsum([len(p) for p in toxic.piece]) if len(toxic) else np.zeros(0)
-    special = b"".join(reversed([bytes(p) for p, s in zip(toxic.piece, size, strict=True) if s <= TOXIC_BYTES]))
-    plain = [bytes(p) for p in got[got.label == 0].sort_values("piece").piece]
+            yield pd.DataFrame({"model": -1, "piece": plain, "n": 1})
+
+    got = train.mapInPandas(pieces, "model int, piece binary, n long").groupBy("model", "piece").agg(
+        F.sum("n").alias("n")).toPandas()
+    plain = [bytes(p) for p in got[got.model == -1].sort_values("piece").piece]
     plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))]
     core = train_core(plain)
-    model = ToxicityModel(b" " * len(special) + core, special + core, np.zeros(0))
+
+    def dictionaries(m: int) -> ToxicityModel:
+        toxic = got[(got.model == m) & (got.n >= 2)].sort_values(["n", "piece"], ascending=[False, True])
+        size = np.cumsum([len(p) for p in toxic.piece]) if len(toxic) else np.zeros(0)
+        special = b"".join(reversed([bytes(p) for p, s in zip(toxic.piece, size, strict=True) if s <= TOXIC_BYTES]))
+        return ToxicityModel(b" " * len(special) + core, special + core, np.zeros(0))
+
+    *crossed, model = [dictionaries(m) for m in models]
 
     def document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "draw": b["draw"],
-                                "x": [model.features(t).tolist() for t in b["text"]]})
+            yield pd.DataFrame({"label": b["label"], "draw": b["draw"], "x": [
+                crossed[k].features(t).tolist() for t, k in zip(b["text"], b["fold"], strict=True)]})
 
     f = check.mapInPandas(document_features, "label int, draw double, x array<double>").toPandas()
     if set(f.label) != {0, 1}:
         return ToxicityModel(b"", b"", np.zeros(0), False)
     f = f.sort_values(["draw", "label"])
-    # the sample holds the classes at other rates than the corpus: weigh them back
+    # the calibration holds the classes at other rates than the corpus: weigh them back
     y = f.label.to_numpy().astype(float)
-    weight = np.where(y == 1, 1 / share[1], 1 / share[0])
+    weight = np.where(y == 1, 1 / share[1], 2 / share[0])
     return dataclasses.replace(model, coef=logistic(np.stack(f.x.to_numpy()), y, weight / weight.mean()))
 
 

@@ -87,6 +87,15 @@ def test_toxicity_windows_cover_the_text():
     assert seen == set(text.encode().split()) and list(toxicity.windows_of(None)) == []
 
 
+def test_every_toxic_label_feeds_the_lexicon(spark):
+    words = [f"{a}{b}{a}{b}q" for a in "zxvkj" for b in "wyfh"]  # each in two toxic texts only
+    texts = [f"plain text about thing{i % 7} and other{i % 11} matters here" for i in range(440)]
+    rows = [(i, t + (f" {words[i // 2]} and more" if i < 40 else ""), int(i < 40)) for i, t in enumerate(texts)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    assert [w for w in words if w.encode() not in model.toxic] == []
+
+
 def test_toxicity_edge(spark, edge, empty):
     marks = edge.where("doc_id IS NOT NULL").select("doc_id", (F.col("doc_id") % 2).alias("toxic")).distinct()
     model = toxicity.fit(edge, marks)
