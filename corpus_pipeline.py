@@ -16,7 +16,6 @@ from termlens.llm.common import cut_lineage, table
 
 TOKENIZER = "word_bpe_49k.json"
 MIN_LANGUAGE_SCORE = 0.4
-MIN_QUALITY_SCORE = 0.5
 
 # The classifiers and the tokenizer can't be written as SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -31,7 +30,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents of good quality, as the labels mark it."""
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).select("doc_id", "quality")
     labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    return quality_knn.keep_quality(docs, quality_knn.fit(docs, labelled), MIN_QUALITY_SCORE)
+    return quality_knn.keep_quality(docs, quality_knn.fit(docs, labelled), quality_knn.GOOD_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ DIM = (1 << SHAPE_BITS) + (1 << LETTER_BITS) + MARKERS
 RANK = 64
 MAX_LABELLED = 4000        # bound of the labelled sample (different texts)
 K, SHARPNESS = 7, 4
+GOOD_SCORE = 0.7           # a text of good quality scores at least this
 BLOCK_DOCS = 64
 
 

@@ -66,7 +66,7 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), split_remainder("doc_id", 4) == 2
     model = quality_knn.fit(docs, _labelled(spark, sf_dir, "quality", 4, 2))
     out = quality_knn.add_quality(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return out.withColumn("predicted", (F.col("score") >= quality_knn.GOOD_SCORE).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,11 @@ def test_pipeline(spark):
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
+
+
+def test_pipeline_keeps_what_op8_calls_good(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.quality_knn, "fit", lambda docs, labelled: None)
+    monkeypatch.setattr(corpus_pipeline.quality_knn, "quality", lambda model, text: F.col("n_chars") / 100)
+    docs = spark.createDataFrame([(i, "text", 10 * i + 5) for i in range(10)], "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.classify_quality(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in kept) == [7, 8, 9]
