@@ -30,7 +30,7 @@ UNKNOWN = "und"
 BITS = 13                 # n-gram buckets: 2 ** BITS
 ORDERS = (1, 2, 3)
 ROWS_PER_CLASS = 1500     # bound of the training sample, expected rows a language
-MAX_LANGUAGES = 200       # the most frequent ones are learned
+FULL_LANGUAGES = 200      # with more languages, each has a smaller sample of the same total
 CALIBRATION_SHARE = 0.2
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.5, 2
 BLOCK_DOCS = 64
@@ -73,11 +73,12 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang",
     """Learn from ``text`` and non-null ``lang`` of ``rows``."""
     rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.where("text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+             .collect()}
     if not sizes:
         return LanguageModel((), np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
     languages = tuple(sorted(sizes))
-    rate = {g: min(1.0, rows_per_class / n) for g, n in sizes.items()}
+    per_class = rows_per_class * min(1.0, FULL_LANGUAGES / len(sizes))
+    rate = {g: min(1.0, per_class / n) for g, n in sizes.items()}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Partial document frequencies of the task, and the sampled rows' n-grams."""

@@ -27,6 +27,12 @@ def test_language_edge(spark, edge, empty):
     assert langid.add_language(empty, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(f"{chr(0x4E00 + g)}{chr(0x5E00 + i)}", f"l{g:03}") for g in range(210) for i in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == model.weights.shape[1] == 210
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     held = split_remainder("doc_id", 4) == 2
