@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import bagminhash, bpe, chat, fingerprints, langid, linededup, packing, quality_knn, quality_rules, toxicity
+from termlens.llm import (bagminhash, bpe, chat, chat_repair, fingerprints, langid, linededup, packing, quality_knn, quality_rules,
+                          toxicity, whitening)
 from termlens.llm.common import split_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,10 +82,96 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return chat_repair.repair_report(chat_repair.damage(said), said)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    out = whitening.add_whitened(rows, model).select("vec_id", "white.deviation", F.posexplode("white.whitened").alias("i", "whitened"))
+    share = F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]) if len(model.eigenvalues) else F.array(F.lit(0.0))
+    return out.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                      share[F.col("i")].alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_chat, op4_bagminhash, op5_langid, op6_linededup,
-                                   op7_quality_rules, op8_quality_knn, op9_toxicity, op10_bpe)}
+                                   op7_quality_rules, op8_quality_knn, op9_toxicity, op10_bpe, op11_chat_repair,
+                                   op12_whitening)}
+
+def _repair_sql() -> str:
+    """DuckDB: a fold over each damaged conversation keeps, per state of the role pattern, the least
+    (cost c, audit a) and its repaired lines r."""
+    def more(state: str, cost: str, edit: str, line: str | None) -> str:
+        r = f"{state}.r" if line is None else f"{state}.r || chr(10) || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {r}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def insertions(s: str) -> str:
+        user, assistant = "'user:'", "'assistant:'"
+        return (f"[{s}[1], {s}[2], {least(f'{s}[3]', *[more(f'{s}[{i}]', '5', 'I', user) for i in (1, 2, 4)])},"
+                f" {least(f'{s}[4]', more(f'{s}[3]', '5', 'I', assistant))}]")
+
+    def own(s: str) -> str:
+        def keep(i: int, initial: str) -> str:
+            return more(f"{s}[{i}]", f"CASE WHEN y.gone OR y.role[1] <> '{initial}' THEN 100000000 ELSE y.extra END", "K",
+                        "y.role || ':' || y.text")
+
+        def rerole(i: int, role: str) -> str:
+            return more(f"{s}[{i}]", "CASE WHEN y.gone THEN 100000000 ELSE 1 + y.extra END", "R", f"'{role}:' || y.text")
+
+        gone = [more(f"{s}[{i}]", "2", "D", None) for i in (1, 2, 3, 4)]
+        return (f"[{gone[0]}, {least(gone[1], keep(1, 's'))},"
+                f" {least(gone[2], *[f(i, x) for i in (1, 2, 4) for f, x in ((keep, 'u'), (rerole, 'user'))])},"
+                f" {least(gone[3], keep(3, 'a'), rerole(3, 'assistant'))}]")
+
+    far = "{'c': 100000000, 'a': '', 'r': ''}"
+    start = f"[{{'c': 0, 'a': '', 'r': ''}}, {far}, {far}, {far}]"
+    row = "{'s': NULL, 'role': role, 'text': text, 'gone': fault IN ('blank', 'duplicate'), 'extra': CASE fault WHEN 'truncated' THEN 5 ELSE 0 END}"
+    first = f"{{'s': {start}, 'role': '', 'text': '', 'gone': false, 'extra': 0}}"
+
+    def each(expr: str, name: str, body: str) -> str:
+        return f"list_transform([{expr}], lambda {name}: {body})[1]"
+
+    step = each("x.s", "p", each(insertions("p"), "v", each(insertions("v"), "w", own("w"))))
+    return f"""
+        WITH hashed AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        fated AS (SELECT *, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(list_transform(
+                    range(1, length(k) + 1), lambda i: ascii(k[i])), lambda b: CAST(b AS BIGINT)), lambda crc, b:
+                    list_reduce([xor(crc, b)] || list_transform(range(8), lambda j: CAST(j AS BIGINT)), lambda v, j:
+                      CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc FROM hashed),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                 CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+          FROM (SELECT *, xor(crc, 4294967295) % 20 AS fate FROM fated) WHERE fate <> 0),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+                     regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM damaged),
+        faulty AS (SELECT *, CASE WHEN last = '' THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+                     WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) || role[1] AS pair FROM numbered),
+        folded AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                 list_reduce([{first}] || list({row} ORDER BY place), lambda x, y: struct_update(y, s := {step})).s AS s
+          FROM faulty GROUP BY conv_id),
+        ends AS (SELECT *, {each("s", "p", each(insertions("p"), "v", each(insertions("v"), "w", least("w[1]", "w[4]"))))} AS e FROM folded)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost,
+               coalesce(e.a, '') AS audit, sha256(coalesce(e.r[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN ends d ON i.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
 
 ORACLES = {
+    "op11_chat_repair": _repair_sql(),
     "op3_chat": f"""
         WITH turns AS (
           SELECT conv_id, row_number() OVER w - 1 AS place, coalesce(role, 'user') AS role, coalesce(text, '') AS text
