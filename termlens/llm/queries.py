@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlens.llm import (bagminhash, bpe, chat, chat_repair, fingerprints, langid, linededup, packing, quality_knn, quality_rules,
-                          toxicity, whitening)
+                          toxicity, warc, whitening)
 from termlens.llm.common import split_remainder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,9 +96,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                       share[F.col("i")].alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                      F.col("type").alias("record_type"), F.col("response_id").cast("long").alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_chat, op4_bagminhash, op5_langid, op6_linededup,
                                    op7_quality_rules, op8_quality_knn, op9_toxicity, op10_bpe, op11_chat_repair,
-                                   op12_whitening)}
+                                   op12_whitening, op13_warc)}
 
 def _repair_sql() -> str:
     """DuckDB: a fold over each damaged conversation keeps, per state of the role pattern, the least
@@ -171,6 +177,14 @@ def _repair_sql() -> str:
 
 
 ORACLES = {
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        d AS (SELECT *, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last FROM p)
+        SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+                 ((CAST('0x' || h[(i // 8) * 10 + 1:(i // 8) * 10 + 10] AS BIGINT) >> (35 - 5 * (i % 8))) & 31) + 1]), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to FROM d""",
     "op11_chat_repair": _repair_sql(),
     "op3_chat": f"""
         WITH turns AS (
