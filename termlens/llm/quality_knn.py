@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termlens.llm.common import blocks, free_name, letter_table, ngram_counts, shape_table, word_hashes
+from termlens.llm.common import blocks, cut_lineage, free_name, least_hashes, letter_table, ngram_counts, shape_table, word_hashes
 
 SHAPE_BITS, LETTER_BITS = 11, 11
 MARKERS = 6
@@ -32,6 +32,7 @@ MARKER_WEIGHT = 3.0
 DIM = (1 << SHAPE_BITS) + (1 << LETTER_BITS) + MARKERS
 RANK = 64
 MAX_LABELLED = 4000        # bound of the labelled sample (different texts)
+LABEL_ROWS = 16_000        # bound of the labels that it is drawn from
 K, SHARPNESS = 7, 4
 GOOD_SCORE = 0.7           # a text of good quality scores at least this
 BLOCK_DOCS = 64
@@ -90,6 +91,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
+                   rows: int = LABEL_ROWS) -> DataFrame:
+    """Written table (text, label) of the documents of at most ``rows`` labels (``doc_id``, ``label``), those of least
+    id hash: they are broadcast to one scan, and no other text is moved."""
+    drawn = least_hashes(labels.select(F.col(doc_id).alias("labelled_id"), F.col(label).alias("y")).where("y IS NOT NULL"),
+                         "labelled_id", rows)
+    return cut_lineage(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
+        F.broadcast(drawn), F.col("id") == F.col("labelled_id")).select("text", F.col("y").alias(label)))
+
+
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "quality",
         max_labelled: int = MAX_LABELLED, k: int = K) -> NeighbourModel:
     """Document frequencies from all of ``docs``, neighbours from ``labelled``

@@ -13,13 +13,6 @@ from termlens.llm.common import split_remainder, table
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, mod: int, out: int) -> DataFrame:
-    """Texts with a label whose id's remainder is not ``out``."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labels = labels.where(F.col(label).isNotNull() & (split_remainder("doc_id", mod) != out))
-    return docs.select("doc_id", "text").join(labels.select("doc_id", label), "doc_id")
-
-
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = packing.encode_stream(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return packing.pack(stream).select(
@@ -65,7 +58,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), split_remainder("doc_id", 4) == 2
-    model = quality_knn.fit(docs, _labelled(spark, sf_dir, "quality", 4, 2))
+    labels = table(spark, sf_dir, "labels").where(split_remainder("doc_id", 4) != 2)
+    model = quality_knn.fit(docs, quality_knn.labelled_texts(docs, labels))
     out = quality_knn.add_quality(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
     return out.withColumn("predicted", (F.col("score") >= quality_knn.GOOD_SCORE).cast("int"))
 
