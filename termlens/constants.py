@@ -26,8 +26,9 @@ BIBJSON_GENERATOR = "termlens (bibliography job)"
 # Neighbour search defaults: number of trees and neighbours (self included).
 DEFAULT_TREES = 10
 DEFAULT_NEIGHBOURS = 10
-# Fragment boundaries used when cutting documents into snippets.
-FRAGMENT_SPLIT = r"[.!?\n]+"
+# Fragment boundaries used when cutting documents into snippets: sentence marks
+# before white space or the end (so "3.5" and "u.s" stay whole), and line ends.
+FRAGMENT_SPLIT = r"[.!?]+(?:[\t-\r ]+|\z)|\n+"
 # -----------------------------------------------------------------------------
 
 # Search terms used by the registered queries on the driver tables.  They are

@@ -1,9 +1,12 @@
 """Keyword snippet extraction: documents x search terms -> snippet rows.
 
-A document is cut into fragments on sentence marks and new lines.  A fragment
-is a snippet of a term when the term, as a whole-word phrase, occurs in it
-(case-insensitive; letters and digits are word characters).  Terms ending in
-``*`` (stem at least three characters) match any word starting with the stem.
+A document is cut into fragments on sentence marks before white space and on
+new lines.  A fragment is a snippet of a term when the term, as a whole-word
+phrase, occurs in it (case-insensitive; letters and digits are word characters,
+so ``3.5 ma`` is three words).  Terms ending in ``*`` (stem at least three
+characters) match any word starting with the stem.  Phrases with an inner ``*``
+or over a sentence border (``mt. etna``) need word positions: they are refused
+here and found by :mod:`termlens.operators.phrase_index`.
 At most ``fragment_limit`` fragments per (term, document) are kept, in document
 order.
 
@@ -38,17 +41,36 @@ MAX_BROADCAST_TERMS = 1_000_000
 WILDCARD_KEY_LEN = 3
 
 
+def check_wildcards(terms: Iterable[str]) -> None:
+    for t in terms:
+        if re.fullmatch(rf"\W*\w{{0,{WILDCARD_KEY_LEN - 1}}}\*", (t or "").strip()):
+            raise ValueError(f"a wildcard needs {WILDCARD_KEY_LEN} characters before it: {t!r}")
+
+
+UNSCANNABLE = r"\*.*\w|[.!?][\t-\r ]+.*\w"
+
+
+def check_scannable(terms: Iterable[str] | DataFrame) -> None:
+    """Refuse terms that a scan of single fragments can't find."""
+    if isinstance(terms, DataFrame):
+        c = F.trim(F.col(terms.columns[0]))
+        terms = [r[0] for r in terms.select(c.alias("t")).where(F.col("t").rlike(UNSCANNABLE)).limit(1).collect()]
+    for t in terms:
+        if re.search(UNSCANNABLE, (t or "").strip()):
+            raise ValueError(f"a wildcard inside a term, or a term over a sentence border, needs a phrase index: {t!r}")
+
+
 def terms_frame(spark: SparkSession, terms: Iterable[str] | DataFrame, case_sensitive: bool = False) -> DataFrame:
     """(search_term, wildcard, pattern, join_key) for a list or a one-column
     DataFrame of terms.  ``search_term`` is the lower-cased term; the pattern
     keeps the term's case when matching is case-sensitive."""
     if isinstance(terms, DataFrame):
+        check_scannable(terms)
         base = terms.select(F.trim(F.col(terms.columns[0])).alias("_given"))
     else:
         terms = list(terms)
-        for t in terms:
-            if re.fullmatch(rf"\W*\w{{0,{WILDCARD_KEY_LEN - 1}}}\*", (t or "").strip()):
-                raise ValueError(f"a wildcard needs {WILDCARD_KEY_LEN} characters before it: {t!r}")
+        check_wildcards(terms)
+        check_scannable(terms)
         uniq = sorted({t.strip() if case_sensitive else t.strip().lower() for t in terms if t and t.strip()})
         if not uniq:
             base = spark.createDataFrame([], T.StructType([T.StructField("_given", T.StringType())]))
@@ -121,16 +143,16 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
         wild = any(x.strip().endswith("*") for x in terms)
 
     # The match form of the whole document is computed once: every run of
-    # characters that are neither letters/digits nor fragment marks becomes a
-    # space, so splitting it on the fragment marks yields fragments aligned
-    # one-to-one with the raw ones.
-    text = F.col(text_col) if case_sensitive else F.lower(F.col(text_col))
-    norm_text = F.regexp_replace(text, r"[^\p{L}\p{N}.!?\n]+", " ")
-    frags = docs.select(doc_col, *carry, F.split(F.col(text_col), FRAGMENT_SPLIT).alias("frags"),
-                        norm_text.alias("_norm"))
-    words = F.split(F.trim(F.regexp_replace("_norm", r"[.!?\n ]+", " ")), " ")
+    # characters that are neither letters/digits nor a fragment border (one new
+    # line) becomes a space, so splitting it yields fragments aligned one-to-one
+    # with the raw ones.
+    marked = F.regexp_replace(F.col(text_col), FRAGMENT_SPLIT, "\n")
+    text = marked if case_sensitive else F.lower(marked)
+    norm_text = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
+    frags = docs.select(doc_col, *carry, F.split(marked, "\n").alias("frags"), norm_text.alias("_norm"))
+    words = F.split(F.trim(F.regexp_replace("_norm", r"[\n ]+", " ")), " ")
     if stemmed:
-        words = F.expr(f"transform(array_distinct(split(trim(regexp_replace(_norm, '[.!?\\\\n ]+', ' ')), ' ')),"
+        words = F.expr(f"transform(array_distinct(split(trim(regexp_replace(_norm, '[\\\\n ]+', ' ')), ' ')),"
                        f" sw -> {porter_sql('sw')})")
     if wild:
         words = F.concat(words, F.transform(words, lambda w: F.substring(w, 1, WILDCARD_KEY_LEN)))
@@ -138,10 +160,10 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
     cand = cand.join(t, "join_key").drop("join_key")
 
     if stemmed:
-        norms = F.expr(f"transform(split(_norm, '[.!?\\\\n]+'), fr -> concat(' ', array_join(transform("
+        norms = F.expr(f"transform(split(_norm, '\\\\n'), fr -> concat(' ', array_join(transform("
                        f"split(trim(fr), ' '), sw -> {porter_sql('sw')}), ' '), ' '))")
     else:
-        norms = F.transform(F.split("_norm", FRAGMENT_SPLIT),
+        norms = F.transform(F.split("_norm", "\n"),
                             lambda n: F.concat(F.lit(" "), F.trim(n), F.lit(" ")))
     tagged = F.transform("frags", lambda f, i: F.struct(i.alias("frag_idx"), f.alias("highlight")))
     hit = F.filter(F.arrays_zip(tagged.alias("s"), norms.alias("n")),

@@ -13,8 +13,8 @@ here every stage is one Spark job over all pending terms:
    terms, read back from the snippet table with partition pruning.
 4. **load** — terms already in the ``processed_terms`` ledger are skipped
    unless ``skip_processed`` is off; counts and co-occurrence rows are
-   upserted, then the terms are added to the ledger.  Every step is an
-   idempotent versioned write, so a failed run can simply be repeated.
+   upserted and the terms added to the ledger in one commit, so a failed run
+   leaves the tables as they were and can simply be repeated.
 """
 
 from __future__ import annotations
@@ -111,10 +111,11 @@ def load(spark: SparkSession, terms: list[str], layout: Layout, total_docs: int,
     if not todo or not path_exists(spark, layout.snippets):
         return []
     snips = read_by_term(spark, layout.snippets).where(F.col("search_term").isin(todo))
-    store.merge("term_counts", term_counts(snips, total_docs))
     co = read_by_term(spark, layout.result("cooccurrence"), "word_1").where(F.col("word_1").isin(todo))
-    store.merge("term_cooccurrence", clean_stats(co))
-    store.add_terms(todo)
+    with store.change() as c:
+        c.merge("term_counts", term_counts(snips, total_docs))
+        c.merge("term_cooccurrence", clean_stats(co))
+        c.add_terms(todo)
     return todo
 
 

@@ -8,7 +8,9 @@ plan, so a disagreement points at a real difference.
 
 from __future__ import annotations
 
-from termlens.constants import (DEFAULT_FRAGMENT_LIMIT, DEFAULT_TERMS, TOKENS_PER_DOCUMENT)
+import re
+
+from termlens.constants import DEFAULT_FRAGMENT_LIMIT, DEFAULT_TERMS, FRAGMENT_SPLIT, TOKENS_PER_DOCUMENT
 from termlens.functions.lemma import lemma_candidates_sql
 from termlens.functions.porter import porter_sql
 from termlens.functions.stopwords import DEFAULT_STOP_WORDS
@@ -53,6 +55,34 @@ def preprocess_sql(x: str, stops=DEFAULT_STOP_WORDS) -> str:
     return f"array_to_string(list_filter({words}, {keep}), ' ')"
 
 
+def fragments_sql(x: str) -> str:
+    """List of the fragments of the text ``x``."""
+    return f"string_split(regexp_replace({x}, {q(FRAGMENT_SPLIT)}, chr(10), 'g'), chr(10))"
+
+
+def case_sensitive_sql(terms) -> str:
+    """Snippets of terms in their own case."""
+    vals = ", ".join(f"({q(t.strip())})" for t in terms)
+    return f"""SELECT DISTINCT lower(t) AS search_term, doc_id, CAST(i - 1 AS INTEGER) AS frag_idx, publisher, lang, f[i] AS highlight
+FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
+        SELECT doc_id, source AS publisher, lang, {fragments_sql('text')} AS f FROM documents)), (VALUES {vals}) v(t)
+WHERE contains(' ' || regexp_replace(f[i], '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || t || ' ')"""
+
+
+def stemmed_sql(terms, docs: str = "documents", columns: str = "doc_id, source AS publisher, lang") -> str:
+    """Snippets by the stems of the words."""
+    def stems(x: str) -> str:
+        return (f"list_transform(string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '),"
+                f" lambda sw: {porter_sql('sw', 'duckdb')})")
+
+    vals = ", ".join(f"({q(t.lower())})" for t in terms)
+    return f"""WITH wanted AS (SELECT t AS search_term, ' ' || array_to_string({stems('t')}, ' ') || ' ' AS pattern FROM (VALUES {vals}) v(t)),
+frag AS (SELECT * EXCLUDE (f, i), CAST(i - 1 AS INTEGER) AS frag_idx, f[i] AS highlight FROM (
+           SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT {columns}, {fragments_sql('text')} AS f FROM {docs}))),
+stemmed AS (SELECT *, ' ' || array_to_string({stems('highlight')}, ' ') || ' ' AS norm FROM frag)
+SELECT search_term, s.* EXCLUDE (norm) FROM stemmed s JOIN wanted w ON contains(s.norm, w.pattern)"""
+
+
 def snippets_ctes(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT, processed: bool = True) -> str:
     """CTEs ``terms``, ``frags``, ``snippets`` (search_term, doc_id, frag_idx,
     publisher, lang, highlight[, processed_text])."""
@@ -60,7 +90,7 @@ def snippets_ctes(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT, processed:
     return f"""{terms_cte(terms)},
 frags AS (
   SELECT doc_id, publisher, lang, unnest(parts) AS highlight, unnest(range(0, len(parts))) AS frag_idx
-  FROM (SELECT doc_id, source AS publisher, lang, string_split_regex(text, '[.!?\\n]+') AS parts FROM documents)),
+  FROM (SELECT doc_id, source AS publisher, lang, {fragments_sql('text')} AS parts FROM documents)),
 fragn AS (
   SELECT *, ' ' || trim(regexp_replace(lower(highlight), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS norm FROM frags),
 matched AS (
@@ -72,6 +102,31 @@ snippets AS (
   FROM matched{f' WHERE rk <= {int(limit)}' if limit is not None else ''})"""
 
 
+def phrase_sql(terms) -> str:
+    """Snippets of phrases with sentence marks and wildcards inside: every word of the corpus with its place."""
+    rows = []
+    for term in sorted({t.strip().lower() for t in terms}):
+        pieces = re.findall(r"[^\W_]+\*?|[.!?]+(?=\s)", term)
+        words = [(w, j > 0 and pieces[j - 1][0] in ".!?") for j, w in enumerate(pieces) if w[0] not in ".!?"]
+        rows += [f"({q(term)}, {i}, {len(words)}, {q(w.rstrip('*'))}, {w.endswith('*')}, {cross})" for i, (w, cross) in enumerate(words)]
+    return f"""WITH wanted(search_term, i, k, token, wild, crosses) AS (VALUES {', '.join(rows)}),
+cut AS (SELECT doc_id, source AS publisher, lang, {fragments_sql('text')} AS f,
+               regexp_extract_all(text, {q(FRAGMENT_SPLIT)}) AS s FROM documents),
+frag AS (SELECT doc_id, publisher, lang, f, s, unnest(range(1, len(f) + 1)) AS fi FROM cut),
+said AS (SELECT doc_id, fi, ws, unnest(range(1, len(ws) + 1)) AS wi
+         FROM (SELECT doc_id, fi, regexp_extract_all(lower(f[fi]), '[\\p{{L}}\\p{{N}}]+') AS ws FROM frag)),
+placed AS (SELECT doc_id, fi, ws[wi] AS word, row_number() OVER (PARTITION BY doc_id ORDER BY fi, wi) AS pos FROM said),
+hit AS (SELECT w.search_term, p.doc_id, p.pos - w.i AS start, w.i, w.k, w.crosses, p.fi
+        FROM placed p JOIN wanted w ON CASE WHEN w.wild THEN starts_with(p.word, w.token) ELSE p.word = w.token END),
+linked AS (SELECT *, lag(fi) OVER (PARTITION BY search_term, doc_id, start ORDER BY i) AS before FROM hit),
+phrase AS (SELECT search_term, doc_id, min(fi) AS a, max(fi) AS b FROM linked GROUP BY search_term, doc_id, start
+           HAVING count(*) = any_value(k) AND bool_and(crosses OR before IS NULL OR before = fi)),
+found AS (SELECT search_term, doc_id, a, max(b) AS b FROM phrase GROUP BY 1, 2, 3)
+SELECT m.search_term, m.doc_id, CAST(a - 1 AS INTEGER) AS frag_idx, publisher, lang,
+       array_to_string(list_transform(range(a, b + 1), lambda x: f[x] || CASE WHEN x < b THEN s[x] ELSE '' END), '') AS highlight
+FROM found m JOIN cut USING (doc_id)"""
+
+
 def page_snippets_sql(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT) -> str:
     from termlens.functions.text import strip_html_sql
     from termlens.sources.tables import HOST_PATTERN
@@ -79,8 +134,7 @@ def page_snippets_sql(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT) -> str:
     body = snippets_ctes(terms, limit)
     pages = (f"(SELECT page_id AS doc_id, {strip_html_sql('html', 'duckdb')} AS text,"
              f" regexp_extract(url, '{HOST_PATTERN}', 1) AS source, NULL AS lang FROM pages)")
-    body = body.replace("string_split_regex(text, '[.!?\\n]+') AS parts FROM documents)",
-                        f"string_split_regex(text, '[.!?\\n]+') AS parts FROM {pages})")
+    body = body.replace("AS parts FROM documents)", f"AS parts FROM {pages})")
     body = body.replace(", f.lang,", ",").replace("publisher, lang, highlight", "publisher, highlight")
     return f"WITH {body} SELECT * FROM snippets"
 
@@ -127,10 +181,6 @@ SELECT search_term AS word_1, word AS word_2, cnt AS count,
 FROM dedup WHERE srk = 1"""
 
 
-def subset_terms(i: int, j: int, terms=DEFAULT_TERMS) -> tuple[str, ...]:
-    return tuple(sorted(set(t.lower() for t in terms)))[i:j]
-
-
 def cooc_body(name: str, terms, total_docs: int, n: int = 1000000, lemmatize: bool = True) -> str:
     """A CTE ``name`` holding the co-occurrence table for ``terms`` (own
     snippets/vocabulary CTEs, prefixed so several can coexist)."""
@@ -139,7 +189,6 @@ def cooc_body(name: str, terms, total_docs: int, n: int = 1000000, lemmatize: bo
     pre = name + "_"
     for cte in ("terms", "frags", "fragn", "matched", "snippets", "tokens", "vocab", "lemma_cands",
                 "lemma_best", "lemmas", "counts", "kept", "ranked", "topn", "dedup"):
-        import re
         body = re.sub(rf"\b{cte}\b", pre + cte, body)
     head, final = body.rsplit("\nSELECT search_term AS word_1", 1)
     return f"{head},\n{name} AS (SELECT search_term AS word_1{final})"

@@ -20,14 +20,16 @@ from termlens.operators import bibliography as bib
 from termlens.operators import cooccurrence as co
 from termlens.operators import corpus as cs
 from termlens.operators import information as inf
+from termlens.operators import neighbours as nb
 from termlens.operators import network as nw
 from termlens.operators import similarity as sim
 from termlens.operators import store as st
+from termlens.operators.phrase_index import PhraseIndex
 from termlens.operators.rowindex import dense_index
 from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.tokens import clean_tokens
 from termlens.plans import oracle as o
-from termlens.session import cut_lineage
+from termlens.session import cut_lineage, scratch_table_path
 from termlens.sources.tables import CITATION_COLUMNS, citations, citations_sql, corpus, page_corpus, spread, table
 
 
@@ -49,6 +51,11 @@ EDGE_MIN_COUNT = 3
 FRAGMENT_LIMIT = 2                   # of snippets_limited: small enough to bind
 WILDCARD_TERMS = ("nich*", "of th*", "thing")
 SINGLE_TERM = ("of the",)            # run alone
+# marks and wildcards inside a phrase, a phrase over a sentence border, a word that doesn't occur
+PHRASE_TERMS = ("2.0", "example.com", "mail* example.com", "the. of", "of th* a*", "th* nicht", "of the", "thing*", "no such words")
+CASE_TERMS = ("The", "the", "Of the", "Nicht")
+STEM_TERMS = ("things", "of the", "retions", "nichts")
+ACQUIRED_BEFORE = "2021-06-01"
 NETWORK_TERMS = ("nicht", "thing")   # of network_neighbourhood
 
 
@@ -130,6 +137,31 @@ def q_snippet_rows(spark, sf_dir):
     return dense_index(s, ["search_term"], ["doc_id", "frag_idx"], "snippet_row")
 
 
+@register("phrase_snippets", o.phrase_sql(PHRASE_TERMS))
+def q_phrase_snippets(spark, sf_dir):
+    """Phrases found through a positional index of the whole corpus."""
+    index = PhraseIndex.build(corpus(spark, sf_dir), scratch_table_path(spark, "phrases"), buckets=16)
+    return index.snippets(PHRASE_TERMS)
+
+
+@register("snippets_case_sensitive", o.case_sensitive_sql(CASE_TERMS))
+def q_snippets_case_sensitive(spark, sf_dir):
+    return extract_snippets(corpus(spark, sf_dir), CASE_TERMS, case_sensitive=True)
+
+
+@register("snippets_stemmed", o.stemmed_sql(STEM_TERMS))
+def q_snippets_stemmed(spark, sf_dir):
+    return extract_snippets(corpus(spark, sf_dir), STEM_TERMS, stemmed=True)
+
+
+@register("snippets_acquired_before", f"""WITH {o.snippets_ctes(TERMS, processed=False)}
+SELECT * FROM snippets WHERE DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) < DATE '{ACQUIRED_BEFORE}'""")
+def q_snippets_acquired_before(spark, sf_dir):
+    """Only documents acquired (a date made from the id) before a day."""
+    docs = corpus(spark, sf_dir).withColumn("acquired", F.expr("date_add(DATE '2020-01-01', cast(doc_id % 1000 as int))"))
+    return extract_snippets(docs, TERMS, acquired_before=ACQUIRED_BEFORE)
+
+
 @register("page_snippets", o.page_snippets_sql(TERMS))
 def q_page_snippets(spark, sf_dir):
     return with_processed_text(extract_snippets(page_corpus(spark, sf_dir), TERMS))
@@ -544,9 +576,34 @@ def q_similarity_pending(spark, sf_dir):
     return st.pending(e.select(F.col("vec_id").alias("doc_id")), earlier, "doc_id")
 
 
-@register("similarity_upsert", None)
+def _knn_sql(name: str, k: int, where: str = "") -> str:
+    return f"""{name}_v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings {where}),
+{name}_u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM {name}_v),
+{name}_p AS (SELECT a.vec_id AS doc_id, b.vec_id AS similar_doc_id,
+                    1 - sqrt(greatest(0, 2 - 2 * list_dot_product(a.e, b.e) / (a.n * b.n))) AS s
+             FROM {name}_u a JOIN {name}_u b ON a.vec_id <> b.vec_id),
+{name} AS (SELECT doc_id, similar_doc_id, round(s, 6) AS similarity FROM {name}_p
+           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, similar_doc_id) < {k})"""
+
+
+def _exact(items: DataFrame, k: int = 10) -> DataFrame:
+    return nb.exact_neighbours(items, k).withColumn("similarity", F.round("similarity", 6))
+
+
+@register("similarity_knn", f"WITH {_knn_sql('nn', 10)} SELECT * FROM nn")
+def q_similarity_knn(spark, sf_dir):
+    return _exact(_vectors(spark, sf_dir))
+
+
+@register("similarity_lsh", None)
+def q_similarity_lsh(spark, sf_dir):
+    return nb.hashed_neighbours(_vectors(spark, sf_dir))
+
+
+@register("similarity_upsert", f"""WITH {_knn_sql('earlier', 5, 'WHERE label = 1')}, {_knn_sql('later', 10)}
+SELECT * FROM earlier WHERE (doc_id, similar_doc_id) NOT IN (SELECT (doc_id, similar_doc_id) FROM later) UNION ALL SELECT * FROM later""")
 def q_similarity_upsert(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    earlier = sim.nearest_neighbours(v, k=5, trees=4, seed=3)
-    later = sim.nearest_neighbours(v, k=10, trees=10, seed=17)
-    return st.upsert(earlier, later, st.KEYS["similarity_results"])
+    """A later run over all vectors replaces and adds to an earlier one over some."""
+    some = table(spark, sf_dir, "embeddings").where(F.col("label") == 1)
+    earlier = _exact(some.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 5)
+    return st.upsert(earlier, _exact(_vectors(spark, sf_dir)), st.KEYS["similarity_results"])

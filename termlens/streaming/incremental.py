@@ -8,8 +8,8 @@ New document files land in a directory; each micro-batch:
 2. recomputes the statistics of the terms the batch touched from *all* their
    snippets so far (partition pruning on the term), because top-n, stem
    de-duplication and the corpus summary are not additive;
-3. replaces those terms' rows in the versioned tables and adds the terms to
-   the ledger.
+3. replaces those terms' rows in the tables and adds the terms to the ledger,
+   in one commit.
 
 The stream's own checkpoint (offsets, committed batches) lives in the shared
 checkpoint directory, so a restarted query resumes where it stopped.
@@ -52,9 +52,10 @@ def batch_update(batch: DataFrame, batch_id: int, terms: list[str], root: str, t
     every = spark.read.parquet(os.path.join(root, "snippets")).where(F.col("search_term").isin(touched))
     store = TableStore(spark, os.path.join(root, "tables"))
     co = clean_stats(cooccurrence_stats(every, total_docs, n))
-    store.replace_groups("term_cooccurrence", co, "word_1", touched)
-    store.replace_groups("term_counts", term_counts(every, total_docs), "word", touched)
-    store.add_terms(touched)
+    with store.change() as c:
+        c.replace_groups("term_cooccurrence", co, "word_1", touched)
+        c.replace_groups("term_counts", term_counts(every, total_docs), "word", touched)
+        c.add_terms(touched)
 
 
 def start(spark: SparkSession, source_dir: str, terms: Iterable[str], root: str, total_docs: int,
