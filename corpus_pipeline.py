@@ -28,8 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, as the labels mark it."""
-    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).select("doc_id", "quality")
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
+    labelled = quality_knn.labelled_texts(docs, table(spark, sf_dir, "labels"))
     return quality_knn.keep_quality(docs, quality_knn.fit(docs, labelled), quality_knn.GOOD_SCORE)
 
 
@@ -46,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed windows of ids."""
-    pieces = packing.pack(packing.encode_stream(docs, public_tokenizers.path(TOKENIZER)))
+    pieces = packing.pack(packing.encode_stream(docs, public_tokenizers.path(TOKENIZER), release=True))
     return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
