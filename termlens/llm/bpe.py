@@ -67,6 +67,10 @@ class PieceEncoder:
         # without a decoder the library joins the tokens by spaces
         self.tokens = ([self.tokenizer.id_to_token(i) or "" for i in range(len(self.ends_word))]
                        if self.tokenizer.decoder is None else None)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 

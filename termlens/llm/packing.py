@@ -32,9 +32,11 @@ MAX_PARTITIONS = 1_000_000   # of one input; their totals are collected, 16 byte
 
 
 def encode_stream(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID,
-                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                  keep: tuple[str, ...] = ("doc_id",), release: bool = False) -> DataFrame:
     """Written table: ``keep``, ``ids`` with the end id, ``n_ids``, the
-    partition and the place ``at`` in its stream."""
+    partition and the place ``at`` in its stream.  ``release`` empties the
+    worker's cache of pieces after each partition, for jobs whose other stages
+    need the memory of the same workers."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = rows.drop("__text").schema
     for name, kind in (("ids", "binary"), ("n_ids", "long"), ("part", "integer"), ("at", "long")):
@@ -50,6 +52,8 @@ def encode_stream(docs: DataFrame, path: str, text: str = "text", end_id: int =
             out["n_ids"], out["part"], out["at"] = n, part, at + n.cumsum() - n
             at += int(n.sum())
             yield out
+        if release:
+            enc.forget()
 
     return cut_lineage(rows.mapInPandas(run, schema))
 
