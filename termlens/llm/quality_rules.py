@@ -1,13 +1,16 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 One pass counts words, symbols, repeated lines and repeated three-word windows
-of every whole text.  KLL quantile sketches of the derived ratios are built per
-(language, source) and merged upwards, per language and over all; a group with
+of every whole text.  KLL quantile sketches of the derived ratios are built, over
+the texts that pass the base rule, per (language, source) and merged upwards, per language and over all; a group with
 fewer than ``MIN_GROUP`` texts uses its language's sketch, a small language
 the one over all.  A text is kept unless it fails the base rule or a ratio
-lies beyond the fence of its group: the upper quartile plus ``FENCE`` times
-the interquartile range, which is taken to be at least the ratio's ``LEAST``
-spread (a group without any symbols would else reject the first one).
+lies beyond the fence of its group.  The upper fence is the upper quartile plus
+a multiple of the group's spread: the larger of the quartile's distance from the
+median and ``TAIL`` of that of the 99th percentile.  Words have a lower fence as
+well, by the lower quartile and the first percentile.  No cutoff is fixed: only
+where a group has no spread at all (every text without a symbol, say) that of its
+language, then that of all texts is taken (``borrowed`` counts these ratios).
 
 Column expressions only.  Defined results: null text has no word; null
 language or source is a group of its own; empty input gives no row; repeated
@@ -24,10 +27,11 @@ from termlens.llm.common import cut_lineage, free_name
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50     # base rule
 MIN_GROUP = 200
-FENCE = 3.0
 SKETCH_K = 400                             # rank error about 0.7 %
-# Ratio, and the least spread it is taken to have.
-LEAST = {"symbol_ratio": 0.02, "repeat_ratio": 0.1, "dup_line_ratio": 0.2, "long_word_ratio": 1.0}
+TAIL = 0.1
+# Ratio, and how many spreads beyond the quartile its fence stands.
+FENCES = {"symbol_ratio": 2.0, "repeat_ratio": 30.0, "dup_line_ratio": 30.0, "long_word_ratio": 6.0}
+TWO_SIDED = ("long_word_ratio",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # White space between words, symbols.
 SPACE, SYMBOLS = r"[\\x20\\x09-\\x0D]+", "[#*$%&|<>]+"
@@ -72,41 +76,52 @@ def _ratios() -> dict:
 
 
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per (``g_lang``, ``g_source``): the group used (``basis``) and the fence of each ratio."""
-    rows = counted.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"),
+    """Per (``g_lang``, ``g_source``): the group used (``basis``), the fences of each ratio, and how many are ``borrowed``."""
+    rows = counted.where("NOT base_failed").select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"),
                           *[v.cast("double").alias(k) for k, v in _ratios().items()])
     leaf = cut_lineage(rows.groupBy("g_lang", "g_source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in LEAST]))
-    merged = [F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in LEAST]
-    by_lang = leaf.groupBy("g_lang").agg(F.sum("n").alias("n"), *merged)
-    whole = leaf.agg(F.sum("n").alias("n"), *merged).where("n IS NOT NULL")
-    single = whole.select(F.lit(1).alias("one"), *[F.col(k).alias(f"all_{k}") for k in LEAST])
-    one = by_lang.withColumn("one", F.lit(1)).join(F.broadcast(single), "one")  # a single row
-    lang_basis = one.select(F.col("g_lang").alias("b_lang"), F.when(F.col("n") >= MIN_GROUP, "language").otherwise("all").alias("b_basis"),
-                            *[F.when(F.col("n") >= MIN_GROUP, F.col(k)).otherwise(F.col(f"all_{k}")).alias(f"up_{k}") for k in LEAST])
-    own = F.col("n") >= MIN_GROUP
-    picked = leaf.join(lang_basis, F.col("g_lang").eqNullSafe(F.col("b_lang"))).select(
-        "g_lang", "g_source", F.when(own, "source").otherwise(F.col("b_basis")).alias("basis"),
-        *[F.when(own, F.col(k)).otherwise(F.col(f"up_{k}")).alias(k) for k in LEAST])
-
-    def q(k, at):
-        return F.kll_sketch_get_quantile_double(k, F.lit(at))
-
-    spread = {k: F.greatest(q(k, 0.75) - q(k, 0.25), F.lit(v)) for k, v in LEAST.items()}
-    return picked.select("g_lang", "g_source", "basis",
-                         *[(q(k, 0.75) + FENCE * spread[k]).alias(f"max_{k}") for k in LEAST])
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in FENCES]))
+    merged = [F.kll_merge_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in FENCES]
+    whole = leaf.agg(F.sum("n").alias("n"), *merged).first()              # one row of sketches
+    over_all = {k: F.lit(whole[k]) if whole["n"] else F.lit(None).cast("binary") for k in FENCES}
+    by_lang = leaf.groupBy("g_lang").agg(F.sum("n").alias("n"), *merged).select(
+        F.col("g_lang").alias("b_lang"), F.col("n").alias("b_n"), *[F.col(k).alias(f"up_{k}") for k in FENCES])
+    own, large = F.col("n") >= MIN_GROUP, F.col("b_n") >= MIN_GROUP
+    both = leaf.join(by_lang, F.col("g_lang").eqNullSafe(F.col("b_lang")))
+
+    def q(sketch, at):
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(at))
+
+    def spread(sketch, quartile, tail):
+        return F.greatest(F.abs(q(sketch, quartile) - q(sketch, 0.5)), TAIL * F.abs(q(sketch, tail) - q(sketch, 0.5)))
+
+    def fence(k, quartile, tail, sign):
+        """(place, spread of the group's own basis)"""
+        used = F.when(own, F.col(k)).when(large, F.col(f"up_{k}")).otherwise(over_all[k])
+        wide = spread(used, quartile, tail)
+        up = F.when(large, spread(F.col(f"up_{k}"), quartile, tail))
+        some = F.when(wide > 0, wide).when(up > 0, up).otherwise(spread(over_all[k], quartile, tail))
+        return q(used, quartile) + sign * FENCES[k] * some, (wide <= 0).cast("int")
+
+    high = {k: fence(k, 0.75, 0.99, 1) for k in FENCES}
+    low = {k: fence(k, 0.25, 0.01, -1) for k in TWO_SIDED}
+    return both.select("g_lang", "g_source", F.when(own, "source").when(large, "language").otherwise("all").alias("basis"),
+                       *[v.alias(f"max_{k}") for k, (v, _) in high.items()], *[v.alias(f"min_{k}") for k, (v, _) in low.items()],
+                       sum((b for _, b in [*high.values(), *low.values()]), F.lit(0)).alias("borrowed"))
 
 
 def judge(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``counted`` (see :func:`add_counts`) with ``kept`` and the ``basis`` of its thresholds."""
     limits = thresholds(counted, lang, source)
-    taken = {c: free_name(counted, c) for c in ("g_lang", "g_source", *[f"max_{k}" for k in LEAST])}
-    limits = limits.withColumnsRenamed(taken)
+    taken = {c: free_name(counted, c) for c in ("g_lang", "g_source", *[f"max_{k}" for k in FENCES], *[f"min_{k}" for k in TWO_SIDED])}
+    limits = limits.drop("borrowed").withColumnsRenamed(taken)
     joined = counted.drop("basis", "kept").join(
         limits, F.col(lang).eqNullSafe(F.col(taken["g_lang"])) & F.col(source).eqNullSafe(F.col(taken["g_source"])), "left")
     fine = ~F.col("base_failed")
     for k, v in _ratios().items():
         fine = fine & (v <= F.col(taken[f"max_{k}"]))
+        if k in TWO_SIDED:
+            fine = fine & (v >= F.col(taken[f"min_{k}"]))
     return joined.withColumn("kept", F.coalesce(fine, F.lit(False))).drop(*taken.values())
 
 

@@ -136,6 +136,44 @@ def test_quality_verdicts(spark, edge, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_fences_are_the_data_s(spark, monkeypatch):
+    """Fences of groups of their own against exact quantiles; equal texts fall in one group and stand in another."""
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    words = [f"w{'abcdefg'[i % 7]}{i}" for i in range(400)]
+
+    def text(symbols, length):
+        return " ".join(rnd.choice(words, length)) + " " + " ".join("#" * symbols)
+
+    rows = [(i, text(int(rnd.integers(0, 3)), 90), "x", "plain") for i in range(400)]
+    rows += [(1000 + i, text(int(rnd.integers(20, 80)), 90), "x", "code") for i in range(400)]
+    rows += [(2000 + g, text(60, 90), "x", s) for g, s in enumerate(["plain", "code"] * 4)]
+    rows += [(3000 + i, text(0, 20), None, None) for i in range(9)]                 # too short: no part of any sketch
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(quality_rules, "SKETCH_K", 4000)                            # exact at this size
+    counted = quality_rules.cut_lineage(quality_rules.add_counts(docs).drop("text"))
+    got = {r.g_source: r for r in quality_rules.thresholds(counted).collect()}
+    table = counted.where("NOT base_failed").select("source", *[v.alias(k) for k, v in quality_rules._ratios().items()]).toPandas()
+    for g, own in table.groupby("source"):
+        for k, m in quality_rules.FENCES.items():
+            def at(level, x=own[k]):
+                return np.quantile(x, level, method="inverted_cdf")
+            wide = max(at(.75) - at(.5), .1 * (at(.99) - at(.5)))
+            if wide > 0:
+                assert abs(got[g][f"max_{k}"] - (at(.75) + m * wide)) < 0.02 * m * max(wide, 1e-3) + 1e-9, (g, k)
+        assert got[g].basis == "source"
+    verdict = {r.doc_id: r.kept for r in quality_rules.judge(counted).collect()}
+    assert not any(verdict[2000 + g] for g in (0, 2, 4, 6)) and all(verdict[2000 + g] for g in (1, 3, 5, 7))
+    assert sum(verdict[i] for i in range(400)) > 390 and sum(verdict[1000 + i] for i in range(400)) > 390
+    assert not any(verdict[3000 + i] for i in range(9))
+
+
+def test_few_fences_are_borrowed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = quality_rules.thresholds(quality_rules.cut_lineage(quality_rules.add_counts(docs).drop("text"))).toPandas()
+    assert limits.borrowed.sum() <= 0.05 * 5 * len(limits) and limits.max_repeat_ratio.nunique() > 10
+
+
 def test_edited_digest(spark, docs):
     r = QUERIES["op2_fingerprints"](spark, "/root/testdata/sf0.001").orderBy(F.desc("doc_id")).first()
     a, b = (x.text for x in docs.orderBy(F.desc("doc_id")).limit(2).collect())
