@@ -12,10 +12,14 @@ similarity, and a process stops as soon as it is later than every slot.
 Signatures are banded (``BANDS`` x ``ROWS``).  Texts that meet in a band are
 verified exactly on their multisets: every bucket's members against a centre
 (a star, never all pairs), with a new centre each round for what is still
-apart: a random one, then the one with most links so far.  After that, pairs of different classes that still share a bucket
-are verified, unless an exact bound on their common elements rules them out,
-so no link is lost to a bucket's size.  Verified links give the classes
-(connected components).  Exact copies are one node throughout.
+apart: a random one, then the one with most links so far.  What is still apart
+after that, unless an exact bound on common elements rules a text out, is
+compared bucket by bucket: the elements of a bucket's texts are dealt into
+chunks of bounded size, a task counts the common elements of two chunks' texts
+by matrix products and returns one link for each text and other class.  So every
+pair of different classes that shares a bucket is verified, whatever the size of
+the bucket, and no pairs are written.  Verified links give the classes (connected
+components).  Exact copies are one node throughout.
 
 Defined results: null, empty and wordless texts have no shingle and each is a
 class of its own; copies (equal texts) are one class; a class is named by its
@@ -40,6 +44,8 @@ THRESHOLD = 0.8
 STAR_ROUNDS = 4
 PRUNE_ROUNDS = 3
 BLOCK_DOCS = 256
+CHUNK_ELEMENTS = 1 << 20      # elements of a chunk of a bucket's texts
+COLUMNS = 2048                # elements of a matrix product
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,7 +212,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             break
         lab = relabel(lab, links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
-    links = cut_lineage(verified(_apart(member, lab, elements, threshold), elements, threshold))
+    links = cut_lineage(_apart(member, lab, elements, threshold))
     if links.limit(1).count():
         lab = relabel(lab, links)
     named = nodes.select("node", "k1", "k2", "rep").join(lab, "node", "left").withColumn(
@@ -218,12 +224,45 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "id", "k1", "k2", "n", "class_id", "n_texts").unionByName(alone)
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of every two of the sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = times[column] > 1                               # elements of one set only have no column
+    owner, column = owner[met], np.unique(column[met], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32 if max(map(len, sets)) < 1 << 24 else float)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        m = np.zeros((len(sets), COLUMNS), out.dtype)
+        m[owner[part], column[part] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _bucket_links(threshold: float):
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        """Links between different classes of two chunks of a bucket (or within one), one for each text and other class."""
+        node, label, chunk = (b[c].to_numpy() for c in ("node", "label", "chunk"))
+        both = _common([np.asarray(x) for x in b["el"]])
+        n = b["n"].to_numpy().astype(float)
+        near = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
+        near &= label[:, None] != label[None, :]
+        if b["lo"].iloc[0] != b["hi"].iloc[0]:
+            near &= chunk[:, None] != chunk[None, :]
+        x, y = np.nonzero(near & (node[:, None] < node[None, :]))
+        return pd.DataFrame({"a": node[x], "b": node[y], "l": label[y]}).drop_duplicates(["a", "l"])[["a", "b"]]
+
+    return run
+
+
 def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes that share a bucket, each once, without those
-    that cannot be alike: what two texts of different classes have in common
-    lies among the elements that each shares with another class, and a link
-    needs ``threshold / (1 + threshold)`` of both texts' elements in common.
-    So the many texts near a large class that differ too much drop out alone."""
+    """Links between texts of different classes that share a bucket; one at least for each text and class.
+
+    Texts that cannot be alike drop out first: what two texts of different
+    classes have in common lies among the elements that each shares with another
+    class, so the many texts near a large class that differ too much go alone."""
     now = member.join(lab, "node")
     for _ in range(PRUNE_ROUNDS):     # what dropped out is no longer shared with
         mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
@@ -232,17 +271,14 @@ def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: fl
         spread = el.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
         common = el.join(spread, "e", "left_semi").groupBy("node").agg(F.count("*").alias("sh"))
         now = cut_lineage(now.join(common, "node").where(F.col("sh") >= threshold * F.col("n") - 1e-9))
-    # a pair is made in the least of its common buckets only
-    buckets = now.groupBy("node").agg(F.collect_set("h").alias("hs"))    # at most BANDS
-    now = now.join(buckets, "node")
-    other = now.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"),
-                       F.col("sh").alias("sb"), F.col("hs").alias("hb"))
-    enough = F.least("sh", "sb") >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
-    # at the threshold, two texts meet in fewer than two of the bands with probability 1e-6
-    met = F.array_intersect("hs", "hb")
-    first = (F.size(met) > 1) & (F.array_min(met) == F.col("h"))
-    return now.join(other, "h").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & _fits(threshold)
-                                      & enough & first).select(F.col("node").alias("a"), "b")
+    sizes = now.groupBy("h").agg(F.ceil(F.sum("n") / CHUNK_ELEMENTS).cast("int").alias("chunks"),
+                                 F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h", "chunks")
+    dealt = now.select("h", "node", "n", "label").join(sizes, "h").withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # a chunk meets itself and every other one
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("h", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "n", "label")
+    return dealt.join(elements, "node").groupBy("h", "lo", "hi").applyInPandas(_bucket_links(threshold), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

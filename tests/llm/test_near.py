@@ -67,6 +67,67 @@ def test_classes_match_brute_force(spark):
     assert got == {i: least[r] for i, r in want.items()}
 
 
+def brute_classes(texts):
+    """Least place of the component of each text; equal texts and J >= 0.8 are linked (an index of shingles finds the pairs)."""
+    first, parent = {}, {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    bags, held = {i: bag(t) for t, i in first.items()}, collections.defaultdict(list)
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(bags):
+        if not bags[i]:
+            root(i)
+            continue
+        for j in {j for x in bags[i] for j in held[x]}:
+            if jaccard(bags[i], bags[j]) >= 0.8 - 1e-12:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+        for x in bags[i]:
+            held[x].append(i)
+        root(i)
+    return [root(first[t]) for t in texts]
+
+
+def test_classes_of_sf001_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    want = brute_classes([r.text or "" for r in rows])
+    got = {r.id: r.class_id for r in bagminhash.classes(docs).collect()}
+    assert [got[r.doc_id] for r in rows] == [rows[w].doc_id for w in want]
+
+
+def test_a_large_group_around_the_threshold(spark, monkeypatch):
+    """Hundreds of texts whose similarities scatter about 0.8, with and without chunks of buckets."""
+    rnd = random.Random(12)
+    base = [f"v{rnd.randrange(9000)}" for _ in range(140)]
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            t[rnd.randrange(len(t))] = f"e{rnd.randrange(60)}"
+        texts.append(" ".join(t))
+    want = brute_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (1 << 20, 9000):
+        monkeypatch.setattr(bagminhash, "CHUNK_ELEMENTS", size)
+        monkeypatch.setattr(bagminhash, "STAR_ROUNDS", 1)
+        got = {r.id: r.class_id for r in bagminhash.classes(df).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < 400
+
+
+def test_common_elements():
+    rnd = np.random.default_rng(0)
+    sets = [np.unique(rnd.integers(0, 4000, rnd.integers(0, 3000))) for _ in range(12)]
+    off = ~np.eye(12, dtype=bool)
+    assert (bagminhash._common(sets)[off] == np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])[off]).all()
+
+
 def test_edge(spark, edge, empty):
     got = collections.defaultdict(list)
     for r in bagminhash.classes(edge).collect():
