@@ -7,12 +7,15 @@ become one (the least id names it), an anti-join against all proper prefixes
 leaves the maximal ones, and only these are rendered.
 
 The rolling hash at a turn is the sum, over the turns up to it, of two 62-bit
-hashes of (place, role, text).  Sums are built in segments of ``SEGMENT`` turns
-and the segments' totals on top, so a conversation that holds a third of all
-rows is spread over many tasks, and it is rendered in as many parts.
+hashes of (place, role, text).  Places come from one sort over all partitions
+(a turn's place in its partition, plus its conversation's turns in the partitions
+before), whatever the turn numbers are.  Sums are built in segments of ``SEGMENT``
+places and the segments' totals on top, so a conversation that holds a third of
+all rows is spread over many tasks, and it is rendered in as many parts.
 
 Defined results: turns are ordered by turn (nulls first), role and text's MD5;
-repeated rows are turns of their own; null role counts as ``user`` and null
+repeated rows are turns of their own; marks of the rendered form in a role or text
+are split, so that they can't end a turn; null role counts as ``user`` and null
 text as empty; rows without a conversation id are one conversation.
 """
 
@@ -30,15 +33,16 @@ BITS = (1 << 62) - 1
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Rows with ``place`` in their conversation, from 0; ``seg`` is a run of turn numbers."""
-    order = "turn ASC NULLS FIRST, role, t"
-    rows = rows.withColumn("seg", F.expr(f"coalesce(floor(turn / {SEGMENT}), -9223372036854775808L)"))
-    offsets = rows.groupBy("conv", "seg").agg(F.count("*").alias("n")).withColumn("before", F.expr(
-        "sum(n) OVER (PARTITION BY conv ORDER BY seg) - n")).drop("n")
-    inner = rows.withColumn("rn", F.expr(f"row_number() OVER (PARTITION BY conv, seg ORDER BY {order}) - 1"))
-    return inner.join(offsets.withColumnsRenamed({"conv": "oc", "seg": "os"}),
-                      F.col("conv").eqNullSafe(F.col("oc")) & (F.col("seg") == F.col("os"))).withColumn(
-        "place", F.col("rn") + F.col("before")).drop("rn", "before", "oc", "os")
+    """Written rows with ``place`` in their conversation, from 0, and ``seg``, the segment of that place."""
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "t"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+        "pos", F.monotonically_increasing_id())).withColumn("piece", F.shiftright("pos", 33))
+    # a conversation has few pieces: one for each partition that it reaches into
+    pieces = rows.groupBy("conv", "piece").agg(F.min("pos").alias("start"), F.count("*").alias("n")).selectExpr(
+        "conv AS oc", "piece AS op", "sum(n) OVER (PARTITION BY conv ORDER BY piece) - n - start AS shift")
+    return rows.join(pieces, F.col("conv").eqNullSafe(F.col("oc")) & (F.col("piece") == F.col("op"))).withColumn(
+        "place", F.col("pos") + F.col("shift")).withColumn("seg", F.expr(f"place div {SEGMENT}")).drop("pos", "piece", "oc", "op", "shift")
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def render(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     texts = rows.join(kept, F.col("conv").eqNullSafe(F.col("kc")), "left_semi")
     numbered = _placed(texts)
     part = numbered.withColumn("part", F.expr(f"place div {SEGMENT}")).withColumn("line", F.expr(
-        f"concat('{START}', role, '\\n', {_safe('text')}, '{END}\\n')"))
+        f"concat('{START}', {_safe('role')}, '\\n', {_safe('text')}, '{END}\\n')"))
     parts = part.groupBy("conv", "part").agg(F.expr(
         "array_join(transform(sort_array(collect_list(struct(place, line))), x -> x.line), '')").alias("rendered"))
     return parts.join(kept, F.col("conv").eqNullSafe(F.col("kc"))).selectExpr(

@@ -10,10 +10,10 @@ content is kept once, and every other one is removed.
 
 Lines shorter than ``min_chars`` code points, which may be ordinary sentences,
 need ``short_sites`` sites instead; without that number they are never
-boilerplate (the results that the SQL of ``op6`` defines).
+boilerplate.
 
 Defined results: null text stays null and has no line; a short
-line without a word is never boilerplate; a null site counts as one
+line without a letter or digit is never boilerplate; a null site counts as one
 site of its own; repeated rows are equal copies, of which each keeps the first
 occurrence; null ids come last.  Columns of the input stay as they are.
 """
@@ -29,7 +29,8 @@ MIN_SITES = 10
 MIN_CHARS = 20
 LOG_K = 12                 # sketch size; relative error about 0.83 / 2 ** (LOG_K / 2)
 NO_SITE = "\x00"
-ALL_LINES = {"min_sites": 5, "short_sites": 10}    # every line that holds a word (the pipeline's stage)
+ALL_LINES = {"min_sites": 5, "short_sites": 10}    # every line that holds a letter or digit (op6 and the pipeline)
+MAX_BROADCAST_LINES = 200_000                      # boilerplate lines broadcast to their occurrences, some 60 bytes each
 
 
 def near_margin(min_sites: int, log_k: int = LOG_K) -> float:
@@ -44,7 +45,7 @@ def _lines(docs: DataFrame, text: str, site: str, doc_id: str, min_sites: int, m
                        F.coalesce(F.col(site).cast("string"), F.lit(NO_SITE)).alias("site"),
                        F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line"))
     long = F.length("line") >= min_chars
-    counts = long if short_sites is None else long | F.col("line").rlike(r"(?U)\w")
+    counts = long if short_sites is None else long | F.col("line").rlike(r"[\p{L}\p{N}]")
     need = F.lit(min_sites) if short_sites is None else F.when(long, min_sites).otherwise(short_sites)
     return rows.where(counts).select(
         "id", "tk", "site", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), need.alias("need"))
@@ -77,6 +78,8 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int =
     hits = met.join(lines, ["h1", "h2"], "left_semi")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "tk", "i")
     first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    if lines.count() <= MAX_BROADCAST_LINES:      # so that a line's many occurrences needn't meet in one task
+        first = F.broadcast(first)
     return (hits.withColumn("place", place).join(first, ["h1", "h2"]).where("NOT (place <=> first)")
             .groupBy("id", "tk").agg(F.collect_set("i").alias("removed")))
 

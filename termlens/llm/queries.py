@@ -46,7 +46,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = linededup.dedup_lines(docs.select("doc_id", "text", "source"), removed_count="n_removed")
+    out = linededup.dedup_lines(docs.select("doc_id", "text", "source"), removed_count="n_removed", **linededup.ALL_LINES)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_removed", F.char_length(text).cast("long").alias("n_chars_left"),
                       F.sha2(text, 256).alias("text_sha256"))
@@ -192,7 +192,7 @@ ORACLES = {
         kept AS (SELECT * FROM logged WHERE said NOT IN (SELECT said FROM prefixes WHERE place + 1 < n_turns)),
         lines AS (
           SELECT t.conv_id, place // {chat.SEGMENT} AS part, place, k.n_turns, k.n_copies,
-                 '{chat.START}' || role || chr(10) || replace(replace(text, '{chat.START}', '<| im_start|>'),
+                 '{chat.START}' || replace(replace(role, '{chat.START}', '<| im_start|>'), '{chat.END}', '<| im_end|>') || chr(10) || replace(replace(text, '{chat.START}', '<| im_start|>'),
                    '{chat.END}', '<| im_end|>') || '{chat.END}' || chr(10) AS line
           FROM turns t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id)
         SELECT conv_id, part, (n_turns + {chat.SEGMENT - 1}) // {chat.SEGMENT} AS n_parts, n_turns, n_copies,
@@ -202,8 +202,9 @@ ORACLES = {
         WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM cut),
         wide AS (SELECT line, min(struct_pack(d := doc_id, i := i)) AS first FROM lines
-                 WHERE length(line) >= {linededup.MIN_CHARS}
-                 GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
+                 WHERE length(line) >= {linededup.MIN_CHARS} OR regexp_matches(line, '[\\p{{L}}\\p{{N}}]')
+                 GROUP BY line HAVING count(DISTINCT site) >= CASE WHEN length(line) >= {linededup.MIN_CHARS}
+                   THEN {linededup.ALL_LINES['min_sites']} ELSE {linededup.ALL_LINES['short_sites']} END),
         marked AS (SELECT l.*, w.first IS NOT NULL AND (w.first.d <> l.doc_id OR w.first.i <> l.i) AS gone
                    FROM lines l LEFT JOIN wide w ON l.line = w.line),
         made AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,

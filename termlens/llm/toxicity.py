@@ -9,8 +9,10 @@ toxic one holds the segments whose byte 5-grams are over-represented in toxic
 documents (contrast instead of plain frequency, for most text of a toxic
 document is ordinary), the other blanks, which keep the core at the same
 distance.  Every window is compressed at two levels, whose chance matches
-differ.  A logistic regression on each document's histograms of savings sets
-the calibrated threshold.
+differ.  The two dictionaries differ in the lexicon only, so a window that shares
+no ``GRAM`` bytes with it saves nothing and isn't compressed (one vectorised
+lookup of a text's byte 5-grams tells which do).  A logistic regression on each
+document's histograms of savings sets the calibrated threshold.
 
 Fitting uses bounded hash samples of the labelled rows (``2 * docs_per_class``
 expected rows a class).  Half of the ordinary ones train the core, the others
@@ -48,6 +50,7 @@ DOCS_PER_CLASS = 2000          # half of the bound of the sample, expected rows
 MIN_DOCS, MIN_LIFT = 6, 2.5    # of a contrast 5-gram
 MAX_GRAMS = 20_000
 FOLDS = 4                      # of the calibration
+HIT_BITS = 22                  # of the table of the lexicon's 5-grams
 STEPS = np.arange(1, 9)        # bytes saved by a window: histogram
 
 
@@ -88,12 +91,39 @@ def _compressors(ordinary: bytes, toxic: bytes):
     return made
 
 
+def gram_codes(data: bytes) -> np.ndarray:
+    """``HIT_BITS``-bit hashes of the byte 5-grams of ``data``."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    code = np.zeros(max(len(b) - GRAM + 1, 0), np.uint64)
+    for i in range(GRAM):
+        code = (code << np.uint64(8)) | b[i:i + len(code)]
+    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HIT_BITS)
+
+
+@functools.lru_cache(maxsize=5)
+def _hits(lexicon: bytes) -> np.ndarray:
+    table = np.zeros(1 << HIT_BITS, bool)
+    table[gram_codes(lexicon)] = True
+    return table
+
+
 @dataclasses.dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     coef: np.ndarray        # of features()
     fitted: bool = True
+    lexicon: bytes = b""    # what ``toxic`` holds before the common core
+
+    def suspects(self, windows: list[bytes]) -> np.ndarray:
+        """Places of the windows that share ``GRAM`` bytes with the lexicon."""
+        codes = gram_codes(b"".join(windows))
+        if not len(codes):
+            return np.zeros(0, np.int64)
+        ends = np.cumsum([len(w) for w in windows])
+        at = np.flatnonzero(_hits(self.lexicon)[codes])
+        place = np.searchsorted(ends, at, side="right")
+        return np.unique(place[at + GRAM <= ends[place]])
 
     def features(self, text: str | None) -> np.ndarray:
         """1 and the log of windows; then per level, of the windows that save
@@ -101,8 +131,10 @@ class ToxicityModel:
         windows' mean and normalised total saving."""
         windows = list(windows_of(text)) or [b""]
         out = [[1.0, np.log1p(len(windows))]]
+        some = self.suspects(windows)
         for ordinary, toxic in _compressors(self.ordinary, self.toxic):
-            saved = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows])
+            saved = np.zeros(len(windows))
+            saved[some] = [len(ordinary.compress(windows[i])) - len(toxic.compress(windows[i])) for i in some]
             hist = (saved[:, None] >= STEPS).sum(0)
             out += [np.log1p(hist), np.log1p(1000 * hist / len(windows)) / 5,
                     [saved.mean(), saved.sum() / np.sqrt(len(windows))]]
@@ -205,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         toxic = got[(got.model == m) & (got.n >= 2)].sort_values(["n", "piece"], ascending=[False, True])
         size = np.cumsum([len(p) for p in toxic.piece]) if len(toxic) else np.zeros(0)
         special = b"".join(reversed([bytes(p) for p, s in zip(toxic.piece, size, strict=True) if s <= TOXIC_BYTES]))
-        return ToxicityModel(b" " * len(special) + core, special + core, np.zeros(0))
+        return ToxicityModel(b" " * len(special) + core, special + core, np.zeros(0), lexicon=special)
 
     *crossed, model = [dictionaries(m) for m in models]
 

@@ -1,4 +1,5 @@
 """Language ID, quality and toxicity classifiers: held-out accuracy and edge cases."""
+import numpy as np
 from pyspark.sql import functions as F
 
 from termlens.llm import langid, quality_knn, toxicity
@@ -43,7 +44,6 @@ def test_quality_held_out(spark):
 
 
 def test_quality_neighbours_are_exact(spark):
-    import numpy as np
     rng = np.random.default_rng(0)
     m = quality_knn.NeighbourModel(np.ones(quality_knn.DIM, np.float32), rng.random((quality_knn.DIM, 8)).astype(np.float32) - 0.5,
                                    quality_knn.unit(rng.random((300, 8)).astype(np.float32) - 0.5), rng.integers(0, 2, 300).astype(float))
@@ -93,6 +93,24 @@ def test_toxicity_windows_cover_the_text():
     assert seen == set(text.encode().split()) and list(toxicity.windows_of(None)) == []
 
 
+def test_windows_without_lexicon_bytes_save_nothing():
+    rnd = np.random.default_rng(4)
+    words = ["".join(rnd.choice(list("abcdefghij"), rnd.integers(2, 9))) for _ in range(900)]
+    core = " ".join(rnd.choice(words, 3000)).encode()
+    lexicon = b" zxvkw  qzzyv  vkjwq  xqvzz "
+    m = toxicity.ToxicityModel(b" " * len(lexicon) + core, lexicon + core, np.zeros(0), lexicon=lexicon)
+    texts = [" ".join(rnd.choice(words, 60)) + (" zxvkw and qzzyv here" if i % 2 else "") for i in range(20)]
+    for t in texts:
+        windows = list(toxicity.windows_of(t))
+        want = {i for i, w in enumerate(windows) if any(w[j:j + 5] in lexicon for j in range(len(w) - 4))}
+        some = set(m.suspects(windows).tolist())
+        assert want <= some and len(some - want) <= 1
+        for ordinary, toxic in toxicity._compressors(m.ordinary, m.toxic):
+            rest = [len(ordinary.compress(w)) - len(toxic.compress(w)) for i, w in enumerate(windows) if i not in some]
+            assert np.mean(np.abs(rest)) < 0.1
+    assert m.suspects([b""]).tolist() == [] and m.suspects([b" zxvkw "]).tolist() == [0]
+
+
 def test_every_toxic_label_feeds_the_lexicon(spark):
     words = [f"{a}{b}{a}{b}q" for a in "zxvkj" for b in "wyfh"]  # each in two toxic texts only
     texts = [f"plain text about thing{i % 7} and other{i % 11} matters here" for i in range(440)]

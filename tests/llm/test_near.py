@@ -151,6 +151,71 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
 
 
+def plain_line_dedup(rows):
+    """rows of (doc_id, text, source): texts without boilerplate lines, line by line."""
+    import re
+    sites, first = collections.defaultdict(set), {}
+    for i, t, site in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        for k, line in enumerate((t or "").split("\n") if t is not None else []):
+            if len(line) >= 20 or re.search(r"[^\W_]", line):
+                sites[line].add(site)
+                first.setdefault(line, (i, t, k))
+    gone = {x for x, s in sites.items() if len(s) >= (5 if len(x) >= 20 else 10)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if x not in gone or first[x] == (i, t, k))
+            for i, t, _ in rows}
+
+
+def test_pipeline_matches_plain_python(spark):
+    """The pieces of run() against line dedup, near-duplicate classes and ids made in plain Python from the rows that
+    the two classifiers keep."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = bagminhash.cut_lineage(stage(spark, docs, sf))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect()]
+    assert 0.5 * 1000 < len(rows) < 1000
+    texts = plain_line_dedup(rows)
+    ids = [i for i, _, _ in rows]
+    classes = brute_classes([texts[i] or "" for i in ids])
+    kept = {i: texts[i] for k, i in enumerate(ids) if classes[k] == k or not bag(texts[i] or "")}
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    library.no_truncation()
+    library.no_padding()
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in kept.items()}
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    got, places = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        got[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+        places[p.sequence_id].append((p.offset, p.length))
+    assert {i: [x for _, part in sorted(v) for x in part] for i, v in got.items()} == want
+    for k, v in places.items():
+        ends = np.cumsum([0, *[n for _, n in sorted(v)]])
+        assert [o for o, _ in sorted(v)] == ends[:-1].tolist() and (ends[-1] == 4096 or k == max(places))
+
+
+def test_pipeline_edge(spark, edge, empty, tmp_path):
+    """Nulls, empty, very long and repeated rows, a null id, clashing columns, empty tables, no labels."""
+    marks = edge.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    for k, (docs, labels) in enumerate([(edge, marks), (edge, marks.limit(0)), (empty, marks), (empty, marks.limit(0))]):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        sf = f"{tmp_path}/{k}"
+        now = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = bagminhash.cut_lineage(stage(spark, now, sf))
+            assert out.columns == docs.columns and out.count() <= now.count(), name
+            now = out
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert pieces.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+        assert corpus_pipeline.run(spark, sf).columns == pieces.columns
+    # every stage takes all the edge rows as they are
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, edge, f"{tmp_path}/0").count() > 0, name
+
+
 def test_pipeline_keeps_what_op8_calls_good(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.quality_knn, "fit", lambda docs, labelled: None)
     monkeypatch.setattr(corpus_pipeline.quality_knn, "quality", lambda model, text: F.col("n_chars") / 100)
