@@ -3,6 +3,12 @@
 Every stage takes the documents that its predecessor kept, read again from a
 written table, and returns documents with the same columns; the last returns
 the packed pieces.  Models are trained within their stage.
+
+Defined results: texts without a letter, null or empty ones among them, have no
+language and go in the first stage; without any language or labelled text the
+classifiers know nothing, and no document passes them.  Repeated rows are judged
+alike, and one of them stays in the near-dedup stage.  Other columns, whatever
+their names, are carried as they are up to packing; an empty table gives none.
 """
 
 from __future__ import annotations

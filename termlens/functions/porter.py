@@ -134,19 +134,6 @@ def _step5b(d: _Dialect, w: str) -> str:
             f" ELSE {w} END")
 
 
-def _steps(d: _Dialect):
-    return (
-        lambda w: _rule_step(d, w, STEP1A),
-        lambda w: _step1b(d, w),
-        lambda w: _step1c(d, w),
-        lambda w: _rule_step(d, w, STEP2),
-        lambda w: _rule_step(d, w, STEP3),
-        lambda w: _rule_step(d, w, STEP4),
-        lambda w: _step5(d, w),
-        lambda w: _step5b(d, w),
-    )
-
-
 def porter_sql(word_sql: str, dialect: str = "spark") -> str:
     """SQL expression stemming ``word_sql`` (lower-case letters)."""
     d = _Dialect(dialect)

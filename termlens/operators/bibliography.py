@@ -65,8 +65,9 @@ def bib_records(rows: DataFrame, title_year_fallback: bool = True, by: Sequence[
     r = _first_rows(rows, title_year_fallback, by)
     doi, url = clean(optional(r, "doi")), F.coalesce(clean(optional(r, "url")), clean(optional(r, "landing_page")))
     lower = {c.lower(): c for c in r.columns}
-    author_col = lower.get("authors") or lower.get("author")
-    author = author_names(r, author_col) if author_col else F.array().cast("array<string>")
+    author = F.array().cast("array<string>")
+    for c in [lower[x] for x in ("author", "authors") if x in lower]:       # authors go first, row by row
+        author = F.when(F.size(author_names(r, c)) > 0, author_names(r, c)).otherwise(author)
     return r.select(
         *by, F.col("bibjson_id").alias("id"), "key_kind",
         F.coalesce(nanify(optional(r, "type")), F.lit("article")).alias("type"),

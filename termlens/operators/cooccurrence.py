@@ -172,7 +172,12 @@ def cooccurrence_stats(snippets: DataFrame, total_docs: int, n: int = DEFAULT_TO
     # is written once (reliable checkpoint: vocabulary-sized, survives
     # executor loss) so the corpus is scanned exactly once; without it each
     # branch would re-run the extraction with differently pruned columns.
-    all_counts = cut_lineage(token_counts(snippets, text_col))
+    return stats_of_counts(cut_lineage(token_counts(snippets, text_col)), total_docs, n, lemmatize, lemmas)
+
+
+def stats_of_counts(all_counts: DataFrame, total_docs: int, n: int = DEFAULT_TOP_N, lemmatize: bool = True,
+                    lemmas: DataFrame | None = None) -> DataFrame:
+    """:func:`cooccurrence_stats` from written (search_term, word, count) of all tokens."""
     counts = all_counts.where(F.length("word") > 2)
     # Folding only merges words, so the surface vocabulary of a term bounds
     # its folded vocabulary: when no term has more than n surface words the

@@ -27,6 +27,18 @@ def corpus_summary(snippets: DataFrame, cooccurrence: DataFrame, doc_col: str =
         F.count(F.lit(1)).alias("total_snippets"),
         F.count_distinct(doc_col).alias("total_documents"),
         F.count_distinct(publisher_col).alias("unique_publishers"))
+    return _summary(s, cooccurrence)
+
+
+def corpus_summary_of_state(documents: DataFrame, publishers: DataFrame, cooccurrence: DataFrame, doc_col: str = "doc_id",
+                            publisher_col: str = "publisher") -> DataFrame:
+    """:func:`corpus_summary` from stored numbers of snippets (``n``) per (term, document) and per (term, publisher)."""
+    d = documents.groupBy(TERM).agg(F.sum("n").alias("total_snippets"), F.count(doc_col).alias("total_documents"))
+    p = publishers.groupBy(TERM).agg(F.count(publisher_col).alias("unique_publishers"))
+    return _summary(d.join(p, TERM), cooccurrence)
+
+
+def _summary(s: DataFrame, cooccurrence: DataFrame) -> DataFrame:
     c = cooccurrence.groupBy(F.col("word_1").alias(TERM)).agg(
         F.sum("count").alias("_tok"), F.count_distinct("word_2").alias("_uniq"))
     j = s.join(c, TERM, "left")

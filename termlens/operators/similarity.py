@@ -170,16 +170,3 @@ def nearest_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, trees: int
     for _ in range(refine_rounds):
         top = refine(base, cut_lineage(top), k)
     return top.select(F.col("id").alias("doc_id"), F.col("other").alias("similar_doc_id"), "similarity")
-
-
-def exact_neighbours_local(ids, vecs, k: int = DEFAULT_NEIGHBOURS):
-    """Brute force on a small in-memory fixture (tests only)."""
-    x = np.asarray(vecs, dtype=float)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    cos = np.clip(x @ x.T, -1.0, 1.0)
-    sim = 1 - np.sqrt(np.maximum(0.0, 2 - 2 * cos))
-    out = []
-    for i, d in enumerate(ids):
-        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-sim[i, j], ids[j]))[: k - 1]
-        out.extend((d, ids[j], float(sim[i, j])) for j in order)
-    return out

@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,7 @@ from termlens.functions.text import preprocess_text
 # Broadcast the term table up to this many rows (a term row is < 200 bytes).
 MAX_BROADCAST_TERMS = 1_000_000
 WILDCARD_KEY_LEN = 3
+MAX_ROW_TERMS = 500            # of matched_terms
 
 
 def check_wildcards(terms: Iterable[str]) -> None:
@@ -183,6 +184,29 @@ def extract_snippets(docs: DataFrame, terms: Iterable[str] | DataFrame,
     return out
 
 
+def matched_terms(text_col: str, terms: Iterable[str]) -> Column:
+    """Array of the (lower-cased) terms of a list that have a snippet in the text, found inside the row; for lists of
+    up to ``MAX_ROW_TERMS`` (each term is one search of the text)."""
+    terms = sorted({t.strip().lower() for t in terms if t and t.strip()})
+    if len(terms) > MAX_ROW_TERMS:
+        raise ValueError(f"at most {MAX_ROW_TERMS} terms: use extract_snippets")
+    check_wildcards(terms)
+    check_scannable(terms)
+    marked = F.lower(F.regexp_replace(text_col, FRAGMENT_SPLIT, "\n"))
+    # one blank around every word, and a line end between fragments that no pattern holds
+    norm = F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", " \n ")
+    norm = F.concat(F.lit(" "), F.trim(norm), F.lit(" "))
+
+    def pattern(t: str) -> str:
+        return " " + " ".join(re.findall(r"[^\W_]+", t)) + ("" if t.endswith("*") else " ")
+
+    terms = [t for t in terms if re.search(r"[^\W_]", t)]
+    if not terms:
+        return F.array().cast("array<string>")
+    return F.transform(F.array(norm), lambda n: F.array_compact(F.array(
+        *[F.when(F.contains(n, F.lit(pattern(t))), F.lit(t)) for t in terms])))[0]
+
+
 def with_processed_text(snippets: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """Adds ``processed_text`` = full cleaning of ``highlight``."""
     return snippets.withColumn("processed_text", preprocess_text("highlight", stop_words))

@@ -1,7 +1,8 @@
 """Result tables with idempotent upserts, incremental runs and term removal.
 
 Four tables: ``term_counts`` (word), ``term_cooccurrence`` (word_1, word_2),
-``processed_terms`` (term), ``similarity_results`` (doc_id, similar_doc_id).
+``processed_terms`` (term), ``similarity_results`` (doc_id, similar_doc_id); and
+the additive state of incremental runs (see :mod:`termlens.streaming.incremental`).
 The merge logic is one union and one aggregation per key, in which incoming
 rows win, and is what a MERGE statement would do.  :class:`TableStore` keeps the
 tables as Parquet files in key buckets: a merge rewrites the buckets that hold an
@@ -30,6 +31,10 @@ KEYS = {
     "term_cooccurrence": ("word_1", "word_2"),
     "processed_terms": ("term",),
     "similarity_results": ("doc_id", "similar_doc_id"),
+    "corpus_stats": ("search_term",),
+    "state_words": ("search_term", "word"),
+    "state_documents": ("search_term", "doc_id"),
+    "state_publishers": ("search_term", "publisher"),
 }
 
 
@@ -150,6 +155,10 @@ class TableStore:
     def exists(self, name: str) -> bool:
         return name in self.manifest()
 
+    def notes(self) -> dict:
+        """Small facts that were committed together with the tables."""
+        return self.manifest().get("_notes", {})
+
     def read(self, name: str) -> DataFrame:
         tables = self.manifest()
         if name not in tables:
@@ -232,6 +241,20 @@ class Change:
         hit = self._touched(name, incoming)
         self._put(name, upsert(self.store._frame(self.tables[name], hit), incoming, KEYS[name]), hit)
 
+    def add(self, name: str, delta: DataFrame, value: str) -> None:
+        """Add ``value`` of ``delta`` to the stored one, key by key; only buckets that hold a key of it are read and written."""
+        keys = list(KEYS[name])
+        delta = cut_lineage(delta.select(*keys, value).groupBy(*keys).agg(F.sum(value).alias(value)))
+        if not self.exists(name):
+            self._put(name, delta, None)
+            return
+        hit = self._touched(name, delta)
+        both = self.store._frame(self.tables[name], hit).select(*keys, value).unionByName(delta)
+        self._put(name, both.groupBy(*keys).agg(F.sum(value).alias(value)), hit)
+
+    def note(self, **facts) -> None:
+        self.tables["_notes"] = {**self.tables.get("_notes", {}), **facts}
+
     def replace_groups(self, name: str, incoming: DataFrame, column: str, values: list[str]) -> None:
         """Replace every row whose ``column`` is in ``values`` by ``incoming``
         (a term's statistics recomputed from scratch)."""

@@ -7,6 +7,11 @@ the row (a Catalyst expression).  Lemmatising needs the vocabulary: tokens are
 exploded with their position, distinct tokens are mapped to lemmas once (see
 :func:`termlens.operators.cooccurrence.lemma_map`), and each document's tokens
 are put back in order — one group per document, bounded by its length.
+
+:func:`clean_tokens_by_tag` lemmatises by part of speech: sentences (cut into runs
+of at most ``RUN`` tokens) are tagged inside their row, different (word, tag) pairs
+are mapped to lemmas once - a user's table first, then the tag's detachment rules
+with the corpus vocabulary as the judge -, and joined back on both.
 """
 
 from __future__ import annotations
@@ -18,7 +23,9 @@ from pyspark.sql import functions as F
 
 from termlens.constants import DEFAULT_UNWANTED_WORDS
 from termlens.functions.porter import porter_sql
+from termlens.functions.tagging import RUN, candidates_sql, tags_sql
 from termlens.operators.cooccurrence import lemma_map
+from termlens.session import cut_lineage
 
 TOKEN_PATTERN = r"n't|'[a-z]+|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -50,3 +57,48 @@ def clean_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     out = g.select(id_col, F.array_join(F.col("_s.lemma"), " ").alias("cleaned"))
     empty = t.where(F.size("_t") == 0).select(id_col, F.lit("").alias("cleaned"))
     return out.unionByName(empty)
+
+
+SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
+
+
+def tagged_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unwanted: Iterable[str] | None = None) -> DataFrame:
+    """id, run, i, word, tag: the tokens in order with their part of speech."""
+    bad = tuple(unwanted) if unwanted is not None else DEFAULT_UNWANTED_WORDS
+    sentences = F.transform(F.regexp_extract_all(split_clitics(F.col(text_col)), F.lit(SENTENCE), 0), lambda s: F.filter(
+        F.regexp_extract_all(s, F.lit(TOKEN_PATTERN), 0), lambda w: ~w.isin(*bad) if bad else F.lit(True)))
+    rows = docs.select(F.col(id_col).alias("id"), sentences.alias("_s"))
+    runs = rows.select("id", F.posexplode(F.expr(
+        f"flatten(transform(filter(_s, t -> size(t) > 0), t -> transform(sequence(0, (size(t) - 1) div {RUN}),"
+        f" k -> slice(t, cast(k * {RUN} + 1 AS int), {RUN}))))")).alias("run", "words"))
+    tagged = runs.withColumn("tags", F.expr(tags_sql("words")))
+    return tagged.select("id", "run", "tags", F.posexplode("words").alias("i", "word")).select(
+        "id", "run", "i", "word", F.expr("substring(tags, i + 1, 1)").alias("tag"))
+
+
+def tag_lemmas(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """(word, tag, lemma) of the different (word, tag) pairs of tagged tokens; ``lemmas``: a user's (form, pos, lemma),
+    null pos for any tag."""
+    pairs = cut_lineage(tokens.select("word", "tag").distinct())
+    known = pairs.select(F.col("word").alias("cand")).distinct()
+    cand = pairs.select("word", "tag", F.explode(F.expr(candidates_sql("word", "tag"))).alias("cand"))
+    best = cand.join(known, "cand", "left_semi").groupBy("word", "tag").agg(
+        F.min_by("cand", F.struct(F.length("cand"), F.col("cand"))).alias("lemma"))
+    out = pairs.join(best, ["word", "tag"], "left")
+    if lemmas is not None:
+        own = lemmas.where("pos IS NOT NULL").groupBy(F.col("form").alias("word"), F.col("pos").alias("tag")).agg(F.min("lemma").alias("_own"))
+        some = lemmas.where("pos IS NULL").groupBy(F.col("form").alias("word")).agg(F.min("lemma").alias("_any"))
+        out = out.join(own, ["word", "tag"], "left").join(some, "word", "left").withColumn("lemma", F.coalesce("_own", "_any", "lemma"))
+    return out.select("word", "tag", F.coalesce("lemma", "word").alias("lemma"))
+
+
+def clean_tokens_by_tag(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", unwanted: Iterable[str] | None = None,
+                        lemmas: DataFrame | None = None) -> DataFrame:
+    """id, cleaned (lemmas by part of speech, joined by one space).  Rows of one id are one text; null text: empty."""
+    tokens = cut_lineage(tagged_tokens(docs, text_col, id_col, unwanted))
+    folded = tokens.join(tag_lemmas(tokens, lemmas), ["word", "tag"])
+    g = folded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "i", "lemma"))).alias("_s")).select(
+        F.col("id").alias("_id"), F.array_join(F.col("_s.lemma"), " ").alias("cleaned"))
+    ids = docs.select(F.col(id_col).alias("_doc")).distinct()
+    return ids.join(g, F.col("_doc").eqNullSafe(F.col("_id")), "left").select(
+        F.col("_doc").alias(id_col), F.coalesce("cleaned", F.lit("")).alias("cleaned"))

@@ -14,6 +14,7 @@ from termlens.constants import DEFAULT_FRAGMENT_LIMIT, DEFAULT_TERMS, FRAGMENT_S
 from termlens.functions.lemma import lemma_candidates_sql
 from termlens.functions.porter import porter_sql
 from termlens.functions.stopwords import DEFAULT_STOP_WORDS
+from termlens.functions.tagging import RUN, candidates_sql, tags_sql
 from termlens.functions.text import fold_tables
 
 WS = r"[\t-\r\x1c-\x20]+"
@@ -127,6 +128,32 @@ SELECT m.search_term, m.doc_id, CAST(a - 1 AS INTEGER) AS frag_idx, publisher, l
 FROM found m JOIN cut USING (doc_id)"""
 
 
+def clitics_sql(x: str) -> str:
+    once = f"regexp_replace(lower({x}), {q(chr(110) + chr(39) + 't')}, {q(' n' + chr(39) + 't')}, 'g')"
+    return f"regexp_replace({once}, {q(chr(39) + '(s|m|d|ll|re|ve)' + chr(92) + 'b')}, {q(' ' + chr(39) + chr(92) + '1')}, 'g')"
+
+
+def tagged_lemmas_sql() -> str:
+    """Lemmas by part of speech of ``documents``."""
+    from termlens.operators.tokens import DEFAULT_UNWANTED_WORDS, SENTENCE, TOKEN_PATTERN
+
+    return f"""WITH sents AS (SELECT doc_id, list_transform(regexp_extract_all({clitics_sql('text')}, {q(SENTENCE)}),
+    lambda s: list_filter(regexp_extract_all(s, {q(TOKEN_PATTERN)}), lambda w: NOT list_contains({list(DEFAULT_UNWANTED_WORDS)}, w))) AS ss
+  FROM documents),
+cut AS (SELECT doc_id, flatten(list_transform(list_filter(ss, lambda t: len(t) > 0), lambda t:
+          list_transform(range((len(t) - 1) // {RUN} + 1), lambda k: t[k * {RUN} + 1:k * {RUN} + {RUN}]))) AS runs FROM sents),
+run AS (SELECT doc_id, runs[r] AS words, r FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS r FROM cut)),
+tagged AS (SELECT doc_id, r, words, {tags_sql('words', 'duckdb')} AS tags FROM run),
+tok AS (SELECT doc_id, r, i, words[i] AS word, tags[i] AS tag FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM tagged)),
+pairs AS (SELECT DISTINCT word, tag FROM tok),
+known AS (SELECT DISTINCT word AS cand FROM pairs),
+best AS (SELECT word, tag, first(cand ORDER BY length(cand), cand) AS lemma FROM (
+           SELECT word, tag, unnest({candidates_sql('word', 'tag', 'duckdb')}) AS cand FROM pairs) JOIN known USING (cand) GROUP BY ALL),
+made AS (SELECT doc_id, string_agg(coalesce(lemma, t.word), ' ' ORDER BY r, i) AS cleaned
+         FROM tok t LEFT JOIN best b ON t.word = b.word AND t.tag = b.tag GROUP BY doc_id)
+SELECT d.doc_id, coalesce(cleaned, '') AS cleaned FROM documents d LEFT JOIN made USING (doc_id)"""
+
+
 def page_snippets_sql(terms=DEFAULT_TERMS, limit=DEFAULT_FRAGMENT_LIMIT) -> str:
     from termlens.functions.text import strip_html_sql
     from termlens.sources.tables import HOST_PATTERN

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.constants import DEFAULT_TERMS, QUERY_TOTAL_DOCS, TOKENS_PER_DOCUMENT
+from termlens.constants import BIBJSON_GENERATOR, BIBJSON_VERSION, DEFAULT_TERMS, QUERY_TOTAL_DOCS, TOKENS_PER_DOCUMENT
 from termlens.functions.biblio import parse_year, split_authors
 from termlens.functions.text import fold_ascii, preprocess_text
 from termlens.operators import bibliography as bib
@@ -24,12 +24,14 @@ from termlens.operators import neighbours as nb
 from termlens.operators import network as nw
 from termlens.operators import similarity as sim
 from termlens.operators import store as st
+from termlens.operators import text_similarity as ts
 from termlens.operators.phrase_index import PhraseIndex
 from termlens.operators.rowindex import dense_index
-from termlens.operators.snippets import extract_snippets, with_processed_text
-from termlens.operators.tokens import clean_tokens
+from termlens.operators.snippets import extract_snippets, matched_terms, with_processed_text
+from termlens.operators.tokens import TOKEN_PATTERN, clean_tokens, clean_tokens_by_tag
 from termlens.plans import oracle as o
 from termlens.session import cut_lineage, scratch_table_path
+from termlens.sources.snippets_io import page_documents, rejected_pages
 from termlens.sources.tables import CITATION_COLUMNS, citations, citations_sql, corpus, page_corpus, spread, table
 
 
@@ -186,6 +188,15 @@ def q_cooccurrence_top_n(spark, sf_dir):
     return cooc(spark, sf_dir, n=200)
 
 
+LARGE_N = 1500                       # more than a partial limit takes, and fewer than some terms have
+
+
+@register("cooccurrence_top_1500", o.cooccurrence_sql(TERMS, TD, n=LARGE_N))
+def q_cooccurrence_top_1500(spark, sf_dir):
+    """A large n that binds: the tie group at the cut is split, no term is sorted whole."""
+    return cooc(spark, sf_dir, n=LARGE_N)
+
+
 @register("cooccurrence_surface", o.cooccurrence_sql(TERMS, TD, lemmatize=False))
 def q_cooccurrence_surface(spark, sf_dir):
     return cooc(spark, sf_dir, lemmatize=False)
@@ -222,6 +233,26 @@ def q_clean_tokens(spark, sf_dir):
     return clean_tokens(b, id_col="item_id")
 
 
+UNWANTED = ("the", "of", "der", "que")      # occur in the data
+
+
+@register("clean_tokens_unwanted", f"""SELECT doc_id, array_to_string(list_transform(list_filter(
+  regexp_extract_all({o.clitics_sql('text')}, {o.q(TOKEN_PATTERN)}),
+  lambda w: NOT list_contains({list(UNWANTED)}, w)), lambda tk: {o.porter_sql('tk', 'duckdb')}), ' ') AS cleaned
+FROM documents WHERE text IS NOT NULL""")
+def q_clean_tokens_unwanted(spark, sf_dir):
+    """Stems of all documents without a caller's unwanted words."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("text IS NOT NULL")
+    return clean_tokens(d, unwanted=UNWANTED)
+
+
+@register("clean_tokens_lemma", o.tagged_lemmas_sql())
+def q_clean_tokens_lemma(spark, sf_dir):
+    """Lemmas by part of speech of all documents."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return clean_tokens_by_tag(d)
+
+
 # ---- corpus statistics --------------------------------------------------------------
 
 @register("term_counts", f"{SNIP} {o.term_counts_sql_body('snippets', TD)}")
@@ -396,6 +427,49 @@ def q_bib_json(spark, sf_dir):
     return bib.bib_json_lines(bib.bib_records(citations(spark, sf_dir)))
 
 
+@register("bib_collections", f"""{SNIP}
+SELECT DISTINCT search_term, to_json({{'collection': search_term,
+  'metadata': {{'created': '2024-01-02T03:04:05Z', 'generator': {o.q(BIBJSON_GENERATOR)}, 'version': {o.q(BIBJSON_VERSION)}}}}})::VARCHAR
+  AS header_json FROM snippets""")
+def q_bib_collections(spark, sf_dir):
+    """The header of each term's collection, with a given creation stamp."""
+    terms = snippets(spark, sf_dir).select("search_term").distinct()
+    return terms.withColumn("header_json", bib.collection_header(F.col("search_term"), "2024-01-02T03:04:05Z"))
+
+
+# Response pages made of the documents, one a page; every tenth is cut off, every eleventh an error.
+def _pages(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").where("text IS NOT NULL")
+    doc = F.expr("""named_struct('_gddid', concat('g', doc_id), 'year', 1990 + doc_id % 30, 'source', source,
+        'landing_page', if(doc_id % 2 = 0, concat('https://example.org/', doc_id), NULL), 'author', array('A. One', lang),
+        'highlight', split(text, '\\n'), 'lang', lang, 'score', doc_id % 7)""")
+    page = F.to_json(F.struct(F.struct(F.array(doc).alias("data")).alias("success")))
+    broken = F.when(F.col("doc_id") % 10 == 9, F.substring(page, 1, 40)).when(F.col("doc_id") % 11 == 10, F.lit('{"error": "gone"}'))
+    return d.select(F.concat(F.lit("p"), F.col("doc_id")).alias("path"), F.coalesce(broken, page).alias("value"))
+
+
+PAGE_ROWS = "doc_id % 10 <> 9 AND doc_id % 11 <> 10 AND text IS NOT NULL"
+
+
+@register("response_documents", f"""SELECT 'g' || doc_id AS doc_id, CAST(1990 + doc_id % 30 AS VARCHAR) AS year, source,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://example.org/' || doc_id END AS landing_page, 'A. One | ' || lang AS authors,
+  md5(array_to_string(string_split(text, chr(10)), '|')) AS highlights, len(string_split(text, chr(10))) AS n_highlights,
+  '{{"lang":"' || lang || '","score":' || (doc_id % 7) || '}}' AS extra FROM documents WHERE {PAGE_ROWS}""")
+def q_response_documents(spark, sf_dir):
+    """Documents of raw response pages: known fields typed, all others kept."""
+    d = page_documents(_pages(spark, sf_dir))
+    return d.select("doc_id", "year", "source", "landing_page", F.array_join("author.name", " | ").alias("authors"),
+                    F.md5(F.array_join("highlight", "|").cast("binary")).alias("highlights"),
+                    F.size("highlight").cast("long").alias("n_highlights"), "extra")
+
+
+@register("response_rejects", f"""SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 10 = 9 THEN 'not JSON' ELSE 'no list success.data' END AS reason
+FROM documents WHERE text IS NOT NULL AND NOT ({PAGE_ROWS})""")
+def q_response_rejects(spark, sf_dir):
+    """Response pages set aside, with the reason."""
+    return rejected_pages(_pages(spark, sf_dir))
+
+
 # ---- table maintenance ----------------------------------------------------------------
 
 @register("pending_terms", f"""WITH {o.cooc_body('ex', EXISTING_TERMS, TD)}, {_snip_sql('a_', TERMS)}
@@ -443,6 +517,63 @@ def q_processed_terms_merge(spark, sf_dir):
     return st.insert_if_absent(ledger, inc, ["term"])
 
 
+def _store(spark) -> st.TableStore:
+    return st.TableStore(spark, scratch_table_path(spark, "tables"), buckets=8)
+
+
+@register("cooccurrence_store_merge", f"""WITH {o.cooc_body('ex', EXISTING_TERMS, TD)}, {o.cooc_body('inc', INCOMING_TERMS, TD)}
+SELECT * FROM ex WHERE (word_1, word_2) NOT IN (SELECT (word_1, word_2) FROM inc)
+UNION ALL SELECT word_1, word_2, count + 1 AS count, prob_w1w2 FROM inc""")
+def q_cooccurrence_store_merge(spark, sf_dir):
+    """The upsert through stored tables: written, merged by touched buckets, read back."""
+    s = snippet_table(spark, sf_dir, sorted(set(EXISTING_TERMS) | set(INCOMING_TERMS)))
+    store = _store(spark)
+    store.merge("term_cooccurrence", co.cooccurrence_stats(of_terms(s, EXISTING_TERMS), TD))
+    inc = co.cooccurrence_stats(of_terms(s, INCOMING_TERMS), TD).withColumn("count", F.col("count") + 1)
+    store.merge("term_cooccurrence", inc)
+    return store.read("term_cooccurrence")
+
+
+@register("remove_term_tables", f"""WITH {o.cooc_body('c', TERMS, TD)}, {_snip_sql('a_', TERMS)},
+tc AS ({o.term_counts_sql_body('a_snippets', TD)})
+SELECT 'term_cooccurrence' AS table_name, word_1 AS a, word_2 AS b, count FROM c
+WHERE NOT (word_1 = '{REMOVED_TERM}' OR word_2 = '{REMOVED_TERM}')
+UNION ALL SELECT 'term_counts', word, NULL, count FROM tc WHERE word <> '{REMOVED_TERM}'
+UNION ALL SELECT DISTINCT 'processed_terms', search_term, NULL, CAST(NULL AS BIGINT) FROM a_snippets WHERE search_term <> '{REMOVED_TERM}'""")
+def q_remove_term_tables(spark, sf_dir):
+    """All three stored tables after one removal."""
+    s = snippet_table(spark, sf_dir)
+    store = _store(spark)
+    with store.change() as c:
+        c.write("term_cooccurrence", co.cooccurrence_stats(s, TD))
+        c.write("term_counts", cs.term_counts(s, TD))
+        c.write("processed_terms", s.select(F.col("search_term").alias("term")).distinct())
+    store.remove_term(f"  {REMOVED_TERM.upper()} ")
+    none = F.lit(None).cast("string")
+    return store.read("term_cooccurrence").select(F.lit("term_cooccurrence").alias("table_name"), F.col("word_1").alias("a"),
+                                                  F.col("word_2").alias("b"), "count").unionByName(
+        store.read("term_counts").select(F.lit("term_counts").alias("table_name"), F.col("word").alias("a"), none.alias("b"), "count")
+    ).unionByName(store.read("processed_terms").select(F.lit("processed_terms").alias("table_name"), F.col("term").alias("a"),
+                                                       none.alias("b"), F.lit(None).cast("long").alias("count")))
+
+
+@register("store_preview", f"WITH {o.cooc_body('c', TERMS, TD)} SELECT * FROM c ORDER BY count DESC, word_1, word_2 LIMIT 10")
+def q_store_preview(spark, sf_dir):
+    """The ten largest pairs of a saved table, read again."""
+    store = _store(spark)
+    store.write("term_cooccurrence", cooc(spark, sf_dir))
+    return co.top_pairs(st.TableStore(spark, store.root).read("term_cooccurrence"), 10)
+
+
+@register("stats_blank_words", f"""WITH {o.cooc_body('c', TERMS, TD)},
+b AS (SELECT word_1, CASE length(word_2) WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '   ' ELSE word_2 END AS word_2, count, prob_w1w2 FROM c)
+SELECT * FROM b WHERE word_2 IS NOT NULL AND trim(word_2) <> ''""")
+def q_stats_blank_words(spark, sf_dir):
+    """Rows that do lose their blank words."""
+    blank = F.expr("CASE length(word_2) WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '   ' ELSE word_2 END")
+    return st.clean_stats(cooc(spark, sf_dir).withColumn("word_2", blank))
+
+
 @register("remove_term", f"""WITH {o.cooc_body('c', TERMS, TD)}
 SELECT * FROM c WHERE NOT (word_1 = '{REMOVED_TERM}' OR word_2 = '{REMOVED_TERM}')""")
 def q_remove_term(spark, sf_dir):
@@ -506,8 +637,24 @@ def q_mutual_information(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    td = snippets(spark, sf_dir).select("search_term", "doc_id")
-    return inf.pair_information(td, inf.doc_words(docs), docs.count())
+    return inf.document_information(docs, matched_terms("text", TERMS), docs.count())
+
+
+PAIR_WORDS = 300
+
+
+@register("joint_entropy_words", f"""WITH {DOC_WORDS_SQL},
+top AS (SELECT word, count(*) AS df FROM dw GROUP BY 1 ORDER BY df DESC, word LIMIT {PAIR_WORDS}),
+held AS (SELECT doc_id, word, df FROM dw JOIN top USING (word)),
+cells AS (SELECT a.word AS word_1, b.word AS word_2, count(*) AS n11, a.df AS n_1, b.df AS n_2, CAST(any_value(n) AS DOUBLE) AS n
+          FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.word < b.word, nd GROUP BY a.word, b.word, a.df, b.df),
+info AS (SELECT *, -({_plogp('n11 / n')} + {_plogp('(n_1 - n11) / n')} + {_plogp('(n_2 - n11) / n')}
+                     + {_plogp('(n - n_1 - n_2 + n11) / n')}) AS h12 FROM cells)
+SELECT word_1, word_2, n11, n_1, n_2, round(h12, 12) AS joint_entropy,
+       round({_h('n_1 / n')} + {_h('n_2 / n')} - h12, 12) AS mutual_information FROM info""")
+def q_joint_entropy_words(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return inf.word_pair_information(docs, docs.count(), PAIR_WORDS)
 
 
 @register("pmi", f"""WITH {o.cooc_body('c', TERMS, TD)}, {_snip_sql('a_', TERMS)},
@@ -558,6 +705,24 @@ def q_network_neighbourhood(spark, sf_dir):
 
 # ---- neighbours (approximate: no SQL oracle) ----------------------------------------------
 
+TEXT_COSINE = 0.8
+
+
+@register("text_similarity", f"""WITH tk AS (
+  SELECT doc_id, list_sort(list_filter(string_split_regex({o.preprocess_sql('text')}, ' +'), lambda w: length(w) >= 3)) AS t FROM documents),
+cls AS (SELECT min(doc_id) AS id, count(*) AS n, t FROM tk WHERE len(t) > 0 GROUP BY t),
+tf AS (SELECT id, n, word, count(*) AS tf FROM (SELECT id, n, unnest(t) AS word FROM cls) GROUP BY ALL),
+dfs AS (SELECT word, sum(n) AS df FROM tf GROUP BY 1),
+w AS (SELECT id, n, word, tf * ln((SELECT sum(n) FROM cls) / (df + 1)) AS w FROM tf JOIN dfs USING (word)),
+u AS (SELECT id, n, word, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w WHERE w > 0)
+SELECT a.id AS class_id, a.n AS n_docs, b.id AS similar_class_id, b.n AS similar_n_docs, round(sum(a.w * b.w), 6) AS cosine
+FROM u a JOIN u b ON a.word = b.word AND a.id < b.id GROUP BY ALL HAVING sum(a.w * b.w) >= {TEXT_COSINE}""")
+def q_text_similarity(spark, sf_dir):
+    """Pairs of documents (copies as one) of like vocabulary."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return ts.similar_classes(docs, TEXT_COSINE).withColumn("cosine", F.round("cosine", 6))
+
+
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))

@@ -1,8 +1,9 @@
 """Readers and writers for raw search responses, snippet tables and results.
 
 * Raw responses: JSON pages ``{"success": {"data": [doc, ...], "next_page": ..}}``
-  read with an explicit schema, documents exploded to rows, then one row per
-  highlight (empty highlight lists drop out).
+  parsed as semi-structured values: known fields are typed, all others kept in
+  one column, and pages that are no such JSON are set aside with path and reason.
+  Documents are exploded to rows, then one row per highlight (empty lists drop out).
 * Snippet tables: Parquet (native) or CSV with every field quoted and ``"`` as
   the escape on both sides, always with an explicit schema (never inference);
   the all-string variant is the bibliography reader's view.
@@ -22,13 +23,10 @@ from termlens.functions.text import preprocess_text
 
 S = T.StringType()
 
-RAW_DOCUMENT = T.StructType([
-    T.StructField("_gddid", S), T.StructField("doi", S), T.StructField("title", S),
-    T.StructField("pubname", S), T.StructField("publisher", S), T.StructField("coverDate", S),
-    T.StructField("URL", S), T.StructField("authors", S), T.StructField("highlight", T.ArrayType(S)),
-])
-RAW_RESPONSE = T.StructType([T.StructField("success", T.StructType([
-    T.StructField("data", T.ArrayType(RAW_DOCUMENT)), T.StructField("next_page", S)]))])
+# Fields of a response document that later stages read; all others are kept together in ``extra``.
+RAW_FIELDS = ("_gddid", "doi", "title", "pubname", "publisher", "coverDate", "URL", "authors",
+              "pub_year", "year", "type", "source", "landing_page")
+AUTHOR = "array<struct<name string, given string, family string>>"
 
 SNIPPET = T.StructType([
     T.StructField("search_term", S), T.StructField("doc_id", S), T.StructField("frag_idx", T.IntegerType()),
@@ -50,15 +48,50 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return out
 
 
+def raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the response files, each as one text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    page = F.try_parse_json("value")
+    return pages.select("path", page.alias("page"), F.try_variant_get(page, "$.success.data", "array<variant>").alias("data"))
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """(path, reason) of the pages (``path``, ``value``) that give no documents: not JSON, or without ``success.data``."""
+    reason = F.when(F.col("page").isNull(), "not JSON").otherwise("no list success.data")
+    return _parsed(pages).where("data IS NULL").select("path", reason.alias("reason"))
+
+
+def page_documents(pages: DataFrame) -> DataFrame:
+    """One row per document of the pages: the known fields by their canonical names (as text, whatever their JSON type;
+    ``author`` as a list of name structs), ``highlight`` and ``extra``, a JSON object of all other fields."""
+    d = _parsed(pages).select("path", F.explode("data").alias("d")).where(F.schema_of_variant("d").startswith("OBJECT"))
+    known = [F.try_variant_get("d", f"$.{f}", "string").alias(f) for f in RAW_FIELDS]
+    name = "transform({}, n -> named_struct('name', n, 'given', CAST(NULL AS STRING), 'family', CAST(NULL AS STRING)))"
+    author = F.coalesce(
+        F.when(F.schema_of_variant(F.try_variant_get("d", "$.author", "variant")).startswith("ARRAY<OBJECT"),
+               F.try_variant_get("d", "$.author", AUTHOR)),
+        F.expr(name.format("try_variant_get(d, '$.author', 'array<string>')")),
+        F.expr(name.format("array(try_variant_get(d, '$.author', 'string'))")).cast(AUTHOR))
+    others = F.map_filter(F.try_variant_get("d", "$", "map<string,variant>"),
+                          lambda k, v: ~k.isin(*RAW_FIELDS, "author", "highlight"))
+    line = F.try_variant_get("d", "$.highlight", "string")
+    lines = F.coalesce(F.try_variant_get("d", "$.highlight", "array<string>"), F.when(line.isNotNull(), F.array(line)))
+    return canonical_columns(d.select("path", *known, author.alias("author"), lines.alias("highlight"),
+                                      F.to_json(others).alias("extra")))
+
+
 def read_api_responses(spark: SparkSession, path: str, search_term: str | None = None,
                        stop_words: Iterable[str] | None = None) -> DataFrame:
     """Snippet rows from raw response pages: one row per highlight, with the
-    cleaned text and (optionally) the term the pages were fetched for."""
-    raw = spark.read.schema(RAW_RESPONSE).option("multiLine", True).json(path)
-    docs = raw.select(F.explode("success.data").alias("d")).select("d.*")
+    cleaned text and (optionally) the term the pages were fetched for.  Pages
+    that can't be read give no row here; :func:`rejected_pages` names them."""
+    docs = page_documents(raw_pages(spark, path)).drop("path")
     rows = docs.select(*[c for c in docs.columns if c != "highlight"],
                        F.posexplode("highlight").alias("frag_idx", "highlight"))
-    rows = canonical_columns(rows).withColumn("processed_text", preprocess_text("highlight", stop_words))
+    rows = rows.withColumn("processed_text", preprocess_text("highlight", stop_words))
     if search_term is not None:
         rows = rows.withColumn("search_term", F.lit(search_term.lower()))
     return rows

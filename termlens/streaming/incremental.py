@@ -4,12 +4,15 @@ New document files land in a directory; each micro-batch:
 
 1. extracts the snippets of the search terms from the new documents and
    writes them under ``snippets/batch_id=<id>`` (overwrite of that batch's
-   own folder: a retried batch rewrites the same files — exactly once);
-2. recomputes the statistics of the terms the batch touched from *all* their
-   snippets so far (partition pruning on the term), because top-n, stem
-   de-duplication and the corpus summary are not additive;
-3. replaces those terms' rows in the tables and adds the terms to the ledger,
-   in one commit.
+   own folder: a retried batch rewrites the same files);
+2. adds the batch's partial aggregates - tokens per (term, word), snippets per
+   (term, document) and per (term, publisher) - to the stored ones;
+3. recomputes, from the stored aggregates of the terms it touched, what is not
+   additive (top-n, stem de-duplication, probabilities, corpus summary), and
+   replaces those terms' rows.  Snippets of earlier batches are never read.
+
+Steps 2 and 3 and the batch's number are one commit of the tables, so a batch
+that is run again after a failure is counted once.
 
 The stream's own checkpoint (offsets, committed batches) lives in the shared
 checkpoint directory, so a restarted query resumes where it stopped.
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from termlens.constants import DEFAULT_FRAGMENT_LIMIT, DEFAULT_TOP_N
-from termlens.operators.cooccurrence import cooccurrence_stats
-from termlens.operators.corpus import term_counts
+from termlens.constants import DEFAULT_FRAGMENT_LIMIT, DEFAULT_TOP_N, TOKENS_PER_DOCUMENT
+from termlens.operators.cooccurrence import stats_of_counts, token_counts
+from termlens.operators.corpus import corpus_summary_of_state
 from termlens.operators.snippets import extract_snippets, with_processed_text
 from termlens.operators.store import TableStore, clean_stats
+from termlens.session import cut_lineage
 
 DOCUMENT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -47,14 +51,22 @@ def batch_update(batch: DataFrame, batch_id: int, terms: list[str], root: str, t
     snips.write.mode("overwrite").partitionBy("search_term").parquet(out)
     written = spark.read.parquet(out)
     touched = sorted(r.search_term for r in written.select("search_term").distinct().collect())
-    if not touched:
-        return
-    every = spark.read.parquet(os.path.join(root, "snippets")).where(F.col("search_term").isin(touched))
     store = TableStore(spark, os.path.join(root, "tables"))
-    co = clean_stats(cooccurrence_stats(every, total_docs, n))
+    if not touched or store.notes().get("batch", -1) >= batch_id:
+        return
     with store.change() as c:
-        c.replace_groups("term_cooccurrence", co, "word_1", touched)
-        c.replace_groups("term_counts", term_counts(every, total_docs), "word", touched)
+        c.note(batch=batch_id)
+        c.add("state_words", token_counts(written), "count")
+        for name, key in (("state_documents", "doc_id"), ("state_publishers", "publisher")):
+            c.add(name, written.groupBy("search_term", key).agg(F.count(F.lit(1)).alias("n")), "n")
+        words, documents, publishers = (c.read(f"state_{n}").where(F.col("search_term").isin(touched))
+                                        for n in ("words", "documents", "publishers"))
+        co = cut_lineage(stats_of_counts(words, total_docs, n))
+        counts = documents.groupBy(F.col("search_term").alias("word")).agg(F.sum("n").alias("count")).withColumn(
+            "probability", F.col("count") / F.lit(float(total_docs) * TOKENS_PER_DOCUMENT))
+        c.replace_groups("term_cooccurrence", clean_stats(co), "word_1", touched)
+        c.replace_groups("term_counts", counts, "word", touched)
+        c.replace_groups("corpus_stats", corpus_summary_of_state(documents, publishers, co), "search_term", touched)
         c.add_terms(touched)
 
 

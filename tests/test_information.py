@@ -1,5 +1,10 @@
 """Entropy, mutual information, PMI (FIXTURES 3.10)."""
-from termlens.operators.information import pair_information, pmi, word_entropy
+import collections
+import itertools
+import random
+
+from termlens.operators import information
+from termlens.operators.information import pair_information, pmi, word_entropy, word_pair_information
 
 
 def presence(spark, docs):
@@ -41,3 +46,38 @@ def test_network_neighbourhood_and_lexicon(spark):
     lex = spark.createDataFrame([("a", "mineral")], "word string, type string")
     nodes = {r.node: (r.degree, r.strength, r.type) for r in network_nodes(network_edges(co), lex).collect()}
     assert nodes == {"t": (2, 6, "term"), "u": (1, 2, "term"), "a": (2, 7, "mineral"), "b": (1, 1, "word")}
+
+
+def test_word_pairs_from_bitmaps(spark, monkeypatch):
+    """Joint counts against pairs made one by one, with chunks that fill up several times."""
+    monkeypatch.setattr(information, "CHUNK_DOCS", 16)
+    rnd = random.Random(2)
+    vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "kmp"]
+    docs = [" ".join(rnd.choices(vocab, weights=range(1, len(vocab) + 1), k=rnd.randrange(0, 25))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    held = [set((t or "").split()) for t in docs]
+    count = collections.Counter(w for h in held for w in h)
+    top = sorted(sorted(count, key=lambda w: (-count[w], w))[:20])
+    want = {p: sum(set(p) <= h for h in held) for p in itertools.combinations(top, 2)}
+    got = {(r.word_1, r.word_2): r for r in word_pair_information(df, len(docs), 20).collect()}
+    assert {p: r.n11 for p, r in got.items()} == {p: n for p, n in want.items() if n}
+    for r in got.values():
+        assert (r.n_1, r.n_2) == (count[r.word_1], count[r.word_2]) and r.mutual_information >= -1e-9
+    assert word_pair_information(df.limit(0), 0, 20).count() == 0
+
+
+def test_one_pass_equals_the_join(spark):
+    from pyspark.sql import functions as F
+
+    from termlens.operators.information import doc_words, document_information
+    from termlens.operators.snippets import extract_snippets, matched_terms
+
+    terms = ["of the", "thing", "nich*", "2.0", "absent"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "One of. The thing\n2.0, nichts"), (-2, None), (-3, "of\nthe  of - the")], docs.schema))
+    want = extract_snippets(docs, terms).select("search_term", "doc_id").distinct()
+    got = docs.select(F.explode(matched_terms("text", terms)).alias("search_term"), "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    a = document_information(docs, matched_terms("text", terms), docs.count())
+    b = pair_information(want, doc_words(docs), docs.count())
+    assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))

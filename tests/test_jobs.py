@@ -47,6 +47,32 @@ def test_incremental_stream_equals_batch(spark):
     assert rows(store.read("term_counts")) == rows(ref.read("term_counts"))
 
 
+def test_batches_are_additive_and_read_no_old_snippets(spark):
+    from pyspark.sql import functions as F
+
+    from termlens.sources.snippets_io import read_by_term
+
+    root, terms = tempfile.mkdtemp(prefix="termlens-inc-"), ["thing", "nicht", "of the"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i in range(3):
+        batch = docs.where(F.col("doc_id") % 3 == i)
+        incremental.batch_update(batch, i, terms, root, 1000, 10 ** 6, None)
+        # what earlier batches wrote is gone: only the stored aggregates can be used
+        docs.limit(0).select(F.lit("x").alias("highlight"), F.lit("t").alias("search_term")).write.mode("overwrite").partitionBy(
+            "search_term").parquet(os.path.join(root, "snippets", f"batch_id={i}"))
+    store = TableStore(spark, os.path.join(root, "tables"))
+    batch_root = tempfile.mkdtemp(prefix="termlens-batch-")
+    process_terms(spark, corpus(spark, SF), terms, batch_root, 1000)
+    ref = TableStore(spark, os.path.join(batch_root, "tables"))
+    for name in ("term_cooccurrence", "term_counts", "processed_terms"):
+        assert rows(store.read(name)) == rows(ref.read(name)), name
+    want = read_by_term(spark, Layout(batch_root).result("corpus_stats"))
+    assert rows(store.read("corpus_stats")) == rows(want.select(*store.read("corpus_stats").columns))
+    before = store.version()
+    incremental.batch_update(docs.where(F.col("doc_id") % 3 == 2), 2, terms, root, 1000, 10 ** 6, None)   # run again
+    assert store.version() == before
+
+
 def test_api_response_reader(spark):
     d = tempfile.mkdtemp(prefix="termlens-api-")
     page = {"success": {"data": [
@@ -61,6 +87,40 @@ def test_api_response_reader(spark):
                    ("g1", 1, "J", "u", "second", "volcanic arc")]
 
 
+def test_drifting_and_broken_pages(spark):
+    from termlens.operators.bibliography import bib_records
+    from termlens.operators.rowindex import dense_index
+    from termlens.sources.snippets_io import page_documents, raw_pages, rejected_pages
+
+    d = tempfile.mkdtemp(prefix="termlens-api-")
+    docs = [
+        {"_gddid": "g1", "title": "One", "year": 1999, "source": "S1", "landing_page": "http://l/1", "highlight": ["a b."],
+         "author": [{"given": "Ann", "family": "Roe"}, {"name": "B. Doe"}], "score": 1.5, "tags": ["x", {"y": 2}]},
+        {"_gddid": "g2", "title": "Two", "pub_year": "2001", "type": "book", "author": ["C", "D"], "highlight": "only one"},
+        {"_gddid": "g3", "title": "Three", "coverDate": "1987-05-01", "author": "E, F.; G", "authors": "", "highlight": ["x", "y"]},
+        {"_gddid": "g4", "authors": "H and I", "author": ["ignored"], "highlight": []}, "no object", None]
+    texts = {"p1.json": json.dumps({"success": {"data": docs, "next_page": ""}, "new": 1}), "p2.json": '{"success": {"data": [{"_gd',
+             "p3.json": json.dumps({"error": {"message": "gone"}}), "p4.json": json.dumps({"success": {"data": {"a": 1}}}), "p5.json": "[]",
+             "p6.json": json.dumps({"success": {"data": []}})}
+    for name, text in texts.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    pages = raw_pages(spark, d)
+    assert sorted((os.path.basename(r.path), r.reason) for r in rejected_pages(pages).collect()) == [
+        ("p2.json", "not JSON"), ("p3.json", "no list success.data"), ("p4.json", "no list success.data"), ("p5.json", "no list success.data")]
+    got = {r.doc_id: r for r in page_documents(pages).collect()}
+    assert sorted(got) == ["g1", "g2", "g3", "g4"]
+    assert json.loads(got["g1"].extra) == {"score": 1.5, "tags": ["x", {"y": 2}]} and json.loads(got["g2"].extra) == {}
+    rows_ = read_api_responses(spark, d, "T")
+    assert sorted((r.doc_id, r.frag_idx, r.highlight) for r in rows_.collect()) == [
+        ("g1", 0, "a b."), ("g2", 0, "only one"), ("g3", 0, "x"), ("g3", 1, "y")]
+    recs = {r.id: r for r in bib_records(dense_index(rows_, ["search_term"], ["doc_id", "frag_idx"], "snippet_row")).collect()}
+    assert (recs["g1"].year, recs["g1"].journal, recs["g1"].link[0].url) == (1999, "S1", "http://l/1")
+    assert [a.name for a in recs["g1"].author] == ["Ann Roe", "B. Doe"] and [a.name for a in recs["g2"].author] == ["C", "D"]
+    assert (recs["g2"].year, recs["g2"].type) == (2001, "book") and recs["g3"].year == 1987
+    assert [a.name for a in recs["g3"].author] == ["E, F.", "G"]
+
+
 def test_snippet_csv_round_trip(spark):
     d = tempfile.mkdtemp(prefix="termlens-csv-")
     df = spark.createDataFrame([("t", "d1", 0, 'He said "hi",\nthen left', "said hi left")],

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from termlens.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-PYTHON_OK = {"similarity_forest", "similarity_pending", "similarity_upsert"}
+PYTHON_OK = {"similarity_forest", "similarity_pending", "similarity_upsert", "similarity_knn", "similarity_lsh", "text_similarity",
+             "joint_entropy_words"}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
