@@ -222,7 +222,8 @@ class Change:
         if buckets is None:
             entry = {"schema": df.schema.jsonValue(), "buckets": self.store.buckets, "parts": {}}
         folder, column = f"data/{name}/{uuid.uuid4().hex}", "__bucket"
-        df.withColumn(column, self._bucket(name, entry["buckets"])).repartition(column).write.partitionBy(column).parquet(
+        # a task a bucket; one that is large is split by size
+        df.withColumn(column, self._bucket(name, entry["buckets"])).hint("rebalance", column).write.partitionBy(column).parquet(
             os.path.join(self.store.root, folder))
         new = {n.partition("=")[2]: f"{folder}/{n}" for n in self.store._names(folder) if n.startswith(f"{column}=")}
         old = {b: p for b, p in entry["parts"].items() if buckets is not None and int(b) not in buckets}

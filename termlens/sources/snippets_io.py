@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termlens.functions.biblio import split_authors
 from termlens.functions.text import preprocess_text
 
 S = T.StringType()
@@ -74,7 +75,8 @@ def page_documents(pages: DataFrame) -> DataFrame:
         F.when(F.schema_of_variant(F.try_variant_get("d", "$.author", "variant")).startswith("ARRAY<OBJECT"),
                F.try_variant_get("d", "$.author", AUTHOR)),
         F.expr(name.format("try_variant_get(d, '$.author', 'array<string>')")),
-        F.expr(name.format("array(try_variant_get(d, '$.author', 'string'))")).cast(AUTHOR))
+        F.transform(split_authors(F.try_variant_get("d", "$.author", "string")), lambda n: F.struct(
+            n.alias("name"), F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("family"))))
     others = F.map_filter(F.try_variant_get("d", "$", "map<string,variant>"),
                           lambda k, v: ~k.isin(*RAW_FIELDS, "author", "highlight"))
     line = F.try_variant_get("d", "$.highlight", "string")
