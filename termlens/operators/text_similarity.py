@@ -36,7 +36,7 @@ SLACK = 1e-9                  # of cosines: rounding
 
 def vectors(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", min_len: int = 3) -> tuple[DataFrame, DataFrame]:
     """Written tables (c, terms, weights) of different unit vectors, words from rare to frequent, and (doc, c)."""
-    toks = F.filter(preprocess_tokens(text_col), lambda w: F.length(w) >= min_len)
+    toks = preprocess_tokens(text_col, min_len=min_len)
     # written first: the cleaning would else be computed again for every use
     rows = cut_lineage(docs.select(F.col(doc_col).alias("doc"), F.array_sort(toks).alias("t"))).where(F.size("t") > 0)
     # documents of equal words in equal numbers are one class
@@ -54,7 +54,9 @@ def vectors(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", mi
     weighed = counts.join(ranked, "word").select("c", "term", (F.col("tf") * F.log(F.lit(float(n)) / (F.col("df") + 1))).alias("w")).where("w > 0")
     v = weighed.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x"))    # the words of one document
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, s: a + s["w"] * s["w"]))
-    v = v.select("c", F.col("x.term").alias("terms"), F.transform("x.w", lambda w: w / norm).alias("weights"))
+    # the norm is bound once: inside the lambda over the weights it would be summed again for each of them
+    unit = F.transform(F.array(norm), lambda n: F.transform("x.w", lambda w: w / n))[0]
+    v = v.select("c", F.col("x.term").alias("terms"), unit.alias("weights"))
     return cut_lineage(v), rows.select("doc", "h1", "h2").join(one.select("h1", "h2", "c"), ["h1", "h2"]).select("doc", "c")
 
 
