@@ -11,6 +11,8 @@ The weights are this module's own small table for English.
 
 from __future__ import annotations
 
+import functools
+
 TAGS = "nvardt"               # noun, verb, adjective, adverb, determiner, to/auxiliary
 RUN = 64                      # most tokens of a run
 
@@ -75,17 +77,65 @@ def tags_sql(run: str, dialect: str = "spark") -> str:
         fold = f"list_transform([{scores}], lambda sc: {fold})[1]"
         final = ", ".join(f"{{'s': a[{p + 1}].s, 'k': -{p}, 'path': a[{p + 1}].path}}" for p in range(n))
         return f"list_transform([{fold}], lambda a: list_sort([{final}], 'DESC')[1].path)[1]"
-    scores = f"transform({run}, w -> {scores_sql('w')})"
-    start = "array(" + ", ".join(f"struct(sc[0][{p}] AS s, '{t}' AS path)" for p, t in enumerate(TAGS)) + ")"
-
-    def best(t: int) -> str:
-        options = ", ".join(f"struct(a[{p}].s + {follow[p * n + t]} AS s, -{p} AS k, a[{p}].path AS path)" for p in range(n))
-        return f"transform(array(array_max(array({options}))), b -> struct(b.s + e[{t}] AS s, concat(b.path, '{TAGS[t]}') AS path))[0]"
-
-    step = "array(" + ", ".join(best(t) for t in range(n)) + ")"
-    final = ", ".join(f"struct(a[{p}].s AS s, -{p} AS k, a[{p}].path AS path)" for p in range(n))
-    fold = f"aggregate(slice(sc, 2, size(sc) - 1), {start}, (a, e) -> {step}, a -> array_max(array({final})).path)"
-    return f"transform(array({scores}), sc -> {fold})[0]"
+    # The fold's table is fixed, so the scores relative to the best can take few values: each combination is a state,
+    # found once by walking from all first forms, and a token costs two look-ups.
+    ending, vectors, following, before, final = automaton()
+    kind = f"transform({run}, w -> {kind_sql('w', ending, vectors)})"
+    table, back, last = (f"array({', '.join(map(str, x))})" for x in (following, before, final))
+    states = f"aggregate({kind}, array(0), (a, e) -> array_append(a, {table}[element_at(a, -1) * {len(vectors)} + e]))"
+    letter = f"substr('{TAGS}', {{}} + 1, 1)"
+    end = f"{last}[element_at(f, -1)]"
+    earlier = f"{back}[p * {n} + x.t]"
+    step = f"struct({earlier} AS t, concat({letter.format(earlier)}, x.path) AS path)"
+    path = (f"aggregate(reverse(slice(f, 2, size(f) - 2)), struct({end} AS t, {letter.format(end)} AS path),"
+            f" (x, p) -> {step}, x -> x.path)")
+    return f"transform(array({states}), f -> {path})[0]"
+
+
+def form_scores(form: str) -> tuple[int, ...]:
+    """Scores of a form, one for each tag of ``TAGS``."""
+    fit = max((e for e in ENDINGS if form.endswith(e[0])), key=lambda e: len(e[0]), default=("", "", 0))
+    return tuple(FORM_SCORE if form in FORMS.get(t, ()) else BASE[t] + (fit[2] if fit[1] == t else 0) for t in TAGS)
+
+
+def kind_sql(w: str, ending: dict[str, int], vectors: list[tuple[int, ...]]) -> str:
+    """Number of the scores (of ``vectors``) of the form ``w``."""
+    forms: dict[int, list[str]] = {}
+    for f in sorted({f for words in FORMS.values() for f in words}):
+        forms.setdefault(vectors.index(form_scores(f)), []).append(f)
+    listed = [_literal(f, "spark") for words in forms.values() for f in words]
+    arms = " ".join(f"WHEN {w} IN ({', '.join(_literal(f, 'spark') for f in words)}) THEN {k}" for k, words in forms.items())
+    by_letter: dict[str, list[str]] = {}
+    for e in sorted((e for e in ending if e), key=lambda e: -len(e)):
+        by_letter.setdefault(e[-1], []).append(f"WHEN endswith({w}, '{e}') THEN {ending[e]}")
+    ends = " ".join(f"WHEN endswith({w}, '{c}') THEN (CASE {' '.join(a)} ELSE {ending['']} END)" for c, a in by_letter.items())
+    return f"CASE WHEN {w} IN ({', '.join(listed)}) THEN (CASE {arms} END) {ends} ELSE {ending['']} END"
+
+
+@functools.lru_cache(maxsize=1)
+def automaton() -> tuple[dict[str, int], list[tuple[int, ...]], list[int], list[int], list[int]]:
+    """(kind of each ending, scores of each kind, next state by state and kind, tag before by state and tag, best tag of
+    each state); state 0 is before the first form."""
+    tags = range(len(TAGS))
+    ending = {e: form_scores(e) for e in ["", *(e for e, _, _ in ENDINGS)]}
+    forms = {form_scores(f) for words in FORMS.values() for f in words}
+    vectors = sorted({*ending.values(), *forms})
+    follow = [[FOLLOWS.get(p + t, 0) for t in TAGS] for p in TAGS]
+    known: dict[tuple[int, ...], int] = {(): 0}
+    order: list[tuple[int, ...]] = [()]
+    following, before, final = [], [], []
+    for state in order:                                   # grows while it is walked
+        best = [max(tags, key=lambda p: (state[p] + follow[p][t], -p)) if state else 0 for t in tags]
+        for scores in vectors:
+            reached = [scores[t] + (state[best[t]] + follow[best[t]][t] if state else 0) for t in tags]
+            now = tuple(s - max(reached) for s in reached)
+            if now not in known:
+                known[now] = len(order)
+                order.append(now)
+            following.append(known[now])
+        before += best
+        final.append(max(tags, key=lambda p: (state[p], -p)) if state else 0)
+    return {e: vectors.index(v) for e, v in ending.items()}, vectors, following, before, final
 
 
 def candidates_sql(word: str, tag: str, dialect: str = "spark") -> str:
