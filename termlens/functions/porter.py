@@ -48,6 +48,8 @@ DOUBLE_CONSONANTS = ("bb", "cc", "dd", "ff", "gg", "hh", "jj", "kk", "ll", "mm",
                      "qq", "rr", "ss", "tt", "vv", "ww", "xx", "zz")
 # ------------------------------------------------------------------------------
 
+# last letters of all suffixes: of the tables, of ed, ing and y, and of step 5
+LAST_LETTERS = "".join(sorted({r[0][-1] for r in STEP1A + STEP2 + STEP3 + STEP4} | set("dgyYel")))
 M_GT0 = "^" + C + "*" + V + "+" + C
 M_GT1 = "^" + C + "*" + V + "+" + C + "+" + V + "+" + C
 HAS_VOWEL = V
@@ -93,12 +95,17 @@ def _cond(d: _Dialect, s: str, cond: str | None) -> str:
 
 def _rule_step(d: _Dialect, w: str, rules) -> str:
     """Longest suffix first; its condition decides, shorter ones are not tried."""
-    arms = []
+    arms = {}
     for suf, rep, cond in sorted(rules, key=lambda r: -len(r[0])):
         s = _stem(w, len(suf))
         new = f"concat({s}, '{rep}')" if rep else s
-        arms.append(f"WHEN {w} LIKE '%{suf}' THEN (CASE WHEN {_cond(d, s, cond)} THEN {new} ELSE {w} END)")
-    return "CASE " + " ".join(arms) + f" ELSE {w} END"
+        arms.setdefault(suf[-1] if d.name == "spark" else "", []).append(
+            f"WHEN {w} LIKE '%{suf}' THEN (CASE WHEN {_cond(d, s, cond)} THEN {new} ELSE {w} END)")
+    by_letter = {k: "CASE " + " ".join(a) + f" ELSE {w} END" for k, a in arms.items()}
+    if d.name != "spark":
+        return by_letter[""]
+    # only suffixes with the word's last letter are tried
+    return "CASE " + " ".join(f"WHEN {w} LIKE '%{k}' THEN ({a})" for k, a in by_letter.items()) + f" ELSE {w} END"
 
 
 def _step1b(d: _Dialect, w: str) -> str:
@@ -138,6 +145,8 @@ def porter_sql(word_sql: str, dialect: str = "spark") -> str:
     """SQL expression stemming ``word_sql`` (lower-case letters)."""
     d = _Dialect(dialect)
     x = d.sub(d.sub(word_sql, "^y", "Y"), "([aeiouy])y", "\\1Y")
+    if dialect == "spark":
+        x = f"CASE WHEN contains({word_sql}, 'y') THEN {x} ELSE {word_sql} END"
     steps = (
         lambda w: _rule_step(d, w, STEP1A),
         lambda w: _step1b(d, w),
@@ -151,7 +160,10 @@ def porter_sql(word_sql: str, dialect: str = "spark") -> str:
     for i, step in enumerate(steps):
         var = f"pw{i}"
         x = d.bind(x, var, step(var))
-    return f"CASE WHEN length({word_sql}) <= 2 THEN {word_sql} ELSE lower({x}) END"
+    # no step changes a word with another last letter
+    other = (f" WHEN NOT substr({word_sql}, -1) IN ({', '.join(repr(c) for c in LAST_LETTERS)}) THEN lower({word_sql})"
+             if dialect == "spark" else "")
+    return f"CASE WHEN length({word_sql}) <= 2 THEN {word_sql}{other} ELSE lower({x}) END"
 
 
 def porter_stem(word: str) -> Column:
