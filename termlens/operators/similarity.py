@@ -17,7 +17,8 @@ Plan:
    go left or right by a hash of their id, so even a node of identical
    vectors halves.  Only the node -> median table is joined back (broadcast
    behind a row-count check, else a shuffle join).  The table of items is
-   written to the checkpoint directory after each level.
+   written to the checkpoint directory after each level, without the
+   projections that are done with.
 3. Leaves are bounded by ``leaf_size`` by construction (a final hash split
    covers the level cap), so ``applyInPandas`` per (tree, leaf) scores a
    bounded group with one Gram matrix and emits only each item's best k - 1.
@@ -76,7 +77,7 @@ def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int =
     cur = cut_lineage(cur.withColumn("node", F.lit(1).cast("long")))
     for level in range(levels):
         stats = cur.groupBy("tree", "node").agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("proj")[level], 0.5, 10000).alias("_m"))
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("proj")[0], 0.5, 10000).alias("_m"))
         # small (one row per node to split) and computed from the written item
         # table, so it is recomputed rather than written out
         stats = stats.where(F.col("_n") > leaf_size).select("tree", "node", "_m")
@@ -85,11 +86,12 @@ def build_forest(items: DataFrame, trees: int = DEFAULT_TREES, leaf_size: int =
             break
         if big <= MAX_BROADCAST_NODES:
             stats = F.broadcast(stats)
-        p = F.col("proj")[level]
+        p = F.col("proj")[0]                 # those of the levels behind are gone
         tie = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col("id"), F.lit(level)), F.lit(2)) == 0
         left = (p < F.col("_m")) | ((p == F.col("_m")) & tie)
         child = F.when(F.col("_m").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(left, 0).otherwise(1))
-        cur = cut_lineage(cur.join(stats, ["tree", "node"], "left").select("id", "tree", "proj", child.alias("node")))
+        cur = cut_lineage(cur.join(stats, ["tree", "node"], "left").select(
+            "id", "tree", F.slice("proj", 2, levels).alias("proj"), child.alias("node")))
     # Safety net at the level cap: split any node still over the bound by
     # hash, so every candidate group stays bounded.
     sizes = cur.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("_n"))
@@ -147,7 +149,8 @@ def refine(base: DataFrame, top: DataFrame, k: int) -> DataFrame:
     cand = two.unionByName(nn).distinct()
     va = base.select("id", F.col("vec").alias("va"))
     vb = base.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
-    scored = cand.join(va, "id").join(vb, "other").select("id", "other", _angular_udf("va", "vb").alias("similarity"))
+    # the vectors are the smaller side of both joins; a hash join doesn't sort (and spill) the pairs with their vectors
+    scored = cand.join(va.hint("shuffle_hash"), "id").join(vb.hint("shuffle_hash"), "other").select("id", "other", _angular_udf("va", "vb").alias("similarity"))
     return _top(scored, k)
 
 
@@ -157,8 +160,10 @@ def nearest_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, trees: int
     """doc_id, similar_doc_id, similarity: the k - 1 most similar other items
     found by the forest (plus ``refine_rounds`` neighbour-of-neighbour
     rounds)."""
-    base = cut_lineage(items.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-                       .where(F.col("vec").isNotNull()))
+    # single precision travels as it is (half the bytes) and becomes double where it is used
+    single = items.schema[vec_col].dataType == T.ArrayType(T.FloatType(), items.schema[vec_col].dataType.containsNull)
+    vec = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
+    base = cut_lineage(items.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.col("vec").isNotNull()))
     leaves = build_forest(base, trees, leaf_size, seed)
     grouped = leaves.join(base, "id")
     id_type = base.schema["id"].dataType
