@@ -48,6 +48,7 @@ CELL = 512                    # classes of a cell aimed at
 MAX_PIVOTS = 1024
 SAMPLE = 20_000               # vectors that place the planes
 BLOCK = 512                   # rows of a matrix product
+SPAN = 16_384                 # classes of neighbouring cells that are sent together
 SLACK = 1e-7                  # of distances: rounding of products near 1
 FOUND = "a long, b long, dist double"
 
@@ -115,18 +116,59 @@ def _nearest(k: int):
     return run
 
 
+def _nearest_of_cells(k: int):
+    def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest other classes of each query among the cells that it asks for, none beyond its radius."""
+        none = pd.DataFrame({"a": [], "b": [], "dist": []}).astype({"a": "int64", "b": "int64"})
+        if not len(queries) or not len(data):
+            return none
+        data = data.sort_values("cell", kind="stable")
+        y, names, cells = _matrix(data["w"]), data["name"].to_numpy(), data["cell"].to_numpy()
+        x, own, radius = _matrix(queries["v"]), queries["c"].to_numpy(), queries["r"].to_numpy(copy=True)
+        asked = queries["cells"].to_numpy()
+        row = np.repeat(np.arange(len(queries)), [len(a) for a in asked])
+        cell = np.concatenate(asked)
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        best, which = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, np.int64)
+        for key in np.unique(cells):
+            lo, hi = np.searchsorted(cells, key), np.searchsorted(cells, key, "right")
+            those = row[np.searchsorted(cell, key):np.searchsorted(cell, key, "right")]
+            for i in range(0, len(those), BLOCK):
+                q = those[i:i + BLOCK]
+                dist = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(x[q] @ y[lo:hi].T, -1, 1)))
+                dist[own[q][:, None] == names[None, lo:hi]] = np.inf
+                dist[dist > radius[q][:, None] + SLACK] = np.inf
+                some = np.isfinite(dist).any(1)
+                if not some.any():
+                    continue
+                q, dist = q[some], dist[some]
+                dist = np.concatenate([best[q], dist], 1)
+                near = np.argpartition(dist, k - 1, 1)[:, :k]
+                at = np.concatenate([which[q], np.broadcast_to(names[lo:hi], (len(q), hi - lo))], 1)
+                best[q], which[q] = np.take_along_axis(dist, near, 1), np.take_along_axis(at, near, 1)
+                radius[q] = np.minimum(radius[q], best[q].max(1))
+        r, col = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"a": own[r], "b": which[r, col], "dist": best[r, col]})
+    return run
+
+
 def bounded_join(queries: DataFrame, data: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b, dist): for queries (key, c, v, r) the k nearest classes of data (key, c, v) with their key, per chunk."""
+    """(a, b, dist): for queries (key, c, v, r) the k nearest classes of data (key, c, v) with their key, per chunk;
+    if a query also names ``cells``, among the data of these ``cell``s only."""
+    by_cell = "cells" in queries.columns
     def dealt(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
 
     sizes = cut_lineage(dealt(queries, "nq").join(dealt(data, "nd"), "key"))
     q = queries.join(sizes, "key").select("key", F.pmod(F.xxhash64("c", F.lit("q")), "nq").cast("int").alias("qc"),
-                                          F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("dc"), "c", "v", "r")
+                                          F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("dc"), "c", "v", "r",
+                                          *(["cells"] if by_cell else []))
     d = data.join(sizes, "key").select(F.col("key").alias("place"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qd"),
                                        F.pmod(F.xxhash64("c", F.lit("d")), "nd").cast("int").alias("dd"),
-                                       F.col("c").alias("name"), F.col("v").alias("w"))
-    return q.groupBy("key", "qc", "dc").cogroup(d.groupBy("place", "qd", "dd")).applyInPandas(_nearest(k), FOUND)
+                                       F.col("c").alias("name"), F.col("v").alias("w"), *(["cell"] if by_cell else []))
+    nearest = _nearest_of_cells(k) if by_cell else _nearest(k)
+    return q.groupBy("key", "qc", "dc").cogroup(d.groupBy("place", "qd", "dd")).applyInPandas(nearest, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -154,7 +196,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def exact_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, id_col: str = "doc_id", vec_col: str = "vec",
-                     cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
+                     cell: int = CELL, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
     """doc_id, similar_doc_id, similarity: the k - 1 most similar other items."""
     made, members, _ = classes(items, k, id_col, vec_col)
     n = made.count()
@@ -170,12 +212,15 @@ def exact_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, id_col: str
                 yield b.assign(key=own.astype("int32"), d=dist[np.arange(len(b)), own])
 
     placed = cut_lineage(made.select("c", "v").mapInPandas(assign, "c long, v binary, key int, d double"))
-    cells = {r.key: (r.lo, r.hi) for r in placed.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
-    inner = np.array([cells.get(i, (np.inf, -np.inf))[0] for i in range(len(pivots))])
-    outer = np.array([cells.get(i, (np.inf, -np.inf))[1] for i in range(len(pivots))])
+    cells = {r.key: (r.lo, r.hi, r.n) for r in placed.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    inner = np.array([cells.get(i, (np.inf, -np.inf, 0))[0] for i in range(len(pivots))])
+    outer = np.array([cells.get(i, (np.inf, -np.inf, 0))[1] for i in range(len(pivots))])
     first = cut_lineage(_best(bounded_join(placed.withColumn("r", F.lit(float("inf"))), placed, k, chunk), k))
     # the class itself and k - 1 others are enough; a cell with fewer bounds nothing
     radius = first.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k - 1, F.sort_array(F.collect_list("dist"))[max(k - 2, 0)]).alias("r"))
+    # a query goes once to every span of cells that it asks, not once to each cell
+    spans = (np.cumsum([cells.get(i, (0, 0, 0))[2] for i in range(len(pivots))]) - 1) // span
+    first_cell = np.flatnonzero(np.diff(spans, prepend=-1))
     asked = placed.join(radius, placed["c"] == radius["a"], "left").select(
         "c", "v", "key", "d", F.coalesce("r", F.lit(float("inf"))).alias("r"))
     between = _distances(pivots, pivots)
@@ -188,12 +233,19 @@ def exact_neighbours(items: DataFrame, k: int = DEFAULT_NEIGHBOURS, id_col: str
                 plane = (dist ** 2 - q["d"].to_numpy()[:, None] ** 2) / np.maximum(2 * between[own], 1e-12)
                 least = np.maximum(np.maximum(dist - outer, inner - dist), plane)
                 least[np.arange(len(q)), own] = np.inf
-                row, col = np.nonzero((least <= q["r"].to_numpy()[:, None] + SLACK) & np.isfinite(least))
-                yield pd.DataFrame({"key": col.astype("int32"), "c": q["c"].to_numpy()[row], "v": q["v"].to_numpy()[row],
-                                    "r": q["r"].to_numpy()[row]})
-
-    more = asked.mapInPandas(visits, "key int, c long, v binary, r double")
-    second = bounded_join(cut_lineage(more), placed, k, chunk)
+                wanted = (least <= q["r"].to_numpy()[:, None] + SLACK) & np.isfinite(least)
+                for s, at in enumerate(first_cell):
+                    part = wanted[:, at:first_cell[s + 1] if s + 1 < len(first_cell) else None]
+                    row = np.flatnonzero(part.any(1))
+                    if len(row):
+                        yield pd.DataFrame({"key": np.int32(s), "c": q["c"].to_numpy()[row], "v": q["v"].to_numpy()[row],
+                                            "r": q["r"].to_numpy()[row],
+                                            "cells": [(np.flatnonzero(w) + at).astype("int32") for w in part[row]]})
+
+    more = cut_lineage(asked).mapInPandas(visits, "key int, c long, v binary, r double, cells array<int>")
+    numbers = F.array(*[F.lit(int(x)) for x in np.searchsorted(first_cell, np.arange(len(pivots)), "right") - 1])
+    data = placed.select(F.get(numbers, F.col("key")).alias("key"), "c", "v", F.col("key").alias("cell"))
+    second = bounded_join(more, data, k, max(chunk, span))
     return expanded(_best(first.unionByName(second), k), made, members, k)
 
 
