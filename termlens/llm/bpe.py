@@ -52,10 +52,11 @@ class PieceEncoder:
     pieces are taken apart once more, and only unseen parts reach the library.
     The cache has two generations, so that frequent pieces outlive rare ones."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -97,7 +98,7 @@ class PieceEncoder:
             self._fill({p for p, i in zip(pieces, ids, strict=True) if i is None})
             ids = [i if i is not None else self.new.get(p) or self._apart([p])[0]
                    for p, i in zip(pieces, ids, strict=True)]
-            if len(self.new) > CACHE_PIECES:
+            if len(self.new) > self.cache_pieces:
                 self.old, self.new = self.new, {"": b""}
         return ids
 
@@ -105,7 +106,7 @@ class PieceEncoder:
         """Put the pieces of all these texts into the cache, many to a library
         call, for a call costs as much as a dozen words."""
         for _, some in blocks(texts, len(texts)):
-            if len(self.new) > CACHE_PIECES:
+            if len(self.new) > self.cache_pieces:
                 self.old, self.new = self.new, {"": b""}
             self._fill(set(" ".join(some).replace("\n", " ").split(" ")).difference(self.new))
 
@@ -155,9 +156,9 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One per Python worker."""
-    return PieceEncoder(path)
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """One per Python worker and cache size."""
+    return PieceEncoder(path, cache_pieces)
 
 
 @functools.lru_cache(maxsize=1)

@@ -23,20 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.llm.bpe import encoder
-from termlens.llm.common import cut_lineage
+from termlens.llm.bpe import CACHE_PIECES, encoder
+from termlens.llm.common import cut_lineage, release_memory
 
 LENGTH = 4096
 END_ID = 2
+RELEASED_PIECES = 200_000    # bound of a generation of the cache that is released
 MAX_PARTITIONS = 1_000_000   # of one input; their totals are collected, 16 bytes each
 
 
 def encode_stream(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID,
                   keep: tuple[str, ...] = ("doc_id",), release: bool = False) -> DataFrame:
     """Written table: ``keep``, ``ids`` with the end id, ``n_ids``, the
-    partition and the place ``at`` in its stream.  ``release`` empties the
-    worker's cache of pieces after each partition, for jobs whose other stages
-    need the memory of the same workers."""
+    partition and the place ``at`` in its stream.  ``release`` keeps a
+    smaller cache of pieces in the worker and, after each partition, empties it
+    and gives the memory back to the system, for jobs whose other stages need
+    the memory of the same workers."""
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = rows.drop("__text").schema
     for name, kind in (("ids", "binary"), ("n_ids", "long"), ("part", "integer"), ("at", "long")):
@@ -44,7 +46,7 @@ def encode_stream(docs: DataFrame, path: str, text: str = "text", end_id: int =
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(path, RELEASED_PIECES if release else CACHE_PIECES), TaskContext.get().partitionId(), 0
         for b in batches:
             out = b.drop(columns="__text")
             out["ids"] = [enc.encode(t or "") + end for t in b["__text"]]
@@ -53,7 +55,9 @@ def encode_stream(docs: DataFrame, path: str, text: str = "text", end_id: int =
             at += int(n.sum())
             yield out
         if release:
+            b = out = n = None
             enc.forget()
+            release_memory()
 
     return cut_lineage(rows.mapInPandas(run, schema))
 

@@ -1,6 +1,8 @@
 """Packing and BPE against the tokenizers library itself."""
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from termlens.llm import bpe, packing
+from termlens.llm.common import release_memory
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -94,3 +97,25 @@ def test_packing_covers_every_id_once(spark, edge, library, length):
     whole = b"".join(p.ids for p in sorted(one, key=lambda p: p.start))
     text = next(r.text for r in edge.collect() if r.doc_id == 8)
     assert zlib.crc32(whole) == zlib.crc32(np.asarray(library(text) + [2], "<u4").tobytes())
+
+
+def test_a_small_cache_is_bounded_and_exact(library):
+    """The stage that releases its memory keeps fewer pieces than the operator alone."""
+    enc = bpe.PieceEncoder(PATH, cache_pieces=100)
+    for k in range(50):
+        text = " ".join(f"w{k * 20 + i}ord.{i}" for i in range(20)) + "\nend"
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == library(text)
+        assert len(enc.new) <= 200 and len(enc.old) <= 200
+    assert packing.RELEASED_PIECES < bpe.CACHE_PIECES
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """Blocks freed below one that lives on stay with the process until they are released."""
+    def anon():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    kept = [bytes(1000) for _ in range(200_000)]
+    full = anon()
+    kept = kept[::40]
+    release_memory()
+    assert len(kept) == 5000 and full - anon() > 100
