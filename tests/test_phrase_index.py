@@ -2,9 +2,11 @@
 import os
 import tempfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from termlens.operators import phrase_index
 from termlens.operators.phrase_index import PhraseIndex
 from termlens.operators.snippets import extract_snippets
 from termlens.sources.tables import corpus
@@ -74,3 +76,21 @@ def test_only_the_words_buckets_are_read(spark, index):
     plan = index.occurrences(words)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan.replace("`", "") or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "In(word" in plan or "EqualTo(word" in plan
+
+
+def test_a_word_has_one_row_a_block(spark, monkeypatch):
+    """Blocks hold whole documents; a longer one is a block of its own."""
+    words = [[["a", "b"], [], ["a"]], [], [["b"] * 5], [["c"]], [[]]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5]), pa.array(words, pa.list_(pa.list_(pa.string())))], ["doc", "words"])
+    monkeypatch.setattr(phrase_index, "BLOCK_WORDS", 4)
+    got = [r for b in phrase_index._postings(iter([batch])) for r in b.to_pylist()]
+    assert got == [
+        {"word": "a", "n": 2, "doc": [1, 1], "pos": [0, 2], "frag": [0, 2]}, {"word": "b", "n": 1, "doc": [1], "pos": [1], "frag": [0]},
+        {"word": "b", "n": 5, "doc": [None] * 5, "pos": [0, 1, 2, 3, 4], "frag": [0] * 5},
+        {"word": "c", "n": 1, "doc": [4], "pos": [0], "frag": [0]}]
+    docs = spark.range(300).selectExpr("cast(id as string) doc_id", "'the coast of the coast. the end' text").coalesce(1)
+    index = PhraseIndex.build(docs, os.path.join(tempfile.mkdtemp(prefix="termlens-index-"), "i"), buckets=2)
+    assert sorted(map(tuple, index._table("postings").select("word", "n").collect())) == [
+        ("coast", 600), ("end", 300), ("of", 300), ("the", 900)]
+    assert index.snippets(["the coast. the", "the coast"]).groupBy("search_term", "highlight").count().sort("search_term").collect() == [
+        ("the coast", "the coast of the coast", 300), ("the coast. the", "the coast of the coast. the end", 300)]
