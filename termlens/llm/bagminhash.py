@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.llm.common import blocks, cut_lineage, free_name, mix64, word_hashes
+from termlens.llm.common import blocks, cut_lineage, free_name, likely, mix64, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -43,6 +43,7 @@ SLOTS = BANDS * ROWS
 THRESHOLD = 0.8
 STAR_ROUNDS = 4
 PRUNE_ROUNDS = 3
+MOST_LEFT = 0.8               # share of the rows that a round of pruning leaves, if another one follows
 BLOCK_DOCS = 256
 CHUNK_ELEMENTS = 1 << 20      # elements of a chunk of a bucket's texts
 COLUMNS = 2048                # elements of a matrix product
@@ -149,10 +150,13 @@ def verified(pairs: DataFrame, elements: DataFrame, threshold: float = THRESHOLD
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) with the least node of each connected component: labels
-    spread along the links and jump to their label's label until none changes."""
+    """(node, label) with the least node of each connected component: labels,
+    the least neighbours at first, spread along the links and jump to their
+    label's label until none changes."""
     sym = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
-    lab = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    least = sym.groupBy("a").agg(F.min("b").alias("near"))
+    lab = cut_lineage(nodes.join(least, nodes["node"] == least["a"], "left").select(
+        "node", F.least("node", F.coalesce("near", "node")).alias("label")))
     while True:
         near = sym.join(lab.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(
             F.min("label").alias("near"))
@@ -176,6 +180,13 @@ def relabel(lab: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(lab.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def one_of_each(member: DataFrame) -> DataFrame:
+    """``member`` (h, node, ...) without the buckets that have the same nodes as another one: they give the same pairs."""
+    sets = member.groupBy("h").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("s1"),
+                                   F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("s2"))
+    return member.join(sets.groupBy("c", "s1", "s2").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+
+
 def _fits(threshold: float):
     return F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
 
@@ -192,11 +203,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", "n", F.explode("bands").alias("h"))
     shared = nodes.select(F.explode("bands").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    member = cut_lineage(member.join(shared, "h", "left_semi"))
-    met = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "k1", "k2")
-    source = keyed.join(met.withColumnsRenamed({"k1": "m1", "k2": "m2"}), F.col("id").eqNullSafe(F.col("rep"))
-                        & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("node", "text")
-    elements = cut_lineage(source.mapInPandas(_elements, "node long, el array<long>").dropDuplicates(["node"]))
+    member = cut_lineage(one_of_each(cut_lineage(member.join(shared, "h", "left_semi"))))
+    met = cut_lineage(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "k1", "k2"))
+    # only the texts that are met by others are moved, one of each
+    few = likely(keyed, [F.col("id").cast("long"), "k1", "k2"], met, ["rep", "k1", "k2"])
+    source = few.join(met, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["k1", "k2"])
+    elements = cut_lineage(source.select("node", "text").mapInPandas(_elements, "node long, el array<long>"))
     lab = cut_lineage(met.select("node", F.col("node").alias("label")))
     degree = lab.select("node", F.lit(0).cast("long").alias("deg")).limit(0)
     for r in range(STAR_ROUNDS):
@@ -264,6 +276,7 @@ def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: fl
     classes have in common lies among the elements that each shares with another
     class, so the many texts near a large class that differ too much go alone."""
     now = member.join(lab, "node")
+    rows = None
     for _ in range(PRUNE_ROUNDS):     # what dropped out is no longer shared with
         mixed = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
         now = cut_lineage(now.select("h", "node", "n", "label").join(mixed, "h", "left_semi"))
@@ -271,6 +284,10 @@ def _apart(member: DataFrame, lab: DataFrame, elements: DataFrame, threshold: fl
         spread = el.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
         common = el.join(spread, "e", "left_semi").groupBy("node").agg(F.count("*").alias("sh"))
         now = cut_lineage(now.join(common, "node").where(F.col("sh") >= threshold * F.col("n") - 1e-9))
+        left, rows = rows, now.count()
+        if left is not None and rows > MOST_LEFT * left:     # another round wouldn't pay
+            break
+    now = one_of_each(now.select("h", "node", "n", "label"))
     sizes = now.groupBy("h").agg(F.ceil(F.sum("n") / CHUNK_ELEMENTS).cast("int").alias("chunks"),
                                  F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("h", "chunks")
     dealt = now.select("h", "node", "n", "label").join(sizes, "h").withColumn(

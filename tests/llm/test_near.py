@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termlens.llm import bagminhash
+from termlens.llm import bagminhash, common
 
 
 def bag(text):
@@ -128,6 +128,36 @@ def test_common_elements():
     assert (bagminhash._common(sets)[off] == np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])[off]).all()
 
 
+def test_only_likely_rows_are_moved(spark):
+    """A filter loses no wanted row (nulls among them) and lets few others pass, whatever the columns are called."""
+    df = spark.range(20_000).select(F.expr("nullif(id, 700)").alias("id"), (F.col("id") * 7).alias("k"), F.lit("x").alias("__bits"))
+    wanted = df.where("k % 350 = 0").select(F.col("id").alias("rep"), "k")
+    got = common.likely(df, ["id", "k"], wanted, ["rep", "k"])
+    assert got.columns == df.columns and {r.k for r in wanted.collect()} <= {r.k for r in got.collect()}
+    assert wanted.count() == 400 and got.count() < 2200
+    assert common.likely(df, ["id"], wanted.limit(0), ["rep"]).count() == 0
+
+
+def test_buckets_of_the_same_nodes_are_one(spark):
+    rows = [(h, n, 9) for h, nodes in ((5, (1, 2)), (3, (2, 1)), (8, (1, 2, 3)), (9, (1, 3)), (4, (1, 2))) for n in nodes]
+    got = bagminhash.one_of_each(spark.createDataFrame(rows, "h long, node long, n long")).collect()
+    assert sorted((r.h, r.node) for r in got) == [(3, 1), (3, 2), (8, 1), (8, 2), (8, 3), (9, 1), (9, 3)]
+    assert {r.n for r in got} == {9}
+
+
+def test_components_start_at_the_least_neighbour(spark, monkeypatch):
+    """A star round its least node needs no pass but the one that finds nothing to change."""
+    written, write = [], bagminhash.cut_lineage
+    monkeypatch.setattr(bagminhash, "cut_lineage", lambda df: written.append(1) or write(df))
+
+    def labels(n, links):
+        return {r.node: r.label for r in bagminhash.components(spark.range(n).toDF("node"), spark.createDataFrame(
+            links, "a long, b long")).collect()}
+
+    assert labels(9, [(i, 1) for i in range(2, 8)]) == {0: 0, 8: 8} | dict.fromkeys(range(1, 8), 1) and len(written) == 3
+    assert labels(40, [(i, i + 1) for i in range(5, 39)]) == {i: min(i, 5) for i in range(40)}
+
+
 def test_edge(spark, edge, empty):
     got = collections.defaultdict(list)
     for r in bagminhash.classes(edge).collect():
