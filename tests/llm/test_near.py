@@ -246,6 +246,19 @@ def test_pipeline_edge(spark, edge, empty, tmp_path):
         assert stage(spark, edge, f"{tmp_path}/0").count() > 0, name
 
 
+def test_pipeline_gives_back_what_training_took(monkeypatch):
+    said = []
+    for module, keep in ((corpus_pipeline.langid, "keep_identified"), (corpus_pipeline.quality_knn, "keep_quality")):
+        monkeypatch.setattr(module, "fit", lambda *a: said.append("fit"))
+        monkeypatch.setattr(module, keep, lambda *a: said.append("keep"))
+    monkeypatch.setattr(corpus_pipeline.quality_knn, "labelled_texts", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline, "release_memory", lambda: said.append("release"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        stage(None, None, "")
+    assert said == ["fit", "release", "keep"] * 2
+
+
 def test_pipeline_keeps_what_op8_calls_good(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.quality_knn, "fit", lambda docs, labelled: None)
     monkeypatch.setattr(corpus_pipeline.quality_knn, "quality", lambda model, text: F.col("n_chars") / 100)
